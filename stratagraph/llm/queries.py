@@ -12,6 +12,7 @@ OPERATORS: dict[str, str] = {
     "op5_url_filter": "url_filter",
     "op6_pii": "pii",
     "op7_token_records": "records",
+    "op8_language_id": "langid",
     "op9_byte_bpe": "bpe",
 }
 

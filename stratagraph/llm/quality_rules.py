@@ -29,7 +29,7 @@ MIN_GROUP = 100
 #: ratio -> (SQL of its whole-number value, least width, whether low values are rejected too)
 RATIOS = {
     "symbols": ("n_symbols * 1000 div greatest(word_chars, 1)", 10, False),
-    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 60, False),
+    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 100, False),
     "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 60, False),
     "word_length": ("word_chars * 10 div greatest(n_words, 1)", 6, True),
 }

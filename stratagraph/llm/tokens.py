@@ -9,18 +9,25 @@ chunks. ``tests/llm`` compares whole texts with the library's own result.
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
-#: Chunks one worker remembers; beyond it the memory starts again, results stay the same.
-CACHE_ENTRIES = 300_000
+#: Chunks one worker remembers, and how many of those seen first (the frequent ones) it keeps when
+#: that is reached. Results do not depend on either.
+CACHE_ENTRIES, CACHE_KEPT = 500_000, 200_000
+#: Strings given to the library at once.
+BATCH = 8192
+#: A mark after a word of letters is always a token run of its own; fixed values.
+MARKS = frozenset(".,;:!?")
 
 
 class WordCachedTokenizer:
-    """``mode`` "dropped": white space never belongs to a token (any ASCII white space is a cut).
-    ``mode`` "leading": one space may lead a token (byte-level splitters); a cut is a space
-    between two other characters, and a text with other runs of white space is encoded whole.
+    """``mode`` "dropped": white space never belongs to a token (any ASCII white space is a cut),
+    letters are lower-cased, and the last token of each word ends in ``</w>``.
+    ``mode`` "leading": one space may lead a token (byte-level splitters, that token starts with
+    ``\u0120``); a cut is a space between two other characters, and a text with other runs of white
+    space is encoded whole.
     """
 
     def __init__(self, path: str, mode: str):
@@ -30,17 +37,39 @@ class WordCachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.leading = mode == "leading"
+        vocabulary = self.tokenizer.get_vocab()
+        self.bound = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.bound[[i for token, i in vocabulary.items() if (token.startswith("\u0120") if self.leading else token.endswith("</w>"))]] = True
         self.cache: dict[str, bytes | None] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(found), dtype="<u4").tobytes()
-        ends = (np.cumsum([len(x) for x in found], dtype=np.int64) * 4).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), BATCH):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + BATCH], add_special_tokens=False)]
+            ends = np.cumsum([len(x) for x in found], dtype=np.int64) * 4
+            out += self._cut(np.fromiter(chain.from_iterable(found), dtype="<u4"), ends)
+        return out
+
+    @staticmethod
+    def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        flat, places = ids.tobytes(), ends.tolist()
+        return [flat[a:b] for a, b in zip([0, *places], places)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of letters only: many go to the library in one string, cut apart by their bounds."""
+        out: list[bytes] = []
+        for at in range(0, len(words), BATCH):
+            part = words[at : at + BATCH]
+            joined = [("" if self.leading else " ").join(part[k : k + 64]) for k in range(0, len(part), 64)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), dtype="<u4")
+            bounds = np.flatnonzero(self.bound[ids])
+            ends = np.append(bounds[1:], len(ids)) if self.leading else bounds + 1
+            out += self._cut(ids, ends * 4) if len(ends) == len(part) else self._library(part)
+        return out
 
     def _chunks(self, text: str) -> list[str]:
         if not self.leading:
-            return text.split() if text.isascii() else text.replace("\n", " ").split(" ")
+            return text.replace("\n", " ").split(" ")
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
@@ -50,16 +79,37 @@ class WordCachedTokenizer:
             return True
         return not chunk[-1].isspace() and not (chunk[0] == " " and chunk[1].isspace())
 
+    def _add(self, new: list[str]) -> None:
+        cache, bases, direct = self.cache, {}, []
+        for x in new:
+            core = x[1:] if self.leading and x[:1] == " " else x
+            base = x[:-1] if core[-1:] in MARKS else x
+            if (core if base is x else core[:-1]).isalpha() and (len(core) < len(x) or not self.leading):
+                if not self.leading and base.isascii():
+                    base = base.lower()
+                bases[x] = base
+            elif self._safe(x):
+                direct.append(x)
+            else:
+                cache[x] = None
+        marks = [m for m in MARKS if m not in cache]
+        cache.update(zip(marks, self._library(marks)))
+        missing = [b for b in dict.fromkeys(bases.values()) if b not in cache]
+        cache.update(zip(missing, self._words(missing)))
+        for x, base in bases.items():
+            if x != base:
+                cache[x] = cache[base] + cache[x[-1]] if x[-1] in MARKS else cache[base]
+        cache.update(zip(direct, self._library(direct)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self._chunks(t) for t in texts]
-        new = [x for x in set(chain.from_iterable(split)) if x not in self.cache]
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache.clear()
-            new = list(set(chain.from_iterable(split)))
-        good = [x for x in new if self._safe(x)]
-        self.cache.update(dict.fromkeys(new))
-        self.cache.update(zip(good, self._library(good)))
+        distinct = set(chain.from_iterable(split))
+        new = [x for x in distinct if x not in self.cache]
+        if len(self.cache) + 2 * len(new) > CACHE_ENTRIES:
+            self.cache = dict(islice(self.cache.items(), CACHE_KEPT))
+            new = [x for x in distinct if x not in self.cache]
+        self._add(new)
         out, get = [], self.cache.__getitem__
         for text, chunks in zip(texts, split):
             try:

@@ -16,6 +16,7 @@ OPERATORS: dict[str, str] = {
     "op7_token_records": "records",
     "op8_language_id": "langid",
     "op9_byte_bpe": "bpe",
+    "op10_packing": "packing",
 }
 
 

@@ -28,7 +28,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, map_arrow, materialize, shuffle_width, table
@@ -84,14 +84,35 @@ def tokenize(docs: DataFrame, path: str, end_id: int, mode: str, key: str = "doc
     return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_tokens long, ids binary", text)
 
 
-def write_shards(tokens: DataFrame, path: str, shards: int | None = None, key: str = "doc_id") -> DataFrame:
+def shard_bounds(keys: DataFrame, shards: int, key: str = "doc_id") -> list[int]:
+    """Keys that cut the key's range into about equal shards; reads the key column only."""
+    if shards < 2:
+        return []
+    found = keys.agg(F.percentile_approx(key, [k / shards for k in range(1, shards)], 20 * shards)).first()[0]
+    return sorted(set(found or []))
+
+
+def shard_of(key: str, bounds: list[int]) -> Column:
+    """Shard number of a key: how many bounds it exceeds; nulls go to the first."""
+    def below(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(key) > bounds[mid], below(mid + 1, hi)).otherwise(below(lo, mid))
+
+    return below(0, len(bounds))
+
+
+def write_shards(tokens: DataFrame, path: str, bounds: list[int], key: str = "doc_id") -> DataFrame:
     """Write ``tokens`` (``key``, ids) as shards under ``path`` (any URI pyarrow can open).
 
     Returns the manifest, one row a record: ``key``, shard, record (its number there), n_tokens.
     """
-    spark = tokens.sparkSession
     kind = tokens.schema[key].dataType.simpleString()
-    ordered = tokens.select(key, "n_tokens", "ids").repartitionByRange(shards or shuffle_width(spark), key).sortWithinPartitions(F.col(key).asc_nulls_first(), "ids")
+    shards = len(bounds) + 1
+    # Each record names its shard, so the range shuffle samples keys alone and tokenizes once.
+    named = tokens.select(key, "n_tokens", "ids", shard_of(key, bounds).alias("to"))
+    ordered = named.repartitionById(shards, F.col("to")).drop("to").sortWithinPartitions(F.col(key).asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -176,6 +197,7 @@ def read_back(written: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word_bpe_49k ids with end id 1, written as shards in order of doc_id and read back."""
     path = fresh_dir(spark, "shards")
-    tokens = tokenize(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, "dropped")
-    written = write_shards(tokens, path)
+    docs = table(spark, sf_dir, "documents")
+    tokens = tokenize(docs, vocabulary("word_bpe_49k.json"), 1, "dropped")
+    written = write_shards(tokens, path, shard_bounds(docs, shuffle_width(spark)))
     return read_back(written, path).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -37,6 +37,9 @@ class WordCachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.leading = mode == "leading"
+        # For words of ASCII letters in lower case, on which the normalizer does nothing.
+        self.lowered = Tokenizer.from_file(path)
+        self.lowered.normalizer = None
         vocabulary = self.tokenizer.get_vocab()
         self.bound = np.zeros(max(vocabulary.values()) + 1, bool)
         self.bound[[i for token, i in vocabulary.items() if (token.startswith("\u0120") if self.leading else token.endswith("</w>"))]] = True
@@ -55,13 +58,13 @@ class WordCachedTokenizer:
         flat, places = ids.tobytes(), ends.tolist()
         return [flat[a:b] for a, b in zip([0, *places], places)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: list[str], tokenizer) -> list[bytes]:
         """Words of letters only: many go to the library in one string, cut apart by their bounds."""
         out: list[bytes] = []
         for at in range(0, len(words), BATCH):
             part = words[at : at + BATCH]
             joined = [("" if self.leading else " ").join(part[k : k + 64]) for k in range(0, len(part), 64)]
-            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), dtype="<u4")
+            ids = np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)), dtype="<u4")
             bounds = np.flatnonzero(self.bound[ids])
             ends = np.append(bounds[1:], len(ids)) if self.leading else bounds + 1
             out += self._cut(ids, ends * 4) if len(ends) == len(part) else self._library(part)
@@ -80,25 +83,35 @@ class WordCachedTokenizer:
         return not chunk[-1].isspace() and not (chunk[0] == " " and chunk[1].isspace())
 
     def _add(self, new: list[str]) -> None:
-        cache, bases, direct = self.cache, {}, []
+        cache, whole, marked, direct = self.cache, [], [], []
+        lead = 1 if self.leading else 0
         for x in new:
-            core = x[1:] if self.leading and x[:1] == " " else x
-            base = x[:-1] if core[-1:] in MARKS else x
-            if (core if base is x else core[:-1]).isalpha() and (len(core) < len(x) or not self.leading):
-                if not self.leading and base.isascii():
-                    base = base.lower()
-                bases[x] = base
+            mark = x[-1:] in MARKS
+            core = x[lead:-1] if mark else x[lead:]
+            if core.isalpha() and (x[0] == " " if lead else core.isascii() or core.lower().isalpha()):
+                (marked if mark else whole).append(x)
             elif self._safe(x):
                 direct.append(x)
             else:
                 cache[x] = None
-        marks = [m for m in MARKS if m not in cache]
-        cache.update(zip(marks, self._library(marks)))
-        missing = [b for b in dict.fromkeys(bases.values()) if b not in cache]
-        cache.update(zip(missing, self._words(missing)))
-        for x, base in bases.items():
-            if x != base:
-                cache[x] = cache[base] + cache[x[-1]] if x[-1] in MARKS else cache[base]
+        for m in MARKS:
+            if m not in cache:
+                cache[m] = self._library([m])[0]
+        # In lower case, where that is what the tokenizer makes of it, a word is encoded once.
+        bases = [x[:-1] for x in marked]
+        if not lead:
+            bases = [b.lower() if b.isascii() else b for b in bases]
+            lowered = [b.lower() if b.isascii() else b for b in whole]
+        else:
+            lowered = whole
+        missing = [b for b in dict.fromkeys(chain(bases, lowered)) if b not in cache]
+        if not lead:
+            plain = [b for b in missing if b.isascii()]
+            cache.update(zip(plain, self._words(plain, self.lowered)))
+            missing = [b for b in missing if not b.isascii()]
+        cache.update(zip(missing, self._words(missing, self.tokenizer)))
+        cache.update(zip(whole, map(cache.__getitem__, lowered)))
+        cache.update((x, cache[b] + cache[x[-1]]) for x, b in zip(marked, bases))
         cache.update(zip(direct, self._library(direct)))
 
     def encode(self, texts: list[str]) -> list[bytes]:

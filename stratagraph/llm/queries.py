@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: name -> module that holds the function of that name
 OPERATORS: dict[str, str] = {
+    "op1_ngram_join": "ngram_join",
     "op2_quality_rules": "quality_rules",
     "op4_nearest": "ann",
     "op5_url_filter": "url_filter",

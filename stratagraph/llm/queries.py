@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS: dict[str, str] = {
     "op1_ngram_join": "ngram_join",
     "op2_quality_rules": "quality_rules",
+    "op3_quality_classifier": "quality_classifier",
     "op4_nearest": "ann",
     "op5_url_filter": "url_filter",
     "op6_pii": "pii",

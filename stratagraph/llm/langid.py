@@ -199,19 +199,34 @@ def predict(docs: DataFrame, model: Model, switch_penalty: float = SWITCH_PENALT
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        labeller, names = _labeller(model, switch_penalty), model.languages or [UND]
-        split, lengths, labels = labeller.label([t or "" for t in batch.column(text).to_pylist()])
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        letters = np.fromiter((len(w) for x in split for w in x), np.int64, len(labels))
-        share = np.bincount(doc * len(names) + labels, letters, len(lengths) * len(names)).reshape(-1, len(names))
-        total = share.sum(axis=1)
-        best = share.argmax(axis=1)
-        score = share.max(axis=1) / np.maximum(total, 1) if model.languages else np.zeros(len(total))
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array([names[b] if n else UND for b, n in zip(best, total)], pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
+        found, score = judged(batch, model, switch_penalty, text)
+        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
     return map_arrow(docs.select(key, text), run, f"{key} {kind}, lang_pred string, score double", text)
 
 
+def judged(batch: pa.RecordBatch, model: Model, switch_penalty: float, text: str) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch."""
+    labeller, names = _labeller(model, switch_penalty), model.languages or [UND]
+    split, lengths, labels = labeller.label([t or "" for t in batch.column(text).to_pylist()])
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    letters = np.fromiter((len(w) for x in split for w in x), np.int64, len(labels))
+    share = np.bincount(doc * len(names) + labels, letters, len(lengths) * len(names)).reshape(-1, len(names))
+    total, best = share.sum(axis=1), share.argmax(axis=1)
+    score = share.max(axis=1) / np.maximum(total, 1) if model.languages else np.zeros(len(total))
+    return [names[b] if n else UND for b, n in zip(best, total)], score
+
+
+def keep_named(docs: DataFrame, model: Model, least: float = 0.5, switch_penalty: float = SWITCH_PENALTY, text: str = "text") -> DataFrame:
+    """``docs`` without texts that are ``und`` or of which no language holds ``least`` of the letters."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, score = judged(batch, model, switch_penalty, text)
+        return batch.filter(pa.array((np.array(found, object) != UND) & (score >= least), pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema, text)
+
+
 def label_spans(docs: DataFrame, model: Model, switch_penalty: float = SWITCH_PENALTY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, spans array<struct<start, end, lang>>: runs of words in one language, in code points."""
     kind = docs.schema[key].dataType.simpleString()

@@ -34,7 +34,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, shuffle_width, slices, table
@@ -330,5 +330,18 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     return nodes.select(key, "n_shingles", "sig").join(of, "sig", "left").select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the one whose key the group is named by.
+
+    Of rows that repeat a key one stays; rows with a null key all stay.
+    """
+    found = join(docs, n, percent, key, text)
+    kept = found.filter(F.col("component_id") == F.col(key)).select(key).distinct()
+    known = docs.filter(F.col(key).isNotNull())
+    first = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())
+    one = known.join(kept, key, "left_semi").withColumn("nth_of_key", F.row_number().over(first)).filter("nth_of_key = 1").drop("nth_of_key")
+    return one.unionByName(docs.filter(F.col(key).isNull()))
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)

@@ -202,24 +202,40 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     return co_train(a[has], b[has], truth, a[~has], b[~has])
 
 
+def judged(batch: pa.RecordBatch, model: Model | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """p_text, p_meta, score and kept of a batch with text, source, lang and n_chars."""
+    texts = [t or "" for t in batch.column("text").to_pylist()]
+    some = np.array([bool(t) and not t.isspace() for t in texts], bool)
+    if model is None or not len(texts):
+        a = b = s = some.astype(float)
+    else:
+        rows = [features(t, *x) for t, *x in zip(texts, *(batch.column(k).to_pylist() for k in ("source", "lang", "n_chars")))]
+        a, b, s = model.scores(np.stack([r for r, _ in rows]).astype(np.float16).astype(np.float32), np.stack([r for _, r in rows]))
+        s = np.where(some, s, 0.0)
+    return np.asarray(a, float), np.asarray(b, float), np.asarray(s, float), (s >= threshold) & some
+
+
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
     """``key``, p_text, p_meta, score, kept for every row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        some = np.array([bool(t) and not t.isspace() for t in texts], bool)
-        if model is None:
-            a = b = s = some.astype(float)
-        else:
-            rows = [features(t, *x) for t, *x in zip(texts, *(batch.column(k).to_pylist() for k in ("source", "lang", "n_chars")))]
-            a, b, s = model.scores(np.stack([r for r, _ in rows]).astype(np.float16).astype(np.float32), np.stack([r for _, r in rows]))
-            s = np.where(some, s, 0.0)
-        return pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(np.asarray(v, float)) for v in (a, b, s)), pa.array((s >= threshold) & some)], names=[key, "p_text", "p_meta", "score", "kept"])
+        a, b, s, kept = judged(batch, model, threshold)
+        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(a), pa.array(b), pa.array(s), pa.array(kept)], names=[key, "p_text", "p_meta", "score", "kept"])
 
     return map_arrow(docs.select(key, "text", "source", "lang", "n_chars"), run, f"{key} {kind}, p_text double, p_meta double, score double, kept boolean", rows=1024)
 
 
+def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows the classifier rejects, in one pass that moves nothing."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = judged(batch, model, threshold)[3]
+        return batch.filter(pa.array(kept))
+
+    return map_arrow(docs, run, docs.schema, rows=1024)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -9,6 +9,7 @@ chunks. ``tests/llm`` compares whole texts with the library's own result.
 from __future__ import annotations
 
 import os
+import string
 from itertools import chain, islice
 
 import numpy as np
@@ -18,16 +19,16 @@ import numpy as np
 CACHE_ENTRIES, CACHE_KEPT = 500_000, 200_000
 #: Strings given to the library at once.
 BATCH = 8192
-#: A mark after a word of letters is always a token run of its own; fixed values.
-MARKS = frozenset(".,;:!?")
+#: A run of these after a word of letters is always split from it, and not further by the splitter.
+MARKS = string.punctuation
 
 
 class WordCachedTokenizer:
     """``mode`` "dropped": white space never belongs to a token (any ASCII white space is a cut),
     letters are lower-cased, and the last token of each word ends in ``</w>``.
     ``mode`` "leading": one space may lead a token (byte-level splitters, that token starts with
-    ``\u0120``); a cut is a space between two other characters, and a text with other runs of white
-    space is encoded whole.
+    ``\u0120``); a cut is a space or a line end between two other characters, and a text with other
+    runs of white space is encoded whole.
     """
 
     def __init__(self, path: str, mode: str):
@@ -43,6 +44,7 @@ class WordCachedTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.bound = np.zeros(max(vocabulary.values()) + 1, bool)
         self.bound[[i for token, i in vocabulary.items() if (token.startswith("\u0120") if self.leading else token.endswith("</w>"))]] = True
+        self.line_end = vocabulary.get("\u010a")
         self.cache: dict[str, bytes | None] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -58,61 +60,87 @@ class WordCachedTokenizer:
         flat, places = ids.tobytes(), ends.tolist()
         return [flat[a:b] for a, b in zip([0, *places], places)]
 
-    def _words(self, words: list[str], tokenizer) -> list[bytes]:
-        """Words of letters only: many go to the library in one string, cut apart by their bounds."""
+    def _words(self, words: list[str], tokenizer, bare: bool = False) -> list[bytes]:
+        """Words of letters only: many go to the library in one string, cut apart by their bounds.
+        ``bare``: words of a "leading" tokenizer without a space before them, joined by line ends."""
         out: list[bytes] = []
+        between = "\n" if bare else "" if self.leading else " "
         for at in range(0, len(words), BATCH):
             part = words[at : at + BATCH]
-            joined = [("" if self.leading else " ").join(part[k : k + 64]) for k in range(0, len(part), 64)]
-            ids = np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)), dtype="<u4")
-            bounds = np.flatnonzero(self.bound[ids])
-            ends = np.append(bounds[1:], len(ids)) if self.leading else bounds + 1
+            joined = [between.join(part[k : k + 64]) for k in range(0, len(part), 64)]
+            found = [e.ids for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            if bare:
+                found = [[*x, self.line_end] for x in found]
+            ids = np.fromiter(chain.from_iterable(found), dtype="<u4")
+            if bare:
+                bounds = np.flatnonzero(ids == self.line_end)
+                ends = bounds - np.arange(len(bounds))
+                ids = np.delete(ids, bounds)
+            else:
+                bounds = np.flatnonzero(self.bound[ids])
+                ends = np.append(bounds[1:], len(ids)) if self.leading else bounds + 1
             out += self._cut(ids, ends * 4) if len(ends) == len(part) else self._library(part)
         return out
 
     def _chunks(self, text: str) -> list[str]:
         if not self.leading:
             return text.replace("\n", " ").split(" ")
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        out: list[str] = []
+        lines = text.split("\n")
+        run = -1  # line ends since the last line with text
+        for k, line in enumerate(lines):
+            run += 1
+            if not line and k + 1 < len(lines):
+                continue
+            if run:
+                # Before other text the last line end of a run stands alone; else the run is one.
+                if run > 1 and line and line[0] != " ":
+                    out.append("\n" * (run - 1))
+                    run = 1
+                out.append("\n" * run)
+                run = 0
+            first, *rest = line.split(" ")
+            out.append(first)
+            out += [" " + x for x in rest]
+        return out
 
     def _safe(self, chunk: str) -> bool:
         """Whether the chunk alone is split as it is inside any text cut at such spaces."""
-        if not self.leading or not chunk:
+        if not self.leading or not chunk.strip("\n"):
             return True
-        return not chunk[-1].isspace() and not (chunk[0] == " " and chunk[1].isspace())
+        return not (chunk[-1].isspace() or chunk[chunk[0] == " "].isspace())
 
     def _add(self, new: list[str]) -> None:
         cache, whole, marked, direct = self.cache, [], [], []
         lead = 1 if self.leading else 0
         for x in new:
-            mark = x[-1:] in MARKS
-            core = x[lead:-1] if mark else x[lead:]
-            if core.isalpha() and (x[0] == " " if lead else core.isascii() or core.lower().isalpha()):
-                (marked if mark else whole).append(x)
+            base = x.rstrip(MARKS)
+            core = base[1:] if lead and base[:1] == " " else base
+            if core.isalpha() and (lead or core.isascii() or core.lower().isalpha()):
+                (whole if len(base) == len(x) else marked).append((x, base))
             elif self._safe(x):
                 direct.append(x)
             else:
                 cache[x] = None
-        for m in MARKS:
-            if m not in cache:
-                cache[m] = self._library([m])[0]
         # In lower case, where that is what the tokenizer makes of it, a word is encoded once.
-        bases = [x[:-1] for x in marked]
         if not lead:
-            bases = [b.lower() if b.isascii() else b for b in bases]
-            lowered = [b.lower() if b.isascii() else b for b in whole]
-        else:
-            lowered = whole
-        missing = [b for b in dict.fromkeys(chain(bases, lowered)) if b not in cache]
+            marked = [(x, b.lower() if b.isascii() else b) for x, b in marked]
+            whole = [(x, b.lower() if b.isascii() else b) for x, b in whole]
+        missing = [b for b in dict.fromkeys(b for _, b in chain(marked, whole)) if b not in cache]
         if not lead:
             plain = [b for b in missing if b.isascii()]
             cache.update(zip(plain, self._words(plain, self.lowered)))
             missing = [b for b in missing if not b.isascii()]
+        else:
+            bare = [b for b in missing if b[0] != " "]
+            cache.update(zip(bare, self._words(bare, self.tokenizer, bare=True)))
+            missing = [b for b in missing if b[0] == " "]
         cache.update(zip(missing, self._words(missing, self.tokenizer)))
-        cache.update(zip(whole, map(cache.__getitem__, lowered)))
-        cache.update((x, cache[b] + cache[x[-1]]) for x, b in zip(marked, bases))
-        cache.update(zip(direct, self._library(direct)))
+        if not lead:
+            cache.update((x, cache[b]) for x, b in whole)
+        marks = [m for m in {x[len(b) :] for x, b in marked} if m not in cache]
+        cache.update(zip(marks + direct, self._library(marks + direct)))
+        cache.update((x, cache[b] + cache[x[len(b) :]]) for x, b in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

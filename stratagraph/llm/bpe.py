@@ -18,13 +18,14 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_arrow, table
-from .tokens import vocabulary
+from .tokens import ChunkCache, gather, stands_alone, vocabulary
 
-#: Pieces, and chunks, one worker remembers; beyond it the memory starts again.
+#: Pieces one worker remembers; beyond it the memory starts again.
 CACHE_ENTRIES = 200_000
 
 
@@ -33,6 +34,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def laid_out(data: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values in one array, and start and length of each by its number."""
+    length = np.zeros(max(data, default=-1) + 1, np.int64)
+    length[list(data)] = [len(x) for x in data.values()]
+    flat = b"".join(data[k] for k in sorted(data))
+    return np.frombuffer(flat, np.uint8), np.cumsum(length) - length, length
+
+
 class PrefixBPE:
     """Encoder of single pieces (what the splitting pattern matches) and whole texts."""
 
@@ -45,7 +54,10 @@ class PrefixBPE:
         self._derive()
         self.longest = max(map(len, self.ranks))
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
+        self.cache = ChunkCache(self._chunks, self._whole, leading=True)
+        # By id: its bytes, and its decimal digits with a comma.
+        self.spelt = laid_out(self.bytes_of)
+        self.numbered = laid_out({i: b"%d," % i for i in self.bytes_of})
 
     def _derive(self) -> None:
         """For each token the pair BPE merges last to make it; tokens BPE never makes have none."""
@@ -141,21 +153,16 @@ class PrefixBPE:
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.pattern.findall(text)))
 
+    def _chunks(self, new: list[str]) -> list[bytes | None]:
+        return [self._whole(x) if stands_alone(x) else None for x in new]
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) one after another, and where each text's begin and the last end."""
+        return self.cache.flat(pc.fill_null(texts, ""))
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        first, *rest = text.split(" ")
-        chunks = [first, *[" " + x for x in rest]]
-        cache = self.chunks
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        for x in [x for x in chunks if x not in cache]:
-            # A chunk bordered by other white space may be split otherwise inside the text.
-            safe = not x or not (x[-1].isspace() or x[0] == " " and x[1].isspace())
-            cache[x] = self._whole(x) if safe else None
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except TypeError:
-            return self._whole(text)
+        return self.flat(pa.array([text], pa.string()))[0].tobytes()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -218,7 +225,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = worker_encoder(path, pattern)
-        ids = [np.frombuffer(encoder.encode(t or ""), "<u4").astype(np.int32) for t in batch.column(text).to_pylist()]
+        flat, at = encoder.flat(batch.column(text))
+        ids = [flat[a:b].astype(np.int32) for a, b in zip(at, at[1:])]
         return pa.RecordBatch.from_arrays([batch.column(key), pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([encoder.decode(x.tolist()) for x in ids], pa.binary())], names=[key, "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -230,16 +238,16 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = worker_encoder(path, pattern)
-        names = getattr(encoder, "names", None)
-        if names is None:
-            names = encoder.names = {i: str(i) for i in encoder.bytes_of}
-        counts, of_ids, of_text = [], [], []
-        for t in batch.column(text).to_pylist():
-            ids = np.frombuffer(encoder.encode(t or ""), "<u4").tolist()
-            counts.append(len(ids))
-            of_ids.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-            of_text.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        ids, at = encoder.flat(batch.column(text))
+        digests = []
+        for values, starts, lengths in (encoder.numbered, encoder.spelt):
+            of = lengths[ids]
+            data = memoryview(gather(values, starts[ids], of))
+            digests.append((data, np.concatenate([[0], np.cumsum(of)])[at].tolist()))
+        (numbers, n), (decoded, d) = digests
+        of_ids = [hashlib.sha256(numbers[a : max(a, b - 1)]).hexdigest() for a, b in zip(n, n[1:])]
+        of_text = [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(d, d[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(at), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
     return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text)

@@ -72,13 +72,16 @@ def id_width(path: str) -> int:
 
 def tokenize(docs: DataFrame, path: str, end_id: int, mode: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_tokens, ids (binary, little-endian of ``id_width`` bytes, with the end id)."""
-    kind_of = f"<u{id_width(path)}"
+    width = id_width(path)
+    kind_of = f"<u{width}"
+    end = end_id.to_bytes(width, "little")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokenizer = worker_tokenizer(path, mode)
-        found = tokenizer.encode([t or "" for t in batch.column(text).to_pylist()])
-        ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(kind_of).tobytes() for x in found]
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(x) // 4 + 1 for x in found], pa.int64()), pa.array(ids, pa.binary())], names=[key, "n_tokens", "ids"])
+        flat, at = tokenizer.flat(batch.column(text))
+        data, places = flat.astype(kind_of).tobytes(), (at * width).tolist()
+        ids = [data[a:b] + end for a, b in zip(places, places[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(at) + 1, pa.int64()), pa.array(ids, pa.binary())], names=[key, "n_tokens", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_tokens long, ids binary", text)

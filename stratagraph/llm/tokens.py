@@ -10,13 +10,151 @@ from __future__ import annotations
 
 import os
 import string
+from collections.abc import Callable
 from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks one worker remembers, and how many of those seen first (the frequent ones) it keeps when
 #: that is reached. Results do not depend on either.
-CACHE_ENTRIES, CACHE_KEPT = 500_000, 200_000
+CACHE_ENTRIES, CACHE_KEPT = 600_000, 200_000
+#: Never part of a cut text: marks the cuts. Texts that hold it are cut by plain Python.
+CUT = "\x1f"
+
+
+def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``values[starts[0] : starts[0] + lengths[0]]``, then those of 1, and so on, in one array."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    if not total:
+        return values[:0]
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.ones(total, kind)
+    some = lengths > 0
+    first, n = starts[some], lengths[some]
+    at[0] = first[0]
+    at[np.cumsum(n)[:-1]] = first[1:] - (first[:-1] + n[:-1] - 1)
+    return values[np.cumsum(at, dtype=kind)]
+
+
+class ChunkCache:
+    """Token ids of texts by way of their distinct chunks.
+
+    ``encode`` gets distinct chunks and returns their ids, None for a chunk that cannot be encoded
+    apart from its text; ``whole`` encodes one text as it stands. Splitting, finding the distinct
+    chunks and putting ids together are array operations; Python sees each distinct chunk once.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes | None]], whole: Callable[[str], bytes], leading: bool):
+        self.encode, self.whole, self.leading = encode, whole, leading
+        self.place: dict[str, int] = {}
+        self.ids = np.empty(1 << 20, "<u4")
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def _room(self) -> None:
+        """Forget all but the chunks seen first."""
+        kept = dict(islice(self.place.items(), CACHE_KEPT))
+        self.place, n = kept, len(kept)
+        self.used = int(self.starts[n - 1] + max(self.lengths[n - 1], 0)) if n else 0
+
+    def _add(self, new: list[str]) -> None:
+        if not new:
+            return
+        found = self.encode(new)
+        lengths = np.array([-1 if x is None else len(x) // 4 for x in found], np.int64)
+        data = np.frombuffer(b"".join(x for x in found if x), "<u4")
+        n = len(self.place)
+        while len(self.starts) < n + len(new):
+            self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
+        while len(self.ids) < self.used + len(data):
+            self.ids = np.concatenate([self.ids, self.ids])
+        size = np.maximum(lengths, 0)
+        self.starts[n : n + len(new)] = self.used + np.cumsum(size) - size
+        self.lengths[n : n + len(new)] = lengths
+        self.ids[self.used : self.used + len(data)] = data
+        self.used += len(data)
+        self.place.update(zip(new, range(n, n + len(new))))
+
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        if not self.leading:
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n" + CUT)
+        return pc.split_pattern(cut, CUT)
+
+    def _odd(self, texts: pa.Array) -> np.ndarray:
+        """Texts in which spaces and line ends touch, which are cut by rules of their own."""
+        if not self.leading:
+            return np.zeros(len(texts), bool)
+        return pc.match_substring_regex(texts, r"[ \n][ \n]|\x1f|[ \n]\z").to_numpy(zero_copy_only=False)
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls) one after another, and where each text's begin and the last end."""
+        odd = self._odd(texts)
+        split = self._split(texts)
+        coded = pc.dictionary_encode(split.flatten())
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        words = coded.dictionary.to_pylist()
+        if len(self.place) + len(words) > CACHE_ENTRIES:
+            self._room()
+        self._add([w for w in words if w not in self.place])
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        lengths = self.lengths[at]
+        doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        odd[doc[lengths < 0]] = True
+        lengths = np.maximum(lengths, 0)
+        ids = gather(self.ids, self.starts[at], lengths)
+        sums = np.concatenate([[0], np.cumsum(lengths)])[bounds]
+        if not odd.any():
+            return ids, sums
+        parts = [ids[sums[k] : sums[k + 1]] for k in range(len(texts))]
+        for k in np.flatnonzero(odd):
+            parts[k] = np.frombuffer(self._odd_text(texts[int(k)].as_py()), "<u4")
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _odd_text(self, text: str) -> bytes:
+        chunks = chunks_of(text)
+        if len(self.place) + len(chunks) > CACHE_ENTRIES:
+            self._room()
+        self._add([w for w in dict.fromkeys(chunks) if w not in self.place])
+        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        lengths = self.lengths[at]
+        return self.whole(text) if (lengths < 0).any() else gather(self.ids, self.starts[at], lengths).tobytes()
+
+
+def chunks_of(text: str) -> list[str]:
+    """Chunks of a text for a splitter that lets one space lead a token: cuts at spaces and line ends."""
+    out: list[str] = []
+    lines = text.split("\n")
+    run = -1  # line ends since the last line with text
+    for k, line in enumerate(lines):
+        run += 1
+        if not line and k + 1 < len(lines):
+            continue
+        if run:
+            # Before other text the last line end of a run stands alone; else the run is one.
+            if run > 1 and line and line[0] != " ":
+                out.append("\n" * (run - 1))
+                run = 1
+            out.append("\n" * run)
+            run = 0
+        first, *rest = line.split(" ")
+        out.append(first)
+        out += [" " + x for x in rest]
+    return out
+
+
+def stands_alone(chunk: str) -> bool:
+    """Whether such a chunk is split by itself as it is inside any text."""
+    if not chunk.strip("\n"):
+        return True
+    return not (chunk[-1].isspace() or chunk[chunk[0] == " "].isspace())
+
+
 #: Strings given to the library at once.
 BATCH = 8192
 #: A run of these after a word of letters is always split from it, and not further by the splitter.
@@ -45,7 +183,8 @@ class WordCachedTokenizer:
         self.bound = np.zeros(max(vocabulary.values()) + 1, bool)
         self.bound[[i for token, i in vocabulary.items() if (token.startswith("\u0120") if self.leading else token.endswith("</w>"))]] = True
         self.line_end = vocabulary.get("\u010a")
-        self.cache: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        self.chunks = ChunkCache(self._encode, lambda text: self._library([text])[0], self.leading)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -82,82 +221,47 @@ class WordCachedTokenizer:
             out += self._cut(ids, ends * 4) if len(ends) == len(part) else self._library(part)
         return out
 
-    def _chunks(self, text: str) -> list[str]:
-        if not self.leading:
-            return text.replace("\n", " ").split(" ")
-        out: list[str] = []
-        lines = text.split("\n")
-        run = -1  # line ends since the last line with text
-        for k, line in enumerate(lines):
-            run += 1
-            if not line and k + 1 < len(lines):
-                continue
-            if run:
-                # Before other text the last line end of a run stands alone; else the run is one.
-                if run > 1 and line and line[0] != " ":
-                    out.append("\n" * (run - 1))
-                    run = 1
-                out.append("\n" * run)
-                run = 0
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-        return out
-
-    def _safe(self, chunk: str) -> bool:
-        """Whether the chunk alone is split as it is inside any text cut at such spaces."""
-        if not self.leading or not chunk.strip("\n"):
-            return True
-        return not (chunk[-1].isspace() or chunk[chunk[0] == " "].isspace())
-
-    def _add(self, new: list[str]) -> None:
-        cache, whole, marked, direct = self.cache, [], [], []
-        lead = 1 if self.leading else 0
+    def _encode(self, new: list[str]) -> list[bytes | None]:
+        """Ids of distinct chunks: a word of letters and the marks after it are encoded apart."""
+        lead, known = self.leading, self.known
+        out: dict[str, bytes | None] = {}
+        base_of: list[tuple[str, str]] = []
+        direct: list[str] = []
         for x in new:
             base = x.rstrip(MARKS)
             core = base[1:] if lead and base[:1] == " " else base
             if core.isalpha() and (lead or core.isascii() or core.lower().isalpha()):
-                (whole if len(base) == len(x) else marked).append((x, base))
-            elif self._safe(x):
+                # In lower case, where that is what the tokenizer makes of it, a word is encoded once.
+                base_of.append((x, base if lead or not base.isascii() else base.lower()))
+            elif not lead or stands_alone(x):
                 direct.append(x)
             else:
-                cache[x] = None
-        # In lower case, where that is what the tokenizer makes of it, a word is encoded once.
-        if not lead:
-            marked = [(x, b.lower() if b.isascii() else b) for x, b in marked]
-            whole = [(x, b.lower() if b.isascii() else b) for x, b in whole]
-        missing = [b for b in dict.fromkeys(b for _, b in chain(marked, whole)) if b not in cache]
+                out[x] = None
+        missing = list(dict.fromkeys(b for _, b in base_of))
+        groups = ([b for b in missing if b[0] == " "], self.tokenizer, False), ([b for b in missing if b[0] != " "], self.tokenizer, True)
         if not lead:
-            plain = [b for b in missing if b.isascii()]
-            cache.update(zip(plain, self._words(plain, self.lowered)))
-            missing = [b for b in missing if not b.isascii()]
-        else:
-            bare = [b for b in missing if b[0] != " "]
-            cache.update(zip(bare, self._words(bare, self.tokenizer, bare=True)))
-            missing = [b for b in missing if b[0] == " "]
-        cache.update(zip(missing, self._words(missing, self.tokenizer)))
-        if not lead:
-            cache.update((x, cache[b]) for x, b in whole)
-        marks = [m for m in {x[len(b) :] for x, b in marked} if m not in cache]
-        cache.update(zip(marks + direct, self._library(marks + direct)))
-        cache.update((x, cache[b] + cache[x[len(b) :]]) for x, b in marked)
+            groups = ([b for b in missing if b.isascii()], self.lowered, False), ([b for b in missing if not b.isascii()], self.tokenizer, False)
+        words: dict[str, bytes] = {}
+        for part, tokenizer, bare in groups:
+            words.update(zip(part, self._words(part, tokenizer, bare)))
+        marks = [m for m in {x[len(b) :] for x, b in base_of} if m not in known]
+        if len(known) > BATCH:
+            known.clear()
+            marks = list({x[len(b) :] for x, b in base_of})
+        known.update(zip(marks, self._library(marks)))
+        out.update((x, words[b] + known[x[len(b) :]]) for x, b in base_of)
+        out.update(zip(direct, self._library(direct)))
+        return [out[x] for x in new]
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin and the last end."""
+        return self.chunks.flat(pc.fill_null(texts, ""))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._chunks(t) for t in texts]
-        distinct = set(chain.from_iterable(split))
-        new = [x for x in distinct if x not in self.cache]
-        if len(self.cache) + 2 * len(new) > CACHE_ENTRIES:
-            self.cache = dict(islice(self.cache.items(), CACHE_KEPT))
-            new = [x for x in distinct if x not in self.cache]
-        self._add(new)
-        out, get = [], self.cache.__getitem__
-        for text, chunks in zip(texts, split):
-            try:
-                out.append(b"".join(map(get, chunks)))
-            except TypeError:  # a chunk that is not safe alone
-                out.append(self._library([text])[0])
-        return out
+        ids, at = self.flat(pa.array(texts, pa.string()))
+        data, at = ids.tobytes(), (at * 4).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 _LOADED: dict[tuple[str, str], WordCachedTokenizer] = {}

@@ -15,10 +15,11 @@ their fingerprint at once, so copies, however many, are one node. Two nodes link
   of the boundary enter these lists too, so heavy-light pairs are found.
 * The boundary is chosen by cost: entries listed either way, over the counted sizes.
 
-Lists are not expanded into pairs. Each is first scanned against its first member; verified links
-give connected components; what a list still holds of different components is scanned again, or,
-when few pairs remain, compared in full. A pair is left out only if both are known to be in one
-component. Components are therefore exact, and a group of n near copies costs about n comparisons.
+Lists are not expanded into pairs. Lists that share nodes are one group, which is first compared
+with its hub; verified links give connected components, and a group that still holds different
+components is compared in full, in tiles of bounded size from which only links come out. A pair is
+left out only if both are known to be in one component. Components are therefore exact, and a group
+of n near copies of one text costs about n comparisons.
 
 Documents without words have an empty set and link with nothing; those with fewer words than an
 n-gram are one n-gram. Null texts are empty. Rows with a null id take no part and get a null
@@ -32,6 +33,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,6 +50,8 @@ SCAN_COST = 1.0
 CACHE_ENTRIES = 400_000
 #: Bits of the filter that tells which texts to read again; a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 23
+#: Nodes in a chunk; two chunks are compared at a time.
+TILE = 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -279,33 +283,78 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different components in a group, enough of them to connect
+    what is connected: every group is compared in full, in tiles of bounded size.
+
+    ``rows`` has group, node, component and n, the size of the group. A group is dealt into chunks
+    of about ``TILE`` nodes, and each pair of chunks is a task's worth of work; only links come out.
+    """
+    chunks = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    spread = dealt.join(sets.select(F.col("sig").alias("node"), "items"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = spread.select("group", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "items")
+
+    def compare(pdf):
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        sets_ = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+        size = np.array([len(x) for x in sets_])
+        items, code, often = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets_)), size)
+        keep = often[code] > 1
+        code, owner = (np.cumsum(often > 1) - 1)[code[keep]], owner[keep]
+        left, right = np.flatnonzero(pdf["chunk"] == i), np.flatnonzero(pdf["chunk"] == j)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        for low in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            part = slice(*np.searchsorted(code, [low, low + 4096]))
+            m = np.zeros((len(sets_), 4096), np.float32)
+            m[owner[part], code[part] - low] = 1
+            shared += m[left] @ m[right].T
+        comp = pdf["component"].to_numpy()
+        ok = (100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)) & (comp[left][:, None] != comp[right][None, :])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        node, out = pdf["node"].to_numpy(), []
+        for x, y in zip(*np.nonzero(ok)):
+            x, y = left[x], right[y]
+            u, v = root(comp[x]), root(comp[y])
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                out.append((node[x], node[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return tiles.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def linked_components(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, component) of all nodes with a link, from the lists (list, pivot, member)."""
-    tested = materialize(lists.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), "pairs")
-    links = materialize(verified(tested, sets, percent), "links")
-    while True:
-        parts = materialize(connected_components(links, "a", "b"), "components")
-        named = parts.select(F.col("node").alias("member"), "component")
-        # The pivot has been compared with all: what is left of a list are its other members.
-        left = lists.select("list", "member").join(named, "member", "left").select("list", "member", F.coalesce("component", "member").alias("component"))
-        open_ = left.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-        left = materialize(left.join(open_.select("list", "n"), "list"), "open")
-        rows, most = left.agg(F.count("*"), F.sum("n") / 2).first()
-        if not rows:
-            return parts.select(F.col("node").alias("sig"), "component")
-        final = most <= 8 * rows + 100_000
-        if final:  # few enough to compare in full
-            other = left.select("list", F.col("member").alias("m2"), F.col("component").alias("c2"))
-            pairs = left.join(other, "list").filter("member < m2 and component <> c2").select(F.col("member").alias("a"), F.col("m2").alias("b"))
-        else:
-            pivots = left.groupBy("list").agg(F.min("member").alias("pivot"))
-            lists = materialize(left.select("list", "member").join(pivots, "list").filter("member <> pivot"), "lists")
-            pairs = lists.select(F.col("pivot").alias("a"), F.col("member").alias("b"))
-        new = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(verified(new, sets, percent), "links")
-        links, tested = links.unionByName(more), tested.unionByName(new)
-        if final:
-            return connected_components(links, "a", "b").select(F.col("node").alias("sig"), "component")
+    """(sig, component) of all nodes with a link, from the lists (list, pivot, member).
+
+    Lists that share nodes form a group, and only nodes of one group can link. A group is compared
+    with its hub, the member that shares most list places: of near copies that is the text they all
+    come from, or the one nearest to it. Groups not one component by then are compared in full.
+    """
+    groups = connected_components(lists.select("pivot", "member").distinct(), "pivot", "member").withColumnRenamed("component", "group")
+    sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.first("pivot").alias("node"))
+    places = lists.select("list", F.col("member").alias("node")).join(sizes.select("list", "n"), "list").select("node", "n").unionByName(sizes.select("node", "n"))
+    nodes = materialize(groups.join(places.groupBy("node").agg(F.sum("n").alias("w")), "node"), "groups")
+    hubs = nodes.groupBy("group").agg(F.max(F.struct("w", "node")).alias("hub")).select("group", F.col("hub.node").alias("hub"))
+    met = nodes.join(hubs, "group").filter("node <> hub")
+    links = materialize(verified(met.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "links")
+    named = materialize(connected_components(links, "a", "b"), "components")
+    # The hub has met all; what is left is how the others stand to each other.
+    left = met.join(named, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+    open_ = left.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("group", "n")
+    more = materialize(tile_links(left.join(open_, "group"), sets, percent), "links")
+    return connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "sig")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", boundary: int | None = None) -> DataFrame:

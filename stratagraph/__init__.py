@@ -1,0 +1 @@
+"""Graph-grounded text and code analytics on Spark DataFrames."""

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FORMATS = {"json": "json", "compact": "compact", "toon": "toon"}
 
 
 def success(command: str, rows: DataFrame, form: str = "json", limit: int = 1000) -> str:
     """One document with the (few) rows of an answer; ``limit`` guards the driver."""
-    data = [json.loads(x) for x in rows.limit(limit).toJSON().collect()]
+    data = [json.loads(r["line"]) for r in rows.limit(limit).select(F.to_json(F.struct("*")).alias("line")).collect()]
     if form == "json":
         return json.dumps({"format": "json", "command": command, "ok": True, "data": data}, indent=2)
     return json.dumps({"f": FORMATS[form], "c": command, "o": True, "d": data}, separators=(",", ":"))

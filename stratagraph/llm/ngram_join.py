@@ -7,19 +7,18 @@ their fingerprint at once, so copies, however many, are one node. Two nodes link
 * Light nodes (at most ``boundary`` n-grams) list every subset they could share with a linked
   partner: all subsets without at most ``size * (100 - percent) / 100`` elements. Two light nodes
   that link hold the very same subset (their intersection).
-* Heavy nodes meet in inverted lists. A pair of linked sets differs in at most
-  ``(a + b) (100 - percent) / (100 + percent)`` elements, so when the hash space is cut into more blocks
-  than that, some block holds the same elements in both. Lists are kept by block content, within
-  classes of size such that partners are in the same or the next class. Frequent n-grams and
-  shared passages make no long lists this way, only near-equal sets do. Light nodes within reach
-  of the boundary enter these lists too, so heavy-light pairs are found.
+* Heavy nodes meet in inverted lists of n-grams. In an order of all n-grams from rare to frequent,
+  two sets that link share one of their first ``size - ceil(size * percent / 100) + 1`` elements, so
+  only those are listed. How frequent an n-gram is comes from counts of all n-grams of all documents
+  in a table of fixed size; n-grams of passages that many documents share stand out of it and are not
+  listed. Light nodes within reach of the boundary are listed too, so heavy-light pairs are found.
 * The boundary is chosen by cost: entries listed either way, over the counted sizes.
 
-Lists are not expanded into pairs. Lists that share nodes are one group, which is first compared
-with its hub; verified links give connected components, and a group that still holds different
-components is compared in full, in tiles of bounded size from which only links come out. A pair is
-left out only if both are known to be in one component. Components are therefore exact, and a group
-of n near copies of one text costs about n comparisons.
+Lists are not expanded into pairs. Lists with the same or mostly the same members become one. Each is
+compared with its hub, the member found in most lists; verified links give connected components, and a list that still holds different components
+is compared in full, in tiles of bounded size from which only links come out. A pair is left out only
+if both are known to be in one component. Components are therefore exact, and a group of n near
+copies of one text costs about n comparisons.
 
 Documents without words have an empty set and link with nothing; those with fewer words than an
 n-gram are one n-gram. Null texts are empty. Rows with a null id take no part and get a null
@@ -28,6 +27,7 @@ component. Repeated rows are copies of each other.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -39,15 +39,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, shuffle_width, slices, table
+from .common import held, materialize, release, shuffle_width, slices, table
 from .components import connected_components
 
 #: Sizes up to which a boundary is considered.
 MOST_LIGHT = 40
-#: A list entry of a heavy node is written and then scanned; a subset of a light node only written.
-SCAN_COST = 1.0
+#: A list entry of a heavy node is written and then scanned, with the sets that share only this
+#: n-gram among those found; a subset of a light node is written, and found only by true partners.
+SCAN_COST = 4.0
 #: Words one worker remembers the hash of.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
+#: Counters of n-grams: a power of two near so many for each document, but from 1/4 to 16 million
+#: (32 MB), so that what is broadcast is bounded. With more documents than that the order is coarser
+#: and lists are longer; results stay the same.
+COUNTERS_PER_DOCUMENT, LEAST_COUNTERS, MOST_COUNTERS = 32, 1 << 18, 1 << 24
 #: Bits of the filter that tells which texts to read again; a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 23
 #: Nodes in a chunk; two chunks are compared at a time.
@@ -70,9 +75,6 @@ class _Words(dict):
         return found
 
 
-_WORDS = _Words()
-
-
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word ``n``-grams; A-Z lower-cased, words cut at ASCII white space."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -80,7 +82,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < n:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=7)], np.uint64)
-    codes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    codes = np.fromiter(map(held("words", _Words).__getitem__, words), np.uint64, len(words))
     last = len(codes) - n + 1
     found = codes[:last]
     for k in range(1, n):
@@ -89,34 +91,20 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 class Plan:
-    """Size classes and block counts for one similarity."""
+    """Which lists a set belongs to, for one similarity and boundary."""
 
-    def __init__(self, percent: int, boundary: int = 0):
+    def __init__(self, percent: int, boundary: int = 0, counts: np.ndarray | None = None):
         self.percent, self.boundary = percent, boundary
-        self.starts = [1]
+        self.counts = np.zeros(1, np.uint32) if counts is None else counts
+        self.shift = np.uint64(64 - int(len(self.counts)).bit_length() + 1)
 
     def misses(self, size: int) -> int:
         """Most elements of a set that a linked partner can lack."""
         return size * (100 - self.percent) // 100
 
-    def class_of(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.starts, size, side="right")) - 1
-
-    def blocks(self, of: int) -> int:
-        """One block more than there can be differences, and one so that an empty block can be left out."""
-        while len(self.starts) <= of + 1:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        return 2 * (self.starts[of + 1] - 1) * (100 - self.percent) // (100 + self.percent) + 2
-
     def subsets(self, size: int) -> int:
         return sum(comb(size, m) for m in range(self.misses(size) + 1))
 
-    def entries(self, size: int) -> int:
-        of = self.class_of(size)
-        return self.blocks(of) + self.blocks(of + 1)
-
     def is_light(self, size: int) -> bool:
         return size <= self.boundary
 
@@ -124,6 +112,9 @@ class Plan:
         """Whether some partner can be heavy."""
         return size * 100 >= (self.boundary + 1) * self.percent
 
+    def entries(self, size: int) -> int:
+        return self.misses(size) + 1
+
     def cost(self, sizes: dict[int, int]) -> float:
         return sum(n * (self.subsets(s) * self.is_light(s) + (1 + SCAN_COST) * self.entries(s) * self.is_listed(s)) for s, n in sizes.items())
 
@@ -137,20 +128,51 @@ class Plan:
                 without = np.array([spread[list(c)].sum(dtype=np.uint64) for c in combinations(range(size), m)], np.uint64) if m != 1 else spread
                 found.append(mix(total - without + np.uint64(size - m)))
         if self.is_listed(size):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(items ^ GOLDEN), dtype=np.uint64)])
-            own = self.class_of(size)
-            for of in (own, own + 1):
-                count = self.blocks(of)
-                edges = np.searchsorted(items, (np.arange(1, count, dtype=np.float64) * (2.0**64 / count)).astype(np.uint64))
-                edges = np.concatenate([[0], edges, [size]])
-                block = np.arange(count, dtype=np.uint64) + np.uint64(of * 1_000_003 + 1 << 20)
-                keys = mix(mix(sums[edges[1:]] - sums[edges[:-1]] + GOLDEN) + block * GOLDEN)
-                full = edges[1:] > edges[:-1]
-                # Two blocks at least agree, so one empty block may be left out, but not more.
-                found.append(keys[full] if full.sum() >= count - 1 else keys)
+            often = self.counts[items >> self.shift] if len(self.counts) > 1 else np.zeros(size, np.uint32)
+            first = np.lexsort((items, often))[: self.entries(size)]
+            found.append(items[first])
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
+def counters_for(docs: DataFrame) -> int:
+    """Counters in proportion to the documents, within fixed bounds."""
+    want = max(docs.count() * COUNTERS_PER_DOCUMENT, LEAST_COUNTERS)
+    return min(MOST_COUNTERS, 1 << (want - 1).bit_length())
+
+
+def frequencies(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
+    """How often the n-grams of each hash range occur in all documents (up to 65535): tasks count,
+    chunks are summed."""
+    counters, chunks = counters_for(docs), 64
+    shift, part = np.uint64(64 - counters.bit_length() + 1), counters // chunks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(counters, np.uint32)
+        for batch in slices(batches, text):
+            at, times = np.unique(np.concatenate([np.empty(0, np.uint64), *(shingles(t, n) >> shift for t in batch.column(text).to_pylist())]), return_counts=True)
+            counts[at.astype(np.int64)] += times.astype(np.uint32)
+        release()
+        rows = []
+        for k in range(chunks):
+            own = np.minimum(counts[k * part : (k + 1) * part], 65535)
+            if own.any():
+                rows.append((k, zlib.compress(own.astype("<u1" if own.max() < 256 else "<u2").tobytes(), 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["chunk", "counts"])
+
+    def add(pdf):
+        total = np.zeros(part, np.uint32)
+        for x in pdf["counts"]:
+            data = zlib.decompress(x)
+            total += np.frombuffer(data, f"<u{len(data) // part}")
+        return pdf.iloc[:1].assign(counts=[np.minimum(total, 65535).astype("<u2").tobytes()])
+
+    rows = docs.select(text).mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
+    out = np.zeros((chunks, part), np.uint16)
+    for r in rows:
+        out[r["chunk"]] = np.frombuffer(r["counts"], "<u2")
+    return out.ravel()
+
+
 def small_sizes(docs: DataFrame, n: int, text: str = "text") -> dict[int, int]:
     """About how many sets there are of each small size; only the choice of the boundary rests on it."""
     words = F.size(F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")) - (n - 1)
@@ -165,8 +187,11 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
 def nodes_of(docs: DataFrame, plan: Plan, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, n_shingles, sig, sig2, lists): lists are given once a task for equal sets."""
     kind = docs.schema[key].dataType.simpleString()
+    counts = docs.sparkSession.sparkContext.broadcast(plan.counts)
+    percent, boundary = plan.percent, plan.boundary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Plan(percent, boundary, counts.value)
         seen: set[int] = set()
         for batch in slices(batches, text):
             sizes, marks, checks, lists = [], [], [], []
@@ -182,6 +207,7 @@ def nodes_of(docs: DataFrame, plan: Plan, n: int, key: str = "doc_id", text: str
             at = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *lists])))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), signed(marks), signed(checks), held], names=[key, "n_shingles", "sig", "sig2", "lists"])
+        release()
 
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_shingles long, sig long, sig2 long, lists array<long>")
 
@@ -190,31 +216,34 @@ def signed(values: list[int | None]) -> pa.Array:
     return pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
 
 
-def scan(entries: DataFrame, width: int) -> DataFrame:
-    """(list, pivot, member) for every list with two nodes or more: its smallest node and each other.
+def scan(entries: DataFrame, width: int, percent: int) -> DataFrame:
+    """(list, pivot, member) for every list with two nodes or more: its first node and each other.
 
-    Sorted by Spark, then streamed: of the list in hand only its pivot is remembered.
+    A list is sorted by size and cut wherever the next set is too large for any before the cut to link
+    with any after it; the parts are lists of their own. Sorted by Spark, then streamed: of the list in
+    hand only its pivot and latest member are remembered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None  # list, pivot and latest node so far
+        carry = None  # list, size and node of the latest row; pivot and name of its list
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, s = (batch.column(c).to_numpy() for c in ("list", "sig"))
+            k, size, s = (batch.column(c).to_numpy() for c in ("list", "size", "sig"))
             if carry is not None:
-                k, s = np.concatenate([[carry[0]], k]), np.concatenate([[carry[2]], s])
+                k, size, s = np.concatenate([[carry[0]], k]), np.concatenate([[carry[1]], size]), np.concatenate([[carry[2]], s])
             fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-            k, s = k[fresh], s[fresh]
-            start = np.concatenate([[True], k[1:] != k[:-1]])
-            pivot = s[np.flatnonzero(start)][np.cumsum(start) - 1]
+            k, size, s = k[fresh], size[fresh], s[fresh]
+            start = np.concatenate([[True], (k[1:] != k[:-1]) | (100 * size[:-1] < percent * size[1:])])
+            first = np.flatnonzero(start)[np.cumsum(start) - 1]
+            pivot, name = s[first], mix(k[first].view(np.uint64) + mix(s[first].view(np.uint64))).view(np.int64)
             if carry is not None:
-                pivot[k == carry[0]] = carry[1]
+                pivot, name = np.where(first == 0, carry[3], pivot), np.where(first == 0, carry[4], name)
             own = ~start
-            carry = (k[-1], pivot[-1], s[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(k[own]), pa.array(pivot[own]), pa.array(s[own])], names=["list", "pivot", "member"])
+            carry = (k[-1], size[-1], s[-1], pivot[-1], name[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(name[own]), pa.array(pivot[own]), pa.array(s[own])], names=["list", "pivot", "member"])
 
-    return entries.repartition(width, "list").sortWithinPartitions("list", "sig").mapInArrow(run, "list long, pivot long, member long")
+    return entries.select("list", "size", "sig").repartition(width, "list").sortWithinPartitions("list", "size", "sig").mapInArrow(run, "list long, pivot long, member long")
 
 
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
@@ -243,7 +272,8 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(sig, items): the sets of the nodes in ``wanted`` (sig, rep), read again from their texts."""
+    """(sig, items): the sets of the nodes in ``wanted`` (sig, rep), read again from their texts. A few
+    others pass the filter as well; no join asks for them."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(id_filter(wanted, "rep"))
 
@@ -254,11 +284,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) ->
             for part in slices([batch.take(pa.array(hit))], text):
                 found = [shingles(t, n) for t in part.column(text).to_pylist()]
                 data = [x.tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(key), signed([xxhash.xxh3_64_intdigest(x) for x in data]), pa.array(data, pa.binary())], names=["rep", "sig", "items"])
+                yield pa.RecordBatch.from_arrays([signed([xxhash.xxh3_64_intdigest(x) for x in data]), pa.array(data, pa.binary())], names=["sig", "items"])
+        release()
 
-    kind = docs.schema[key].dataType.simpleString()
-    read = docs.filter(F.col(key).isNotNull()).select(key, text, F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("at")).mapInArrow(run, f"rep {kind}, sig long, items binary")
-    return read.join(wanted, ["sig", "rep"], "left_semi").select("sig", "items")
+    return docs.filter(F.col(key).isNotNull()).select(text, F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("at")).mapInArrow(run, "sig long, items binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,16 +313,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes of different components in a group, enough of them to connect
-    what is connected: every group is compared in full, in tiles of bounded size.
+    """Links (a, b) between nodes of different components that share a list, enough of them to
+    connect what is connected: every list is compared in full, in tiles of bounded size.
 
-    ``rows`` has group, node, component and n, the size of the group. A group is dealt into chunks
+    ``rows`` has list, node, component and n, the length of the list. A list is dealt into chunks
     of about ``TILE`` nodes, and each pair of chunks is a task's worth of work; only links come out.
     """
     chunks = F.ceil(F.col("n") / TILE).cast("int")
     dealt = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = dealt.join(sets.select(F.col("sig").alias("node"), "items"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = spread.select("group", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "items")
+    tiles = spread.select("list", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "items")
 
     def compare(pdf):
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -332,28 +361,46 @@ def tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out.append((node[x], node[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return tiles.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+    return tiles.groupBy("list", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def members_of(lists: DataFrame) -> DataFrame:
+    """(list, node) from (list, pivot, member)."""
+    return lists.select("list", F.col("member").alias("node")).unionByName(lists.select("list", F.col("pivot").alias("node")).distinct())
+
+
+def merged_lists(rows: DataFrame) -> DataFrame:
+    """(list, node) with lists of the same members, and lists that share most members, made one.
+
+    Near copies share nearly all their lists, each list without the few copies edited there; in place
+    of hundreds of lists their union is compared once. Every list lies within the one it went into,
+    so no pair is lost. A list goes where two thirds of its members have their longest list.
+    """
+    marks = rows.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("mark2"))
+    one = marks.groupBy("n", "mark", "mark2").agg(F.min("list").alias("list")).select("list", "n")
+    kept = materialize(rows.join(one, "list"), "lists")
+    longest = kept.groupBy("node").agg(F.max(F.struct("n", "list")).alias("m")).select("node", F.col("m.list").alias("longest"))
+    votes = kept.join(longest, "node").groupBy("list", "longest").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    into = votes.filter("list <> longest and 3 * c >= 2 * n").select("list", "longest")
+    unions = connected_components(into, "list", "longest").select(F.col("node").alias("list"), "component")
+    return kept.join(unions, "list", "left").select(F.coalesce("component", "list").alias("list"), "node").distinct()
 
 
-def linked_components(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, component) of all nodes with a link, from the lists (list, pivot, member).
+def linked_components(lists: DataFrame, places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(sig, component) of all nodes with a link, from the lists (list, node).
 
-    Lists that share nodes form a group, and only nodes of one group can link. A group is compared
-    with its hub, the member that shares most list places: of near copies that is the text they all
-    come from, or the one nearest to it. Groups not one component by then are compared in full.
+    ``places`` (node, n) tells how many lists found a node; the hub of a list is its member with most:
+    of near copies that is the text they all come from, or the one nearest to it.
     """
-    groups = connected_components(lists.select("pivot", "member").distinct(), "pivot", "member").withColumnRenamed("component", "group")
-    sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.first("pivot").alias("node"))
-    places = lists.select("list", F.col("member").alias("node")).join(sizes.select("list", "n"), "list").select("node", "n").unionByName(sizes.select("node", "n"))
-    nodes = materialize(groups.join(places.groupBy("node").agg(F.sum("n").alias("w")), "node"), "groups")
-    hubs = nodes.groupBy("group").agg(F.max(F.struct("w", "node")).alias("hub")).select("group", F.col("hub.node").alias("hub"))
-    met = nodes.join(hubs, "group").filter("node <> hub")
-    links = materialize(verified(met.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "links")
+    sizes = lists.groupBy("list").agg(F.count("*").alias("n"))
+    hubs = lists.join(places.withColumnRenamed("n", "w"), "node").groupBy("list").agg(F.max(F.struct("w", "node")).alias("hub")).select("list", F.col("hub.node").alias("hub"))
+    met = materialize(lists.join(hubs, "list").filter("node <> hub"), "met")
+    links = materialize(verified(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), sets, percent), "links")
     named = materialize(connected_components(links, "a", "b"), "components")
     # The hub has met all; what is left is how the others stand to each other.
-    left = met.join(named, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
-    open_ = left.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("group", "n")
-    more = materialize(tile_links(left.join(open_, "group"), sets, percent), "links")
+    left = met.join(named, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
+    open_ = left.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    more = materialize(tile_links(left.join(open_.select("list"), "list", "left_semi").join(sizes, "list"), sets, percent), "links")
     return connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "sig")
 
 
@@ -362,17 +409,19 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     spark = docs.sparkSession
     if boundary is None:
         boundary = choose_boundary(small_sizes(docs, n, text), percent)
-    plan = Plan(percent, boundary)
+    plan = Plan(percent, boundary, frequencies(docs, n, text))
     nodes = materialize(nodes_of(docs, plan, n, key, text), "nodes")
-    entries = nodes.filter(F.col(key).isNotNull()).select("sig", F.explode("lists").alias("list"))
-    lists = materialize(scan(entries, shuffle_width(spark)), "lists")
+    entries = nodes.filter(F.col(key).isNotNull()).select("sig", F.col("n_shingles").cast("int").alias("size"), F.explode("lists").alias("list"))
+    members = members_of(materialize(scan(entries, shuffle_width(spark), percent), "scanned"))
+    lists = materialize(merged_lists(members), "lists")
+    places = members.groupBy("node").agg(F.count("*").alias("n"))
     reps = nodes.filter(F.col(key).isNotNull() & F.col("sig").isNotNull()).groupBy("sig").agg(F.min(key).alias("rep"), F.min("sig2").alias("lo"), F.max("sig2").alias("hi"))
     # Two different sets of one fingerprint would show in the second one.
     reps = materialize(reps.select("sig", F.when(F.col("lo") == F.col("hi"), F.col("rep")).otherwise(F.raise_error(F.lit("two sets have one fingerprint")).cast(docs.schema[key].dataType)).alias("rep")), "reps")
-    wanted = lists.select(F.col("pivot").alias("sig")).unionByName(lists.select(F.col("member").alias("sig"))).distinct().join(reps, "sig")
+    wanted = lists.select(F.col("node").alias("sig")).distinct().join(reps, "sig")
     wanted = materialize(wanted, "wanted")
     sets = materialize(sets_of(docs, wanted, n, key, text), "sets")
-    parts = materialize(linked_components(lists, sets, percent), "parts")
+    parts = materialize(linked_components(lists, places, sets, percent), "parts")
     named = parts.join(reps, "sig")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = reps.join(named.join(least, "component").select("sig", "component_id"), "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))

@@ -59,7 +59,7 @@ def test_keys_meet_whatever_the_boundary():
     rnd = np.random.default_rng(4)
     for percent in (80, 90):
         for boundary in (0, 9, 15, 25):
-            plan = ngram_join.Plan(percent, boundary)
+            plan = ngram_join.Plan(percent, boundary, rnd.integers(0, 50, 1 << 12).astype(np.uint32))
             for _ in range(300):
                 size = int(rnd.integers(1, 120 if boundary < 20 else 30))
                 a = np.unique(rnd.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow, table
+from .common import held, map_arrow, table
 from .tokens import ChunkCache, gather, stands_alone, vocabulary
 
 #: Pieces one worker remembers; beyond it the memory starts again.
@@ -211,13 +211,8 @@ class AppendableEncoding:
         return self.encoder.walk_back(self.last)
 
 
-_LOADED: dict[tuple[str, str], PrefixBPE] = {}
-
-
 def worker_encoder(path: str, pattern: str) -> PrefixBPE:
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = PrefixBPE(path, pattern)
-    return _LOADED[path, pattern]
+    return held(("bpe", path, pattern), lambda: PrefixBPE(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,7 +225,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
         return pa.RecordBatch.from_arrays([batch.column(key), pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([encoder.decode(x.tolist()) for x in ids], pa.binary())], names=[key, "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(docs.select(key, text), run, f"{key} {kind}, ids array<int>, decoded binary", text)
+    return map_arrow(docs.select(key, text), run, f"{key} {kind}, ids array<int>, decoded binary", text, keep=True)
 
 
 def round_trip_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,7 +245,7 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_
         return pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(at), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text)
+    return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text, keep=True)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
@@ -37,7 +43,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows Spark hands to Python at a time. Its own 64 MB, held on both sides by every worker, is
+#: more than an executor with a few hundred MB for Python can spare.
+ARROW_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,12 +74,40 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 20
             start += n
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str, text: str = "text", rows: int = 2048) -> DataFrame:
-    """``mapInArrow`` over bounded slices."""
+_HELD: dict[Hashable, object] = {}
+
+
+def held(name: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: one thing at a time.
+
+    Workers outlive jobs. When another operator asks, what the last one kept is given back first, so
+    a worker's memory is that of its largest operator, not of all it has ever run.
+    """
+    if name not in _HELD:
+        if _HELD:
+            release()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release() -> None:
+    """Give back what a worker keeps, and the memory its allocators hold."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str, text: str = "text", rows: int = 2048, size: int = 8 << 20, keep: bool = False) -> DataFrame:
+    """``mapInArrow`` over bounded slices. ``keep``: what the worker remembers outlasts the task."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text, rows):
+        for part in slices(batches, text, rows, size):
             out = f(part)
             yield from out if isinstance(out, list) else [out]
+        if not keep:
+            release()
 
     return df.mapInArrow(run, schema)

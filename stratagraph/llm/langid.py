@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import held, map_arrow, slices, table
 
 BUCKETS = 1 << 16
 ROWS_PER_LANGUAGE = 1500
 SWITCH_PENALTY = 12.0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 UND = "und"
 
 # First code points of ranges, and the script each range is in ("" for others).
@@ -183,15 +183,9 @@ class Labeller:
         return self.rows[at]
 
 
-_LABELLERS: dict[bytes, Labeller] = {}
-
-
 def _labeller(model: Model, penalty: float) -> Labeller:
     mark = model.weights[:64].tobytes() + repr((model.languages, penalty, float(model.weights.sum()))).encode()
-    if mark not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[mark] = Labeller(model, penalty)
-    return _LABELLERS[mark]
+    return held(("languages", mark), lambda: Labeller(model, penalty))
 
 
 def predict(docs: DataFrame, model: Model, switch_penalty: float = SWITCH_PENALTY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,7 +196,7 @@ def predict(docs: DataFrame, model: Model, switch_penalty: float = SWITCH_PENALT
         found, score = judged(batch, model, switch_penalty, text)
         return pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
-    return map_arrow(docs.select(key, text), run, f"{key} {kind}, lang_pred string, score double", text)
+    return map_arrow(docs.select(key, text), run, f"{key} {kind}, lang_pred string, score double", text, size=4 << 20)
 
 
 def judged(batch: pa.RecordBatch, model: Model, switch_penalty: float, text: str) -> tuple[list[str], np.ndarray]:
@@ -224,7 +218,7 @@ def keep_named(docs: DataFrame, model: Model, least: float = 0.5, switch_penalty
         found, score = judged(batch, model, switch_penalty, text)
         return batch.filter(pa.array((np.array(found, object) != UND) & (score >= least), pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema, text)
+    return map_arrow(docs, run, docs.schema, text, size=4 << 20)
 
 
 def label_spans(docs: DataFrame, model: Model, switch_penalty: float = SWITCH_PENALTY, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -199,7 +199,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, mode: str = "leading", capac
         columns = [batch.column(key).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
         return pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=[key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return map_arrow(docs.select(key, text), run, schema, text)
+    return map_arrow(docs.select(key, text), run, schema, text, keep=True)
 
 
 def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:

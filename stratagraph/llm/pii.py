@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow, table
+from .common import held, map_arrow, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("credential", "iban", "ssn", "account", "secret")
@@ -77,9 +77,6 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
-_AUTOMATON: list[ahocorasick.Automaton] = []
-
-
 def digits_of(found: str) -> str:
     return "".join(c for c in found if "0" <= c <= "9")
 
@@ -113,10 +110,8 @@ def numbers(text: str, starts: list[int], pattern: re.Pattern, kind: str) -> Ite
 
 def spans(text: str) -> list[Span]:
     """All spans of a text, by kind as in ``KINDS``, then start."""
-    if not _AUTOMATON:
-        _AUTOMATON.append(automaton())
     at: dict[str, list[int]] = {}
-    for end, (kind, size) in _AUTOMATON[0].iter(text):
+    for end, (kind, size) in held("cues", automaton).iter(text):
         at.setdefault(kind, []).append(end + 1 - size)
     if not at:
         return []

@@ -84,7 +84,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, mode: str, key: str = "doc
         return pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(at) + 1, pa.int64()), pa.array(ids, pa.binary())], names=[key, "n_tokens", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_tokens long, ids binary", text)
+    return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_tokens long, ids binary", text, keep=True)
 
 
 def shard_bounds(keys: DataFrame, shards: int, key: str = "doc_id") -> list[int]:

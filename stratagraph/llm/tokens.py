@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 #: Chunks one worker remembers, and how many of those seen first (the frequent ones) it keeps when
 #: that is reached. Results do not depend on either.
 CACHE_ENTRIES, CACHE_KEPT = 600_000, 200_000
@@ -264,14 +266,9 @@ class WordCachedTokenizer:
         return [data[a:b] for a, b in zip(at, at[1:])]
 
 
-_LOADED: dict[tuple[str, str], WordCachedTokenizer] = {}
-
-
 def worker_tokenizer(path: str, mode: str) -> WordCachedTokenizer:
     """One per Python worker, kept from task to task."""
-    if (path, mode) not in _LOADED:
-        _LOADED[path, mode] = WordCachedTokenizer(path, mode)
-    return _LOADED[path, mode]
+    return held(("tokenizer", path, mode), lambda: WordCachedTokenizer(path, mode))
 
 
 def vocabulary(name: str) -> str:

@@ -7,11 +7,16 @@ their fingerprint at once, so copies, however many, are one node. Two nodes link
 * Light nodes (at most ``boundary`` n-grams) list every subset they could share with a linked
   partner: all subsets without at most ``size * (100 - percent) / 100`` elements. Two light nodes
   that link hold the very same subset (their intersection).
-* Heavy nodes meet in inverted lists of n-grams. In an order of all n-grams from rare to frequent,
-  two sets that link share one of their first ``size - ceil(size * percent / 100) + 1`` elements, so
-  only those are listed. How frequent an n-gram is comes from counts of all n-grams of all documents
-  in a table of fixed size; n-grams of passages that many documents share stand out of it and are not
-  listed. Light nodes within reach of the boundary are listed too, so heavy-light pairs are found.
+* Heavy nodes meet in inverted lists. Two sets that link differ in at most
+  ``(a + b) (100 - percent) / (100 + percent)`` elements, so when the hash space is cut into more blocks
+  than that, some block holds the same elements in both. Where blocks hold enough elements to tell
+  sets apart (``LEAST_BLOCK`` on average, so from 89 percent on) lists are kept by block content,
+  within classes of size such that partners are in the same or the next class. Below that they are
+  kept by n-gram: in an order of all n-grams from rare to frequent, two sets that link share one of
+  their first ``size - ceil(size * percent / 100) + 1``, so only those are listed. How frequent an
+  n-gram is comes from counts of all n-grams of all documents. Either way, passages that many
+  documents share make no long lists; near-equal sets do. Light nodes within reach of the boundary
+  are listed too, so heavy-light pairs are found.
 * The boundary is chosen by cost: entries listed either way, over the counted sizes.
 
 Lists are not expanded into pairs. Lists with the same or mostly the same members become one. Each is
@@ -49,6 +54,8 @@ MOST_LIGHT = 40
 SCAN_COST = 4.0
 #: Words one worker remembers the hash of.
 CACHE_ENTRIES = 300_000
+#: Elements a block must hold on average for lists by block content.
+LEAST_BLOCK = 8
 #: Counters of n-grams: a power of two near so many for each document, but from 1/4 to 16 million
 #: (32 MB), so that what is broadcast is bounded. With more documents than that the order is coarser
 #: and lists are longer; results stay the same.
@@ -97,11 +104,24 @@ class Plan:
         self.percent, self.boundary = percent, boundary
         self.counts = np.zeros(1, np.uint32) if counts is None else counts
         self.shift = np.uint64(64 - int(len(self.counts)).bit_length() + 1)
+        self.starts = [1]
+        self.by_blocks = 100 + percent >= 2 * LEAST_BLOCK * (100 - percent)
 
     def misses(self, size: int) -> int:
         """Most elements of a set that a linked partner can lack."""
         return size * (100 - self.percent) // 100
 
+    def class_of(self, size: int) -> int:
+        while self.starts[-1] <= size:
+            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
+        return int(np.searchsorted(self.starts, size, side="right")) - 1
+
+    def blocks(self, of: int) -> int:
+        """One block more than there can be differences, and one so that an empty block can be left out."""
+        while len(self.starts) <= of + 1:
+            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
+        return 2 * (self.starts[of + 1] - 1) * (100 - self.percent) // (100 + self.percent) + 2
+
     def subsets(self, size: int) -> int:
         return sum(comb(size, m) for m in range(self.misses(size) + 1))
 
@@ -113,7 +133,10 @@ class Plan:
         return size * 100 >= (self.boundary + 1) * self.percent
 
     def entries(self, size: int) -> int:
-        return self.misses(size) + 1
+        if not self.by_blocks:
+            return self.misses(size) + 1
+        of = self.class_of(size)
+        return self.blocks(of) + self.blocks(of + 1)
 
     def cost(self, sizes: dict[int, int]) -> float:
         return sum(n * (self.subsets(s) * self.is_light(s) + (1 + SCAN_COST) * self.entries(s) * self.is_listed(s)) for s, n in sizes.items())
@@ -127,7 +150,19 @@ class Plan:
             for m in range(self.misses(size) + 1):
                 without = np.array([spread[list(c)].sum(dtype=np.uint64) for c in combinations(range(size), m)], np.uint64) if m != 1 else spread
                 found.append(mix(total - without + np.uint64(size - m)))
-        if self.is_listed(size):
+        if self.is_listed(size) and self.by_blocks:
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(items ^ GOLDEN), dtype=np.uint64)])
+            own = self.class_of(size)
+            for of in (own, own + 1):
+                count = self.blocks(of)
+                edges = np.searchsorted(items, (np.arange(1, count, dtype=np.float64) * (2.0**64 / count)).astype(np.uint64))
+                edges = np.concatenate([[0], edges, [size]])
+                block = np.arange(count, dtype=np.uint64) + np.uint64(of * 1_000_003 + 1 << 20)
+                keys = mix(mix(sums[edges[1:]] - sums[edges[:-1]] + GOLDEN) + block * GOLDEN)
+                full = edges[1:] > edges[:-1]
+                # Two blocks at least agree, so one empty block may be left out, but not more.
+                found.append(keys[full] if full.sum() >= count - 1 else keys)
+        elif self.is_listed(size):
             often = self.counts[items >> self.shift] if len(self.counts) > 1 else np.zeros(size, np.uint32)
             first = np.lexsort((items, often))[: self.entries(size)]
             found.append(items[first])
@@ -409,7 +444,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     spark = docs.sparkSession
     if boundary is None:
         boundary = choose_boundary(small_sizes(docs, n, text), percent)
-    plan = Plan(percent, boundary, frequencies(docs, n, text))
+    plan = Plan(percent, boundary)
+    if not plan.by_blocks:
+        plan = Plan(percent, boundary, frequencies(docs, n, text))
     nodes = materialize(nodes_of(docs, plan, n, key, text), "nodes")
     entries = nodes.filter(F.col(key).isNotNull()).select("sig", F.col("n_shingles").cast("int").alias("size"), F.explode("lists").alias("list"))
     members = members_of(materialize(scan(entries, shuffle_width(spark), percent), "scanned"))

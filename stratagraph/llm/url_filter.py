@@ -3,7 +3,8 @@
 Rules name a host and the start of a path; a rule fits its host and all subdomains, and of the
 rules that fit, the longest wins. URLs no rule fits inherit: redirects and canonical links tie
 pages into components of aliases, and a component that holds a blocked URL blocks its members,
-unless it also holds a URL that a rule explicitly allows. A rule's own verdict is never changed.
+unless it also holds a URL that a rule explicitly allows. That holds for every URL of a component,
+whether a page of its own or only the target of a link. A rule's own verdict is never changed.
 
 All of it is DataFrame expressions. Rules join on host suffixes (a rule list under Spark's own
 broadcast threshold is broadcast, a longer one is shuffled); alias edges, components and verdicts
@@ -87,12 +88,16 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], redirects: Da
 
     ``redirects``: further alias edges as URLs (src, dst), say from a crawl log.
     """
-    rows = materialize(pages.select(F.col(key), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node")).withColumn("row", F.monotonically_increasing_id()), "urls")
     edges = page_links(pages, url, html) if html else pages.sparkSession.createDataFrame([], "src string, dst string")
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of("src").alias("src"), node_of("dst").alias("dst")))
-    aliases = connected_components(edges)
-    ruled = materialize(apply_rules(rows, rules), "ruled")
+    aliases = materialize(connected_components(edges), "aliases")
+    rows = pages.select(F.col(key), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), F.lit(True).alias("is_page"))
+    # A node is a URL without its scheme. Rules apply to all of them: targets of links need not be pages.
+    whole = aliases.select("node", F.concat(F.lit("x://"), "node").alias("whole"))
+    targets = whole.select(F.lit(None).cast(pages.schema[key].dataType).alias(key), host_of("whole").alias("host"), path_of("whole").alias("path"), "node", F.lit(False).alias("is_page"))
+    every = materialize(rows.unionByName(targets).withColumn("row", F.monotonically_increasing_id()), "urls")
+    ruled = materialize(apply_rules(every, rules), "ruled")
     verdicts = (
         ruled.filter("rule is not null")
         .join(aliases, "node")
@@ -101,7 +106,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], redirects: Da
         .select("component", (F.col("blocks") & ~F.col("allows")).alias("blocked"))
     )
     spread = aliases.join(verdicts.filter("blocked"), "component").select("node", "blocked")
-    return ruled.join(spread, "node", "left").select(
+    return ruled.filter("is_page").join(spread, "node", "left").select(
         key,
         "host",
         "path",

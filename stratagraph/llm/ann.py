@@ -13,7 +13,8 @@ vectors is ever a row.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
 another length than most. Ties in score go to the smaller id. Repeated ids are separate vectors
-(a query skips every candidate of its own id). Null ids take no part.
+(a query skips every candidate of its own id), as candidates and as queries: each query row has k
+results of its own. Null ids take no part.
 """
 
 from __future__ import annotations
@@ -111,8 +112,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     asked = queries.filter(usable(vector) & F.col(key).isNotNull() & (F.size(vector) == width))
     groups = max(1, shuffle_width(spark))
     candidates = blocks(rows, key, vector, CANDIDATE_BLOCK).withColumn("part", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(groups)).cast("int"))
-    wanted = materialize(blocks(asked.coalesce(max(1, groups // 4)), key, vector, QUERY_BLOCK), "query_blocks")
-    asked_of = wanted.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    numbered = QUERY_BLOCK  # query rows are told apart by block and place, since ids may repeat
+    wanted = materialize(blocks(asked.coalesce(max(1, groups // 4)), key, vector, numbered).withColumn("block", F.monotonically_increasing_id()), "query_blocks")
+    asked_of = wanted.select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,34 +122,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
                 q_ids, q, c_ids, c = (np.frombuffer(batch.column(name)[r].as_buffer(), kind) for name, kind in (("q_ids", "<i8"), ("q_vectors", "<f8"), ("ids", "<i8"), ("vectors", "<f8")))
                 q, c = q.reshape(len(q_ids), width), c.reshape(len(c_ids), width)
                 found = list(tile(q_ids, q, c_ids, c, k))
+                lengths = [len(s) for _, _, s in found]
+                places = batch.column("block")[r].as_py() * numbered + np.arange(len(found), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([i for i, _, _ in found], [len(s) for _, _, s in found]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in found]), pa.int64()), pa.array(np.concatenate([s for _, _, s in found]), pa.float64())],
-                    names=["query_id", key, "score"],
+                    [pa.array(np.repeat(places, lengths)), pa.array(np.repeat([i for i, _, _ in found], lengths), pa.int64()), pa.array(np.concatenate([i for _, i, _ in found]), pa.int64()), pa.array(np.concatenate([s for _, _, s in found]), pa.float64())],
+                    names=["place", "query_id", key, "score"],
                 )
 
-    tiles = asked_of.join(candidates.select("part", "ids", "vectors"), "part").mapInArrow(run, f"query_id long, {key} long, score double")
+    tiles = asked_of.join(candidates.select("part", "ids", "vectors"), "part").mapInArrow(run, f"place long, query_id long, {key} long, score double")
     return merged(tiles, k, key)
 
 
 def merged(rows: DataFrame, k: int, key: str) -> DataFrame:
-    """The k best rows of every query, by one bounded heap a query: a first merge inside each task
+    """The k best rows of every query row (place), by one bounded heap each: a first merge inside each task
     before anything moves, a second one after the rows of a query have met."""
 
-    def packed(best: dict[int, list[tuple[float, int]]], final: bool) -> pa.RecordBatch:
-        out = [(q, rank, -c, s) for q, heap in best.items() for rank, (s, c) in enumerate(sorted(heap, reverse=True), 1)]
-        q, rank, c, s = zip(*out) if out else ((), (), (), ())
-        columns = [pa.array(q, pa.int64()), pa.array(rank, pa.int32()), pa.array(c, pa.int64()), pa.array(s, pa.float64())]
-        return pa.RecordBatch.from_arrays(columns if final else [columns[0], *columns[2:]], names=["query_id", "rank", key, "score"] if final else ["query_id", key, "score"])
+    def packed(best: dict[tuple[int, int], list[tuple[float, int]]], final: bool) -> pa.RecordBatch:
+        out = [(*q, rank, -c, s) for q, heap in best.items() for rank, (s, c) in enumerate(sorted(heap, reverse=True), 1)]
+        p, q, rank, c, s = zip(*out) if out else ((), (), (), (), ())
+        columns = [pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(rank, pa.int32()), pa.array(c, pa.int64()), pa.array(s, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns[1:] if final else [*columns[:2], *columns[3:]], names=["query_id", "rank", key, "score"] if final else ["place", "query_id", key, "score"])
 
     def run(final: bool):
         def heaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[int, list[tuple[float, int]]] = {}
+            best: dict[tuple[int, int], list[tuple[float, int]]] = {}
             for batch in batches:
                 if not final and len(best) > LOCAL_HEAPS:
                     yield packed(best, False)
                     best = {}
-                for q, c, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    heap = best.setdefault(q, [])
+                for p, q, c, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    heap = best.setdefault((p, q), [])
                     if len(heap) < k:
                         heapq.heappush(heap, (s, -c))
                     elif (s, -c) > heap[0]:
@@ -156,8 +160,8 @@ def merged(rows: DataFrame, k: int, key: str) -> DataFrame:
 
         return heaps
 
-    local = rows.mapInArrow(run(False), f"query_id long, {key} long, score double")
-    return local.repartition(shuffle_width(rows.sparkSession), "query_id").mapInArrow(run(True), f"query_id long, rank int, {key} long, score double")
+    local = rows.mapInArrow(run(False), f"place long, query_id long, {key} long, score double")
+    return local.repartition(shuffle_width(rows.sparkSession), "place").mapInArrow(run(True), f"query_id long, rank int, {key} long, score double")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

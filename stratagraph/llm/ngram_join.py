@@ -220,7 +220,7 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
 
 
 def nodes_of(docs: DataFrame, plan: Plan, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, n_shingles, sig, sig2, lists): lists are given once a task for equal sets."""
+    """(``key``, n_shingles, sig, sig2, lists): lists are given once a task for equal sets, by a row whose key is not null."""
     kind = docs.schema[key].dataType.simpleString()
     counts = docs.sparkSession.sparkContext.broadcast(plan.counts)
     percent, boundary = plan.percent, plan.boundary
@@ -230,15 +230,16 @@ def nodes_of(docs: DataFrame, plan: Plan, n: int, key: str = "doc_id", text: str
         seen: set[int] = set()
         for batch in slices(batches, text):
             sizes, marks, checks, lists = [], [], [], []
-            for t in batch.column(text).to_pylist():
+            for known, t in zip(batch.column(key).is_valid().to_pylist(), batch.column(text).to_pylist()):
                 items = shingles(t, n)
                 data = items.tobytes()
                 mark = xxhash.xxh3_64_intdigest(data) if len(items) else None
                 sizes.append(len(items))
                 marks.append(mark)
                 checks.append(xxhash.xxh3_64_intdigest(data, seed=1) if len(items) else None)
-                lists.append(plan.keys(items).view(np.int64) if len(items) and mark not in seen else np.empty(0, np.int64))
-                seen.add(mark)
+                lists.append(plan.keys(items).view(np.int64) if known and len(items) and mark not in seen else np.empty(0, np.int64))
+                if known:
+                    seen.add(mark)
             at = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *lists])))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), signed(marks), signed(checks), held], names=[key, "n_shingles", "sig", "sig2", "lists"])

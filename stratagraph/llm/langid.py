@@ -126,9 +126,10 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     begin = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
     active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0] if len(sizes) else 0), side="right")
-    came = np.empty((n, k), np.int8)  # the language before, for each language of a word
+    kind = np.min_scalar_type(-k)  # the smallest signed type that holds every language number
+    came = np.empty((n, k), kind)  # the language before, for each language of a word
     now = np.zeros((len(sizes), k), np.float32)
-    same = np.arange(k, dtype=np.int8)
+    same = np.arange(k, dtype=kind)
     for t, m in enumerate(active):
         at = begin[:m] + t
         before = now[:m]
@@ -138,7 +139,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
         came[at] = np.where(stay, same, best[:, None])
         fresh = np.where(stay, before, top[:, None]) + scores[at]
         now[:m] = fresh - fresh.max(axis=1, keepdims=True)
-    out = np.empty(n, np.int8)
+    out = np.empty(n, kind)
     state = now.argmax(axis=1)
     for t in range(len(active) - 1, -1, -1):
         m = active[t]

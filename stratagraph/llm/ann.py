@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, shuffle_width, table
+from .common import afresh, map_arrow, materialize, shuffle_width, table
 
 #: Vectors in a block. A tile of one query block and one candidate block is the unit of work.
 QUERY_BLOCK = 1024
@@ -60,6 +60,7 @@ def blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
         held, n = [], 0
 
         def packed(part: pa.Table) -> pa.RecordBatch:

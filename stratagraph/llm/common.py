@@ -90,24 +90,39 @@ def held(name: Hashable, make: Callable[[], T]) -> T:
     return _HELD[name]
 
 
+def trim() -> None:
+    """Give the memory back that allocators hold but nothing uses."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release() -> None:
     """Give back what a worker keeps, and the memory its allocators hold."""
     _HELD.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
+
+
+def afresh() -> None:
+    """At the start of a task that keeps nothing: what tasks of other operators kept goes."""
+    if _HELD:
+        release()
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str, text: str = "text", rows: int = 2048, size: int = 8 << 20, keep: bool = False) -> DataFrame:
-    """``mapInArrow`` over bounded slices. ``keep``: what the worker remembers outlasts the task."""
+    """``mapInArrow`` over bounded slices. ``keep``: what the worker remembers (``held``) outlasts the task."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            afresh()
         for part in slices(batches, text, rows, size):
             out = f(part)
             yield from out if isinstance(out, list) else [out]
-        if not keep:
+        if keep:
+            trim()
+        else:
             release()
 
     return df.mapInArrow(run, schema)

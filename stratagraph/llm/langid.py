@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, map_arrow, slices, table
+from .common import afresh, held, map_arrow, slices, table
 
 BUCKETS = 1 << 16
 ROWS_PER_LANGUAGE = 1500
@@ -98,6 +98,7 @@ def train(docs: DataFrame, language: str = "lang", key: str = "doc_id", text: st
     sample = known.filter(draw < share[F.col(language)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
         sums: dict[str, np.ndarray] = {}
         for batch in slices(batches, text):
             for lang, t in zip(batch.column(language).to_pylist(), batch.column(text).to_pylist()):

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held, materialize, release, shuffle_width, slices, table
+from .common import afresh, held, materialize, release, shuffle_width, slices, table
 from .components import connected_components
 
 #: Sizes up to which a boundary is considered.
@@ -182,6 +182,7 @@ def frequencies(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
     shift, part = np.uint64(64 - counters.bit_length() + 1), counters // chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
         counts = np.zeros(counters, np.uint32)
         for batch in slices(batches, text):
             at, times = np.unique(np.concatenate([np.empty(0, np.uint64), *(shingles(t, n) >> shift for t in batch.column(text).to_pylist())]), return_counts=True)
@@ -226,6 +227,7 @@ def nodes_of(docs: DataFrame, plan: Plan, n: int, key: str = "doc_id", text: str
     percent, boundary = plan.percent, plan.boundary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
         plan = Plan(percent, boundary, counts.value)
         seen: set[int] = set()
         for batch in slices(batches, text):
@@ -261,6 +263,7 @@ def scan(entries: DataFrame, width: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
         carry = None  # list, size and node of the latest row; pivot and name of its list
         for batch in batches:
             if not batch.num_rows:
@@ -287,6 +290,7 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     chunk = FILTER_BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
             bits[batch.column(0).to_numpy()] = True
@@ -314,6 +318,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) ->
     bits = spark.sparkContext.broadcast(id_filter(wanted, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
         for batch in batches:
             at = batch.column("at").to_numpy()
             hit = np.flatnonzero(bits.value[at >> 3] >> (7 - (at & 7)) & 1)
@@ -330,6 +335,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
         for batch in batches:
             ok = []
             x_old, x = None, None

@@ -18,12 +18,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import held, map_arrow, table
-from .tokens import ChunkCache, gather, stands_alone, vocabulary
+from .tokens import PieceCache, gather, vocabulary
 
 #: Pieces one worker remembers; beyond it the memory starts again.
 CACHE_ENTRIES = 200_000
@@ -42,10 +41,11 @@ def laid_out(data: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.frombuffer(flat, np.uint8), np.cumsum(length) - length, length
 
 
-class PrefixBPE:
+class PrefixBPE(PieceCache):
     """Encoder of single pieces (what the splitting pattern matches) and whole texts."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__(leading=True)
         self.ranks = load_ranks(path)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         white = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
@@ -54,7 +54,6 @@ class PrefixBPE:
         self._derive()
         self.longest = max(map(len, self.ranks))
         self.pieces: dict[str, bytes] = {}
-        self.cache = ChunkCache(self._chunks, self._whole, leading=True)
         # By id: its bytes, and its decimal digits with a comma.
         self.spelt = laid_out(self.bytes_of)
         self.numbered = laid_out({i: b"%d," % i for i in self.bytes_of})
@@ -150,15 +149,15 @@ class PrefixBPE:
             self.pieces[piece] = found
         return found
 
-    def _whole(self, text: str) -> bytes:
+    def _spelling(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.pattern.findall(text)))
 
-    def _chunks(self, new: list[str]) -> list[bytes | None]:
-        return [self._whole(x) if stands_alone(x) else None for x in new]
+    def _whole(self, text: str) -> np.ndarray:
+        return np.frombuffer(self._spelling(text), "<u4")
 
-    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (null: empty) one after another, and where each text's begin and the last end."""
-        return self.cache.flat(pc.fill_null(texts, ""))
+    def _encode(self, new: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(self._spelling, new.to_pylist()))
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""

@@ -25,7 +25,6 @@ by (key, piece, checksum), equal rows in any order.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, table
-from .tokens import vocabulary, worker_tokenizer
+from .tokens import vocabulary, with_end, worker_tokenizer
 
 CAPACITY = 2048
 #: Pieces of one length numbered in one task.
@@ -177,29 +176,30 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
 def pieces(docs: DataFrame, path: str, end_id: int, mode: str = "leading", capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """``key``, piece, start, length, ids_crc32 (and ids): a document's ids with the end id, cut into
     pieces of ``capacity`` tokens where it is longer; the first piece takes what is left over."""
-    end = struct.pack("<I", end_id)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokenizer = worker_tokenizer(path, mode)
-        row, piece, start, length, crc, ids = [], [], [], [], [], []
-        for k, found in enumerate(tokenizer.encode([t or "" for t in batch.column(text).to_pylist()])):
-            data = found + end
-            n = len(data) // 4
-            first = (n - 1) % capacity + 1
-            for number, (a, b) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity))):
-                part = data[4 * a : 4 * b]
-                row.append(k)
-                piece.append(number)
-                start.append(a)
-                length.append(b - a)
-                crc.append(zlib.crc32(part))
-                ids.append(part if with_ids else None)
-        columns = [batch.column(key).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=[key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-
-    return map_arrow(docs.select(key, text), run, schema, text, keep=True)
+        flat, at = with_end(*worker_tokenizer(path, mode).flat(batch.column(text)), end_id)
+        row, piece, start, end = cut(np.diff(at), capacity)
+        data = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
+        bounds = ((at[:-1][row] + start) * 4).tolist(), ((at[:-1][row] + end) * 4).tolist()
+        crc = [zlib.crc32(data[a:b]) for a, b in zip(*bounds)]
+        columns = [batch.column(key).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array((end - start).astype(np.int32)), pa.array(crc, pa.int64())]
+        ids = [pa.array([bytes(data[a:b]) for a, b in zip(*bounds)], pa.binary())] if with_ids else []
+        return pa.RecordBatch.from_arrays(columns + ids, names=[key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+
+    return map_arrow(docs.select(key, text), run, schema, text, size=4 << 20, keep=True)
+
+
+def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, piece number, start and end (in ids of the document) of every piece: ``capacity``
+    ids each but for the first, which takes what is left over."""
+    pieces_of = -(-lengths // capacity)
+    row = np.repeat(np.arange(len(lengths)), pieces_of)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+    end = (lengths[row] - 1) % capacity + 1 + piece * capacity
+    return row, piece, np.maximum(end - capacity, 0), end
 
 
 def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:

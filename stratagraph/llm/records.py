@@ -22,7 +22,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -31,12 +31,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, map_arrow, materialize, shuffle_width, table
-from .tokens import vocabulary, worker_tokenizer
+from .common import afresh, fresh_dir, map_arrow, materialize, shuffle_width, table, trim
+from .tokens import vocabulary, with_end, worker_tokenizer
 
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
 ENTRY = np.dtype([("place", "<u8"), ("before", "<u8"), ("length", "<u8")])
+#: Entries of the index and bytes of records a reader takes at a time.
+READ_ENTRIES, READ_BYTES = 1 << 14, 4 << 20
 #: Fixed value added to a rotated checksum, so that checksums of data holding checksums differ.
 MASK_DELTA = 0xA282EAD8
 
@@ -73,18 +75,15 @@ def id_width(path: str) -> int:
 def tokenize(docs: DataFrame, path: str, end_id: int, mode: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_tokens, ids (binary, little-endian of ``id_width`` bytes, with the end id)."""
     width = id_width(path)
-    kind_of = f"<u{width}"
-    end = end_id.to_bytes(width, "little")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokenizer = worker_tokenizer(path, mode)
-        flat, at = tokenizer.flat(batch.column(text))
-        data, places = flat.astype(kind_of).tobytes(), (at * width).tolist()
-        ids = [data[a:b] + end for a, b in zip(places, places[1:])]
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(at) + 1, pa.int64()), pa.array(ids, pa.binary())], names=[key, "n_tokens", "ids"])
+        flat, at = with_end(*worker_tokenizer(path, mode).flat(batch.column(text)), end_id)
+        data, places = flat.astype(f"<u{width}"), (at * width).astype(np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(places), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(at), pa.int64()), ids], names=[key, "n_tokens", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_tokens long, ids binary", text, keep=True)
+    return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_tokens long, ids binary", text, size=4 << 20, keep=True)
 
 
 def shard_bounds(keys: DataFrame, shards: int, key: str = "doc_id") -> list[int]:
@@ -120,6 +119,7 @@ def write_shards(tokens: DataFrame, path: str, bounds: list[int], key: str = "do
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        afresh()
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         files, root = pafs.FileSystem.from_uri(path)
         files.create_dir(root, recursive=True)
@@ -155,44 +155,83 @@ def shard_starts(written: DataFrame) -> dict[int, int]:
     return dict(zip([r[0] for r in rows], [0, *accumulate(r[1] for r in rows)]))
 
 
+class ShardReader:
+    """Records of one shard in any order, by the offset index. Both files are opened once, and only
+    the asked entries of the index are read; records that follow one another are read together."""
+
+    def __init__(self, path: str, shard: int):
+        files, root = pafs.FileSystem.from_uri(path)
+        self.index, self.data = (files.open_input_file(f"{root}/shard-{shard:06d}.{kind}") for kind in ("idx", "bin"))
+        self.count, self.size = self.index.size() // ENTRY.itemsize, self.data.size()
+
+    def __enter__(self) -> ShardReader:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.index.close()
+        self.data.close()
+
+    def run(self, first: int, last: int) -> Iterator[tuple[int, int, bytes]]:
+        """Records ``first`` to ``last`` - 1: (record, ids before it in the shard, ids as unsigned
+        32-bit little-endian bytes), about ``READ_BYTES`` of file at a time."""
+        for low in range(first, last, READ_ENTRIES):
+            high = min(last, low + READ_ENTRIES)
+            entries = np.frombuffer(self.index.read_at((min(high + 1, self.count) - low) * ENTRY.itemsize, low * ENTRY.itemsize), ENTRY)
+            places = entries["place"].astype(np.int64)
+            if high == self.count:
+                places = np.append(places, self.size)
+            at = 0
+            while at < high - low:
+                to = max(at + 1, int(np.searchsorted(places, places[at] + READ_BYTES, side="right")) - 1)
+                buffer = memoryview(self.data.read_at(int(places[to] - places[at]), int(places[at])))
+                for k in range(at, to):
+                    data, n = unframe(buffer, int(places[k] - places[at]))[0], int(entries["length"][k])
+                    width = len(data) // n if n else 4
+                    yield low + k, int(entries["before"][k]), np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()
+                at = to
+
+    def records(self, wanted: Iterable[int]) -> Iterator[tuple[int, int, bytes]]:
+        """``run`` for records in the order asked for."""
+        asked = np.fromiter(wanted, np.int64)
+        for part in np.split(asked, np.flatnonzero(np.diff(asked) != 1) + 1):
+            if len(part):
+                yield from self.run(int(part[0]), int(part[-1]) + 1)
+
+
 def read_records(path: str, shard: int, records: list[int] | None = None) -> Iterator[tuple[int, int, bytes]]:
     """(record, ids before it in the shard, ids as unsigned 32-bit little-endian bytes) in the order
-    asked for, by the offset index."""
-    files, root = pafs.FileSystem.from_uri(path)
-    name = f"{root}/shard-{shard:06d}"
-    with files.open_input_file(f"{name}.idx") as f:
-        index = np.frombuffer(f.read(), ENTRY)
-    with files.open_input_file(f"{name}.bin") as f:
-        ends = np.append(index["place"][1:], f.size())
-        for k in range(len(index)) if records is None else records:
-            place, n = int(index["place"][k]), int(index["length"][k])
-            data = unframe(f.read_at(int(ends[k]) - place, place))[0]
-            width = len(data) // n if n else 4
-            yield k, int(index["before"][k]), np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()
+    asked for (all, if None), by the offset index."""
+    with ShardReader(path, shard) as reader:
+        yield from reader.records(range(reader.count) if records is None else records)
 
 
 def read_back(written: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """Read every record again from the files: ``key``, start, n_tokens, ids_crc32, ids.
 
     ``written`` is what ``write_shards`` returned; it says which key each record belongs to.
-    The records of a shard are read in slices of their own order, so memory stays bounded.
+    A shard is opened once a batch and read in ranges, so each part of index and data is read once
+    and memory stays bounded.
     """
     starts = shard_starts(written)
     kind = written.schema[key].dataType.simpleString()
+    columns = [key, "start", "n_tokens", "ids_crc32", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
         for batch in batches:
             shards, records = batch.column("shard").to_numpy(), batch.column("record").to_numpy()
             for shard in np.unique(shards):
                 rows = np.flatnonzero(shards == shard)
-                for at in range(0, len(rows), 1024):
-                    part = rows[at : at + 1024]
-                    found = list(read_records(path, int(shard), records[part].tolist()))
-                    data = [x for _, _, x in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(key).take(pa.array(part)), pa.array([starts[int(shard)] + b for _, b, _ in found], pa.int64()), pa.array([len(x) // 4 for x in data], pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(data, pa.binary())],
-                        names=[key, "start", "n_tokens", "ids_crc32", "ids"],
-                    )
+                with ShardReader(path, int(shard)) as reader:
+                    found, held_bytes, at = [], 0, 0
+                    for place, (_, before, data) in enumerate(reader.records(records[rows]), 1):
+                        found.append((starts[int(shard)] + before, len(data) // 4, zlib.crc32(data), data))
+                        held_bytes += len(data)
+                        if held_bytes > READ_BYTES or place == len(rows):
+                            own = [pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows[at:place])), *own], names=columns)
+                            found, held_bytes, at = [], 0, place
+        trim()
 
     return written.select(key, "shard", "record").mapInArrow(run, f"{key} {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
 

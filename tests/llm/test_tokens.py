@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from stratagraph.llm import bpe, tokens
 
-ODD = ["", " ", "\n", "\n\n", "a\n\nb\n\n\nc\n", "\n\na\n b\n\n c\n\n", "a\n\tb", "\ta\n", "a\n\n \nb", "foo\nBar.\nBaz, qux\nX", "  a", "a\n \nb", "foo \n", "foo\n ", "a \u00a0b", "x" * 3000, "  " * 50 + "é", "a\x1cb\x1c c", "\u3000 a", "日本語 русский हिन्दी 😀😀", "don't we'll I'M", "\t\tif x:\n\t\t\treturn  y\r\n", "<|endoftext|> <|startoftext|>", "İSTANBUL ΣΑΣ. ẞ e\u0301. e\u0301\u0301, ½ ² foo.\u0301 bar"]
+ODD = ["", " ", "\n", "\n\n", "a\n\nb\n\n\nc\n", "\n\na\n b\n\n c\n\n", "a\n\tb", "\ta\n", "a\n\n \nb", "foo\nBar.\nBaz, qux\nX", "  a", "a\n \nb", "foo \n", "foo\n ", "a \u00a0b", "x" * 3000, "  " * 50 + "é", "a\x1cb\x1c c", "\u3000 a", "日本語 русский हिन्दी 😀😀", "don't we'll I'M", "\t\tif x:\n\t\t\treturn  y\r\n", "<|endoftext|> <|startoftext|>", "a <|endoftext|> b", "word<|endoftext|>word, \n\n<|startoftext|>", " <|EndOfText|> <|endoftext |>", "İSTANBUL ΣΑΣ. ẞ e\u0301. e\u0301\u0301, ½ ² foo.\u0301 bar"]
 
 
 def texts(n):
@@ -19,10 +19,8 @@ def texts(n):
 
 @pytest.mark.parametrize(("name", "mode"), [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "leading")])
 def test_cached_ids_equal_the_librarys_on_whole_texts(name, mode, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 700)
-    monkeypatch.setattr(tokens, "CACHE_KEPT", 200)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 30_000)
     mine, library = tokens.WordCachedTokenizer(P.path(name), mode), Tokenizer.from_file(P.path(name))
-    library.encode_special_tokens = True
     some = texts(8000)
     for at in range(0, len(some), 500):
         part = some[at : at + 500]

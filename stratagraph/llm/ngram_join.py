@@ -7,16 +7,11 @@ their fingerprint at once, so copies, however many, are one node. Two nodes link
 * Light nodes (at most ``boundary`` n-grams) list every subset they could share with a linked
   partner: all subsets without at most ``size * (100 - percent) / 100`` elements. Two light nodes
   that link hold the very same subset (their intersection).
-* Heavy nodes meet in inverted lists. Two sets that link differ in at most
-  ``(a + b) (100 - percent) / (100 + percent)`` elements, so when the hash space is cut into more blocks
-  than that, some block holds the same elements in both. Where blocks hold enough elements to tell
-  sets apart (``LEAST_BLOCK`` on average, so from 89 percent on) lists are kept by block content,
-  within classes of size such that partners are in the same or the next class. Below that they are
-  kept by n-gram: in an order of all n-grams from rare to frequent, two sets that link share one of
-  their first ``size - ceil(size * percent / 100) + 1``, so only those are listed. How frequent an
-  n-gram is comes from counts of all n-grams of all documents. Either way, passages that many
-  documents share make no long lists; near-equal sets do. Light nodes within reach of the boundary
-  are listed too, so heavy-light pairs are found.
+* Heavy nodes meet in inverted lists of n-grams. In an order of all n-grams from rare to frequent,
+  two sets that link share one of their first ``size - ceil(size * percent / 100) + 1``, so only
+  those are listed. How frequent an n-gram is comes from counts of all n-grams of all documents, so
+  passages that many documents share make no long lists; near-equal sets do. Light nodes within
+  reach of the boundary are listed too, so heavy-light pairs are found.
 * The boundary is chosen by cost: entries listed either way, over the counted sizes.
 
 Lists are not expanded into pairs. Lists with the same or mostly the same members become one. Each is
@@ -25,9 +20,16 @@ is compared in full, in tiles of bounded size from which only links come out. A
 if both are known to be in one component. Components are therefore exact, and a group of n near
 copies of one text costs about n comparisons.
 
+Before a set is fetched for a comparison, sketches decide whether it can succeed at all: a sketch
+counts the set's elements in ``BLOCKS`` ranges of the hash space, and the sum of the smaller counts
+bounds the intersection from above. Texts that only share a passage are told apart so, at a
+hundredth of the volume.
+
 Documents without words have an empty set and link with nothing; those with fewer words than an
 n-gram are one n-gram. Null texts are empty. Rows with a null id take no part and get a null
-component. Repeated rows are copies of each other.
+component. Repeated rows are copies of each other; where an id repeats with different texts each row
+gets the component of its own text. Texts of any length are read whole, an empty table gives an empty
+result, ties (equal smallest ids) cannot arise, and other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -54,13 +56,12 @@ MOST_LIGHT = 40
 SCAN_COST = 4.0
 #: Words one worker remembers the hash of.
 CACHE_ENTRIES = 300_000
-#: Elements a block must hold on average for lists by block content.
-LEAST_BLOCK = 8
-#: Counters of n-grams: a power of two near so many for each document, but from 1/4 to 16 million
-#: (32 MB), so that what is broadcast is bounded. With more documents than that the order is coarser
-#: and lists are longer; results stay the same.
-COUNTERS_PER_DOCUMENT, LEAST_COUNTERS, MOST_COUNTERS = 32, 1 << 18, 1 << 24
-#: Bits of the filter that tells which texts to read again; a fixed size, whatever the corpus.
+#: Counters of n-grams, the same at every size of the corpus, and the parts they are summed in.
+COUNTERS, CHUNKS = 1 << 21, 256
+#: Ranges of the hash space a sketch counts elements in; a byte each.
+BLOCKS = 128
+#: Bits of the filter that tells which texts to read again. It is used for up to an eighth as many
+#: texts; beyond that the texts are found by a shuffled semi-join.
 FILTER_BITS = 1 << 23
 #: Nodes in a chunk; two chunks are compared at a time.
 TILE = 512
@@ -104,24 +105,10 @@ class Plan:
         self.percent, self.boundary = percent, boundary
         self.counts = np.zeros(1, np.uint32) if counts is None else counts
         self.shift = np.uint64(64 - int(len(self.counts)).bit_length() + 1)
-        self.starts = [1]
-        self.by_blocks = 100 + percent >= 2 * LEAST_BLOCK * (100 - percent)
-
     def misses(self, size: int) -> int:
         """Most elements of a set that a linked partner can lack."""
         return size * (100 - self.percent) // 100
 
-    def class_of(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.starts, size, side="right")) - 1
-
-    def blocks(self, of: int) -> int:
-        """One block more than there can be differences, and one so that an empty block can be left out."""
-        while len(self.starts) <= of + 1:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        return 2 * (self.starts[of + 1] - 1) * (100 - self.percent) // (100 + self.percent) + 2
-
     def subsets(self, size: int) -> int:
         return sum(comb(size, m) for m in range(self.misses(size) + 1))
 
@@ -133,10 +120,7 @@ class Plan:
         return size * 100 >= (self.boundary + 1) * self.percent
 
     def entries(self, size: int) -> int:
-        if not self.by_blocks:
-            return self.misses(size) + 1
-        of = self.class_of(size)
-        return self.blocks(of) + self.blocks(of + 1)
+        return self.misses(size) + 1
 
     def cost(self, sizes: dict[int, int]) -> float:
         return sum(n * (self.subsets(s) * self.is_light(s) + (1 + SCAN_COST) * self.entries(s) * self.is_listed(s)) for s, n in sizes.items())
@@ -150,62 +134,53 @@ class Plan:
             for m in range(self.misses(size) + 1):
                 without = np.array([spread[list(c)].sum(dtype=np.uint64) for c in combinations(range(size), m)], np.uint64) if m != 1 else spread
                 found.append(mix(total - without + np.uint64(size - m)))
-        if self.is_listed(size) and self.by_blocks:
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(items ^ GOLDEN), dtype=np.uint64)])
-            own = self.class_of(size)
-            for of in (own, own + 1):
-                count = self.blocks(of)
-                edges = np.searchsorted(items, (np.arange(1, count, dtype=np.float64) * (2.0**64 / count)).astype(np.uint64))
-                edges = np.concatenate([[0], edges, [size]])
-                block = np.arange(count, dtype=np.uint64) + np.uint64(of * 1_000_003 + 1 << 20)
-                keys = mix(mix(sums[edges[1:]] - sums[edges[:-1]] + GOLDEN) + block * GOLDEN)
-                full = edges[1:] > edges[:-1]
-                # Two blocks at least agree, so one empty block may be left out, but not more.
-                found.append(keys[full] if full.sum() >= count - 1 else keys)
-        elif self.is_listed(size):
+        if self.is_listed(size):
             often = self.counts[items >> self.shift] if len(self.counts) > 1 else np.zeros(size, np.uint32)
             first = np.lexsort((items, often))[: self.entries(size)]
             found.append(items[first])
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
-def counters_for(docs: DataFrame) -> int:
-    """Counters in proportion to the documents, within fixed bounds."""
-    want = max(docs.count() * COUNTERS_PER_DOCUMENT, LEAST_COUNTERS)
-    return min(MOST_COUNTERS, 1 << (want - 1).bit_length())
+def folded(rows: DataFrame, first: str, combine, width: int) -> DataFrame:
+    """(chunk, ``first``): the binary values of each chunk combined, as a stream: a task holds one
+    result for each chunk it has, whatever the number of values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column(first)):
+                total[chunk] = combine(total.get(chunk), zlib.decompress(data.as_buffer()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", first])
+
+    return rows.repartition(width, "chunk").mapInArrow(run, f"chunk int, {first} binary")
 
 
 def frequencies(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
-    """How often the n-grams of each hash range occur in all documents (up to 65535): tasks count,
-    chunks are summed."""
-    counters, chunks = counters_for(docs), 64
-    shift, part = np.uint64(64 - counters.bit_length() + 1), counters // chunks
+    """How often the n-grams of each hash range occur in all documents, as 64 log2(1 + count): tasks
+    count, chunks are summed, and the driver gets ``COUNTERS`` numbers of two bytes."""
+    shift, part = np.uint64(64 - COUNTERS.bit_length() + 1), COUNTERS // CHUNKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        afresh()
-        counts = np.zeros(counters, np.uint32)
+        counts = np.zeros(COUNTERS, np.uint64)
         for batch in slices(batches, text):
-            at, times = np.unique(np.concatenate([np.empty(0, np.uint64), *(shingles(t, n) >> shift for t in batch.column(text).to_pylist())]), return_counts=True)
-            counts[at.astype(np.int64)] += times.astype(np.uint32)
+            found = [shingles(t, n) >> shift for t in batch.column(text).to_pylist()]
+            counts += np.bincount(np.concatenate([np.empty(0, np.uint64), *found]).astype(np.int64), minlength=COUNTERS).astype(np.uint64)
         release()
         rows = []
-        for k in range(chunks):
-            own = np.minimum(counts[k * part : (k + 1) * part], 65535)
+        for k in range(CHUNKS):
+            own = counts[k * part : (k + 1) * part]
             if own.any():
-                rows.append((k, zlib.compress(own.astype("<u1" if own.max() < 256 else "<u2").tobytes(), 1)))
+                rows.append((k, zlib.compress(own.astype(np.min_scalar_type(own.max())).tobytes(), 1)))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["chunk", "counts"])
 
-    def add(pdf):
-        total = np.zeros(part, np.uint32)
-        for x in pdf["counts"]:
-            data = zlib.decompress(x)
-            total += np.frombuffer(data, f"<u{len(data) // part}")
-        return pdf.iloc[:1].assign(counts=[np.minimum(total, 65535).astype("<u2").tobytes()])
-
-    rows = docs.select(text).mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
-    out = np.zeros((chunks, part), np.uint16)
-    for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["counts"], "<u2")
+    def add(total: np.ndarray | None, data: bytes) -> np.ndarray:
+        own = np.frombuffer(data, f"<u{len(data) // part}").astype(np.float64)
+        return own if total is None else total + own
+
+    out = np.zeros((CHUNKS, part), np.uint16)
+    for r in folded(docs.select(text).mapInArrow(run, "chunk int, counts binary"), "counts", add, shuffle_width(docs.sparkSession)).toLocalIterator():
+        out[r["chunk"]] = np.rint(64 * np.log2(1 + np.frombuffer(r["counts"], np.float64)))
     return out.ravel()
 
 
@@ -220,34 +195,50 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda b: (Plan(percent, b).cost(sizes), b))
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """Elements in each of ``BLOCKS`` ranges of the hash space, up to 255."""
+    return np.minimum(np.bincount((items >> np.uint64(64 - BLOCKS.bit_length() + 1)).astype(np.int64), minlength=BLOCKS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these sketches (rows of ``a`` and ``b``, broadcast together) can link."""
+    shared = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
+    # What sketches do not count (more than 255 in a range) may all be shared.
+    shared += np.minimum(a_size - a.sum(axis=-1, dtype=np.int64), b_size - b.sum(axis=-1, dtype=np.int64))
+    return 100 * shared >= percent * (a_size + b_size - shared)
+
+
 def nodes_of(docs: DataFrame, plan: Plan, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, n_shingles, sig, sig2, lists): lists are given once a task for equal sets, by a row whose key is not null."""
+    """(``key``, n_shingles, sig, sig2, text_hash, lists, sketch): lists and sketch are given once a task for
+    equal sets, by a row whose key is not null."""
     kind = docs.schema[key].dataType.simpleString()
     counts = docs.sparkSession.sparkContext.broadcast(plan.counts)
     percent, boundary = plan.percent, plan.boundary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        afresh()
         plan = Plan(percent, boundary, counts.value)
         seen: set[int] = set()
-        for batch in slices(batches, text):
-            sizes, marks, checks, lists = [], [], [], []
-            for known, t in zip(batch.column(key).is_valid().to_pylist(), batch.column(text).to_pylist()):
+        for batch in slices(batches, "text"):
+            sizes, marks, checks, lists, sketches = [], [], [], [], []
+            for known, t in zip(batch.column("key").is_valid().to_pylist(), batch.column("text").to_pylist()):
                 items = shingles(t, n)
                 data = items.tobytes()
                 mark = xxhash.xxh3_64_intdigest(data) if len(items) else None
+                fresh = known and len(items) and mark not in seen
                 sizes.append(len(items))
                 marks.append(mark)
                 checks.append(xxhash.xxh3_64_intdigest(data, seed=1) if len(items) else None)
-                lists.append(plan.keys(items).view(np.int64) if known and len(items) and mark not in seen else np.empty(0, np.int64))
+                lists.append(plan.keys(items).view(np.int64) if fresh else np.empty(0, np.int64))
+                sketches.append(sketch(items) if fresh else None)
                 if known:
                     seen.add(mark)
             at = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *lists])))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), signed(marks), signed(checks), held], names=[key, "n_shingles", "sig", "sig2", "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), signed(marks), signed(checks), batch.column("text_hash"), held, pa.array(sketches, pa.binary())], names=["key", "n_shingles", "sig", "sig2", "text_hash", "lists", "sketch"])
         release()
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_shingles long, sig long, sig2 long, lists array<long>")
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return named.mapInArrow(run, f"key {kind}, n_shingles long, sig long, sig2 long, text_hash long, lists array<long>, sketch binary")
 
 
 def signed(values: list[int | None]) -> pa.Array:
@@ -295,40 +286,54 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
         for batch in batches:
             bits[batch.column(0).to_numpy()] = True
         used = [k for k in range(64) if bits[k * chunk : (k + 1) * chunk].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(bits[k * chunk : (k + 1) * chunk]).tobytes() for k in used], pa.binary())], names=["chunk", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(np.packbits(bits[k * chunk : (k + 1) * chunk]).tobytes(), 1) for k in used], pa.binary())], names=["chunk", "bits"])
 
-    def join(pdf):
-        out = np.zeros(chunk // 8, np.uint8)
-        for x in pdf["bits"]:
-            out |= np.frombuffer(x, np.uint8)
-        return pdf.iloc[:1].assign(bits=[out.tobytes()])
+    def join(total: np.ndarray | None, data: bytes) -> np.ndarray:
+        own = np.frombuffer(data, np.uint8)
+        return own if total is None else total | own
 
     placed = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("at"))
-    rows = placed.mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInPandas(join, "chunk int, bits binary").collect()
     out = np.zeros((64, chunk // 8), np.uint8)
-    for r in rows:
+    for r in folded(placed.mapInArrow(run, "chunk int, bits binary"), "bits", join, shuffle_width(ids.sparkSession)).toLocalIterator():
         out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(sig, items): the sets of the nodes in ``wanted`` (sig, rep), read again from their texts. A few
-    others pass the filter as well; no join asks for them."""
+    """(sig, items): the sets of the nodes in ``wanted`` (sig, rep), read again from their texts. Up to
+    ``FILTER_BITS`` / 8 of them pass by a filter of fixed size, a few others with them, for which no
+    join asks; more are found by a semi-join that moves texts."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(id_filter(wanted, "rep"))
+    known = docs.filter(F.col(key).isNotNull()).select(F.col(text).alias("text"), F.col(key).alias("key"))
+    few = wanted.count() <= FILTER_BITS // 8
+    bits = spark.sparkContext.broadcast(id_filter(wanted, "rep") if few else None)
+    placed = known.select("text", F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).alias("at")) if few else known.join(wanted.select(F.col("rep").alias("key")), "key", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        afresh()
         for batch in batches:
-            at = batch.column("at").to_numpy()
-            hit = np.flatnonzero(bits.value[at >> 3] >> (7 - (at & 7)) & 1)
-            for part in slices([batch.take(pa.array(hit))], text):
-                found = [shingles(t, n) for t in part.column(text).to_pylist()]
-                data = [x.tobytes() for x in found]
+            if few:
+                at = batch.column("at").to_numpy()
+                batch = batch.take(pa.array(np.flatnonzero(bits.value[at >> 3] >> (7 - (at & 7)) & 1)))
+            for part in slices([batch]):
+                data = [shingles(t, n).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([signed([xxhash.xxh3_64_intdigest(x) for x in data]), pa.array(data, pa.binary())], names=["sig", "items"])
         release()
 
-    return docs.filter(F.col(key).isNotNull()).select(text, F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("at")).mapInArrow(run, "sig long, items binary")
+    return placed.mapInArrow(run, "sig long, items binary")
+
+
+def compatible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BLOCKS) for c in ("x", "y"))
+            ok = may_link(x, batch.column("x_size").to_numpy(), y, batch.column("y_size").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    of = lambda node, name: sketches.select(F.col("sig").alias(node), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(name))
+    return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "x_size", "y", "y_size").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -354,17 +359,38 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def tiles_of(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """Rows (list, node, component, n) with columns of ``more`` (sig, ...), dealt into tiles (list, i, j): a
+    list of n nodes is cut into chunks of about ``TILE``, and each pair of chunks is a tile."""
+    dealt = rows.withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    spread = dealt.join(more.withColumnRenamed("sig", "node"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return spread.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("n", "chunks", "other")
+
+
+def tile_partners(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(list, node): nodes that, by sketches, can link with one of another component in their list."""
+
+    def compare(pdf):
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        pdf = pdf.drop_duplicates("node")
+        marks, size, comp = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BLOCKS), pdf["size"].to_numpy(), pdf["component"].to_numpy()
+        left, right = np.flatnonzero(pdf["chunk"] == i), np.flatnonzero(pdf["chunk"] == j)
+        good = np.zeros(len(pdf), bool)
+        for x in left:
+            near = right[(comp[right] != comp[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))]
+            near = near[may_link(marks[near], size[near], marks[x], size[x], percent)]
+            good[near] = True
+            good[x] |= len(near) > 0
+        return pd.DataFrame({"list": pdf["list"].to_numpy()[good], "node": pdf["node"].to_numpy()[good]})
+
+    return tiles_of(rows, sketches).groupBy("list", "i", "j").applyInPandas(compare, "list long, node long").distinct()
+
+
 def tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes of different components that share a list, enough of them to
-    connect what is connected: every list is compared in full, in tiles of bounded size.
-
-    ``rows`` has list, node, component and n, the length of the list. A list is dealt into chunks
-    of about ``TILE`` nodes, and each pair of chunks is a task's worth of work; only links come out.
-    """
-    chunks = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    spread = dealt.join(sets.select(F.col("sig").alias("node"), "items"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = spread.select("list", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "items")
+    connect what is connected: every list (list, node, component, n) is compared in full, in tiles of
+    bounded size from which only links come out."""
+    tiles = tiles_of(rows, sets.select("sig", "items"))
 
     def compare(pdf):
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -428,60 +454,83 @@ def merged_lists(rows: DataFrame) -> DataFrame:
     return kept.join(unions, "list", "left").select(F.coalesce("component", "list").alias("list"), "node").distinct()
 
 
-def linked_components(lists: DataFrame, places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked_components(docs: DataFrame, lists: DataFrame, places: DataFrame, sketches: DataFrame, reps: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """(sig, component) of all nodes with a link, from the lists (list, node).
 
     ``places`` (node, n) tells how many lists found a node; the hub of a list is its member with most:
-    of near copies that is the text they all come from, or the one nearest to it.
+    of near copies that is the text they all come from, or the one nearest to it. ``reps`` (sig, rep)
+    names a document of each set, from whose text the set is made again where it is needed.
     """
-    sizes = lists.groupBy("list").agg(F.count("*").alias("n"))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = materialize(nodes.select(F.col("node").alias("sig")).distinct().join(reps, "sig"), "wanted")
+        return materialize(sets_of(docs, wanted, n, key, text), "sets")
+
     hubs = lists.join(places.withColumnRenamed("n", "w"), "node").groupBy("list").agg(F.max(F.struct("w", "node")).alias("hub")).select("list", F.col("hub.node").alias("hub"))
     met = materialize(lists.join(hubs, "list").filter("node <> hub"), "met")
-    links = materialize(verified(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), sets, percent), "links")
+    pairs = materialize(compatible(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), sketches, percent), "pairs")
+    of_pairs = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    links = materialize(verified(pairs, of_pairs, percent), "links")
     named = materialize(connected_components(links, "a", "b"), "components")
     # The hub has met all; what is left is how the others stand to each other.
-    left = met.join(named, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
-    open_ = left.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    more = materialize(tile_links(left.join(open_.select("list"), "list", "left_semi").join(sizes, "list"), sets, percent), "links")
+    left = materialize(met.join(named, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component")), "left")
+    open_ = left.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("list", "n")
+    rows = materialize(left.join(open_, "list"), "open")
+    able = tile_partners(rows, sketches, percent)
+    some = materialize(rows.drop("n").join(able, ["list", "node"], "left_semi"), "able")
+    if some.isEmpty():
+        return named.withColumnRenamed("node", "sig")
+    counted = some.join(some.groupBy("list").agg(F.count("*").alias("n")), "list")
+    more = materialize(tile_links(counted, sets(some), percent), "links")
     return connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "sig")
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", boundary: int | None = None) -> DataFrame:
-    """``key``, n_shingles, component_id (smallest key reachable by links) for every row."""
+def components_of(docs: DataFrame, n: int, percent: int, key: str, text: str, boundary: int | None) -> DataFrame:
+    """(key, n_shingles, sig, text_hash, group, component_id) of every row; a group is null for empty sets."""
     spark = docs.sparkSession
     if boundary is None:
         boundary = choose_boundary(small_sizes(docs, n, text), percent)
-    plan = Plan(percent, boundary)
-    if not plan.by_blocks:
-        plan = Plan(percent, boundary, frequencies(docs, n, text))
-    nodes = materialize(nodes_of(docs, plan, n, key, text), "nodes")
-    entries = nodes.filter(F.col(key).isNotNull()).select("sig", F.col("n_shingles").cast("int").alias("size"), F.explode("lists").alias("list"))
+    nodes = materialize(nodes_of(docs, Plan(percent, boundary, frequencies(docs, n, text)), n, key, text), "nodes")
+    known = nodes.filter(F.col("key").isNotNull() & F.col("sig").isNotNull())
+    entries = known.select("sig", F.col("n_shingles").cast("int").alias("size"), F.explode("lists").alias("list"))
     members = members_of(materialize(scan(entries, shuffle_width(spark), percent), "scanned"))
     lists = materialize(merged_lists(members), "lists")
     places = members.groupBy("node").agg(F.count("*").alias("n"))
-    reps = nodes.filter(F.col(key).isNotNull() & F.col("sig").isNotNull()).groupBy("sig").agg(F.min(key).alias("rep"), F.min("sig2").alias("lo"), F.max("sig2").alias("hi"))
+    reps = known.groupBy("sig").agg(F.min("key").alias("rep"), F.min("sig2").alias("lo"), F.max("sig2").alias("hi"))
     # Two different sets of one fingerprint would show in the second one.
     reps = materialize(reps.select("sig", F.when(F.col("lo") == F.col("hi"), F.col("rep")).otherwise(F.raise_error(F.lit("two sets have one fingerprint")).cast(docs.schema[key].dataType)).alias("rep")), "reps")
-    wanted = lists.select(F.col("node").alias("sig")).distinct().join(reps, "sig")
-    wanted = materialize(wanted, "wanted")
-    sets = materialize(sets_of(docs, wanted, n, key, text), "sets")
-    parts = materialize(linked_components(lists, places, sets, percent), "parts")
+    in_lists = lists.select(F.col("node").alias("sig")).distinct()
+    sketches = materialize(known.filter("sketch is not null").select("sig", F.col("n_shingles").alias("size"), "sketch").join(in_lists, "sig", "left_semi").groupBy("sig").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
+    parts = materialize(linked_components(docs, lists, places, sketches, reps, n, percent, key, text), "parts")
     named = parts.join(reps, "sig")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = reps.join(named.join(least, "component").select("sig", "component_id"), "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
-    return nodes.select(key, "n_shingles", "sig").join(of, "sig", "left").select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
+    of = reps.join(named.join(least, "component").select("sig", "component", "component_id"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+    return nodes.select("key", "n_shingles", "sig", "text_hash").join(of, "sig", "left").withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")))
 
 
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the one whose key the group is named by.
+def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", boundary: int | None = None) -> DataFrame:
+    """``key``, n_shingles, component_id (smallest key reachable by links) for every row."""
+    return components_of(docs, n, percent, key, text, boundary).select(F.col("key").alias(key), "n_shingles", "component_id")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
 
-    Of rows that repeat a key one stays; rows with a null key all stay.
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: of those with the key the group is named by, the one of the
+    smallest fingerprint. Decided by row, not by key: where a key repeats with different texts, each
+    text belongs to its own group. Rows with a null key all stay; of empty texts one stays for each key.
     """
-    found = join(docs, n, percent, key, text)
-    kept = found.filter(F.col("component_id") == F.col(key)).select(key).distinct()
-    known = docs.filter(F.col(key).isNotNull())
-    first = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())
-    one = known.join(kept, key, "left_semi").withColumn("nth_of_key", F.row_number().over(first)).filter("nth_of_key = 1").drop("nth_of_key")
+    found = components_of(docs, n, percent, key, text, None).filter("component_id = key")
+    mark, nth = unused(docs, "text_hash"), unused(docs, "nth_row")
+    kept = found.groupBy("key", "group").agg(F.min(F.struct("sig", "text_hash")).alias("m")).select(F.col("key").alias(key), F.col("m.text_hash").alias(mark))
+    known = docs.filter(F.col(key).isNotNull()).withColumn(mark, F.xxhash64(text))
+    first = Window.partitionBy(key, mark).orderBy(F.lit(0))
+    one = known.join(kept, [key, mark], "left_semi").withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).select(docs.columns)
     return one.unionByName(docs.filter(F.col(key).isNull()))
 
 

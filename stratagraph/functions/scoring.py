@@ -29,19 +29,26 @@ def file_boost(path: Column) -> Column:
     return out
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
 def cosine(a: Column, b: Column) -> Column:
-    """0 where lengths differ, a vector is empty or has no length."""
-    good = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm(a) > 0) & (norm(b) > 0)
-    return F.when(good, dot(a, b) / (norm(a) * norm(b))).otherwise(F.lit(0.0))
+    """0 where lengths differ, a vector is empty or has no length. One pass over both vectors."""
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    start = F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"))
+    add = lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy"))
+    ratio = lambda s: F.when((s["xx"] > 0) & (s["yy"] > 0), s["xy"] / (F.sqrt(s["xx"]) * F.sqrt(s["yy"])))
+    return F.coalesce(F.when(F.size(a) == F.size(b), F.aggregate(pairs, start, add, ratio)), F.lit(0.0))
+
+
+def cosine_to(a: Column, vector: list[float]) -> Column:
+    """Cosine to one given vector, whose norm is worked out once and not for every row."""
+    given = [float(x) for x in vector]
+    length = sum(x * x for x in given) ** 0.5
+    if not length:
+        return F.lit(0.0)
+    pairs = F.zip_with(a, F.array(*[F.lit(x) for x in given]), lambda x, y: F.struct(x.cast("double").alias("x"), y.alias("y")))
+    start = F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"))
+    add = lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"))
+    ratio = lambda s: F.when(s["xx"] > 0, s["xy"] / (F.sqrt(s["xx"]) * F.lit(length)))
+    return F.coalesce(F.when(F.size(a) == len(given), F.aggregate(pairs, start, add, ratio)), F.lit(0.0))
 
 
 def clamp(confidence: Column) -> Column:

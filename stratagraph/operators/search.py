@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import cosine, file_boost
+from ..core import SYMBOL_KIND_NAMES
+from ..functions.scoring import cosine, cosine_to, file_boost
 from ..functions.text import has_all_words, like
 from .lookup import recent
 
@@ -21,8 +25,8 @@ def search_content(symbols: DataFrame, query: str, kind: str | None = None, limi
 
 def search_vector(symbols: DataFrame, embeddings: DataFrame, vector: list[float] | Column, limit: int = 10) -> DataFrame:
     """Best embedding row of each symbol by cosine times file boost."""
-    query = vector if isinstance(vector, Column) else F.array(*[F.lit(float(x)) for x in vector])
-    scored = embeddings.select("uri", cosine(F.col("vector"), query).alias("cos"))
+    cos = cosine(F.col("vector"), vector) if isinstance(vector, Column) else cosine_to(F.col("vector"), vector)
+    scored = embeddings.select("uri", cos.alias("cos"))
     # The score of a symbol's best row does not change with the factor's order: the factor is positive.
     best = scored.groupBy("uri").agg(F.max("cos").alias("cos")).join(symbols, "uri")
     return best.withColumn("score", F.col("cos") * file_boost(F.col("path"))).drop("cos").orderBy(F.desc("score"), "uri").limit(limit)
@@ -41,15 +45,51 @@ def search_kind(symbols: DataFrame, kind: str, part: str | None = None, limit: i
     return found.orderBy("name", "uri").limit(limit)
 
 
-def search(symbols: DataFrame, embeddings: DataFrame | None, query: str, embed=None, kind: str | None = None, exact: bool = False, limit: int = 10) -> tuple[str, DataFrame]:
-    """Vector search unless exact words are asked for or no vectors are at hand: (mode, results)."""
-    if not exact and query.strip() and embed is not None and embeddings is not None:
-        return "vector", search_vector(symbols, embeddings, embed(query), limit)
+def search(symbols: DataFrame, embeddings: DataFrame | None, query: str, embed=None, kind: str | None = None, exact: bool = False, limit: int = 10, fill: Callable[[], DataFrame] | None = None) -> tuple[str, DataFrame]:
+    """(mode, results): vector search unless exact words are asked for.
+
+    Where there are no vectors ``fill`` makes them. Without a query vector (none can be made, or
+    making it fails) or without any vectors the search is by words: ``fallback_exact``.
+    """
+    if not exact and query.strip() and embed is not None:
+        try:
+            vector = embed(query)
+            held = embeddings
+            if (held is None or held.isEmpty()) and fill is not None:
+                held = fill()
+            if held is not None and not held.isEmpty():
+                return "vector", search_vector(symbols, held, vector, limit)
+        except Exception as problem:  # a model that cannot be reached must not end a search
+            warnings.warn(f"search by words, since embedding failed: {problem}", stacklevel=2)
     mode = "exact" if exact or not query.strip() else "fallback_exact"
     return mode, search_content(symbols, query, kind, limit).withColumn("score", F.lit(1.0))
 
 
+def http_shape(mode: str, results: DataFrame) -> DataFrame:
+    """One row: mode, total, and results as an array of short symbol references, without scores."""
+    nth = F.row_number().over(Window.orderBy(F.desc("score"), "uri")) if "score" in results.columns else F.lit(0)
+    rows = results.withColumn("nth", nth).select("nth", F.struct("uri", "kind", "name", "path", F.col("line_start").alias("line")).alias("r"))
+    packed = rows.agg(F.array_sort(F.collect_list(F.struct("nth", "r"))).alias("rows"))
+    return packed.select(F.lit(mode).alias("mode"), F.size("rows").cast("bigint").alias("total"), F.transform("rows", lambda x: x["r"]).alias("results"))
+
+
+def known_kind(kind: str | None) -> str | None:
+    """A kind by any of its names; one that is not known counts as none."""
+    found = [k for k, others in SYMBOL_KIND_NAMES.items() if kind and kind.strip().lower() in others]
+    return found[0] if found else None
+
+
+def text_shape(results: DataFrame) -> DataFrame:
+    """Results as lines of text: ``kind name path:line`` and the address, one row a result."""
+    line = F.format_string("[%s] %s (%s:%d)\n  %s", "kind", "name", "path", "line_start", "uri")
+    return results.select("uri", line.alias("line"))
+
+
 def rag_top_k(chunks: DataFrame, vector: list[float], k: int = 5) -> DataFrame:
     """Chunks (chunk_id, vector, ...) by cosine alone."""
-    query = F.array(*[F.lit(float(x)) for x in vector])
-    return chunks.withColumn("score", cosine(F.col("vector"), query)).orderBy(F.desc("score"), "chunk_id").limit(k)
+    return chunks.withColumn("score", cosine_to(F.col("vector"), vector)).orderBy(F.desc("score"), "chunk_id").limit(k)
+
+
+def best_per_symbol(embeddings: DataFrame, vector: list[float]) -> DataFrame:
+    """(uri, best): the cosine of each symbol's best vector."""
+    return embeddings.groupBy("uri").agg(F.max(cosine_to(F.col("vector"), vector)).alias("best"))

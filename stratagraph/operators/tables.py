@@ -60,6 +60,16 @@ def change_status(seen: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
+def deleted_paths(known: DataFrame, present: DataFrame) -> DataFrame:
+    """(path) of files that are known (path) but not present any more (path)."""
+    return known.select("path").distinct().join(present.select("path"), "path", "left_anti")
+
+
+def held_hashes(states: DataFrame) -> DataFrame:
+    """(path, hash) of files that have a hash; removed ones (null) are left out."""
+    return states.filter("hash is not null").select("path", "hash")
+
+
 def event_status(events: DataFrame) -> DataFrame:
     """Status of each change event (path, seq..., hash, removed) against the event just before it.
 

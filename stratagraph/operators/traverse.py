@@ -114,6 +114,7 @@ def analyze(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("from_uri").alias("uri")).agg(F.count("*").alias("out_degree"))
     found = symbols.join(into, "uri", "left").join(out, "uri", "left").fillna(0, ["in_degree", "out_degree"])
     i, o, kind = F.col("in_degree"), F.col("out_degree"), F.col("kind")
+    # Texts of roles.
     role = (
         F.when(kind == "namespace", "Component/Module")
         .when(kind == "container", "Data Structure/Type")
@@ -137,17 +138,23 @@ def explore(symbols: DataFrame, edges: DataFrame, uri: str, depth: int = 1) -> t
     return nodes, links
 
 
-def scope_chain(scopes: DataFrame, rounds: int = 64) -> DataFrame:
-    """(scope_id, ancestor, distance) for every scope, itself at distance 0."""
-    up = scopes.filter("parent_id is not null").select(F.col("scope_id").alias("ancestor"), "parent_id")
-    level = scopes.select("scope_id", F.col("scope_id").alias("ancestor"), F.lit(0).alias("distance"))
-    found = level
-    for distance in range(1, rounds + 1):
-        level = stored(level.join(up, "ancestor").select("scope_id", F.col("parent_id").alias("ancestor"), F.lit(distance).alias("distance")))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found
+def scope_chain(scopes: DataFrame) -> DataFrame:
+    """(scope_id, ancestor, distance) for every scope, itself at distance 0, however deep the chain.
+
+    What is known of the chain doubles with every round: ancestors within 2^k steps, joined with
+    themselves, are those within 2^(k+1). A scope that is its own ancestor is an error.
+    """
+    known = stored(scopes.select("scope_id", F.col("scope_id").alias("ancestor"), F.lit(0).alias("distance")).unionByName(scopes.filter("parent_id is not null").select("scope_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))))
+    reach = 1
+    while True:
+        if not known.filter("distance > 0 and scope_id = ancestor").isEmpty():
+            raise ValueError("scopes contain each other")
+        top = known.filter(F.col("distance") == reach).select("scope_id", F.col("ancestor").alias("via"))
+        further = known.filter("distance > 0").select(F.col("scope_id").alias("via"), "ancestor", "distance")
+        new = stored(top.join(further, "via").select("scope_id", "ancestor", (F.col("distance") + reach).cast("int").alias("distance")))
+        if new.isEmpty():
+            return known
+        known, reach = known.unionByName(new), 2 * reach
 
 
 def lexical_lookup(scopes: DataFrame, definitions: DataFrame, wanted: DataFrame) -> DataFrame:

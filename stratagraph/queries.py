@@ -54,8 +54,7 @@ _LAST = "with last as (select path, hash from (select *, row_number() over (part
 
 @query(_LAST + " select path from last where hash is null")
 def s08_deleted_paths(t):
-    indexed = t.events().filter("hash is not null").select("path").distinct()
-    return indexed.unionByName(t.events().select("path").distinct()).distinct().join(t.file_states().filter("hash is not null"), "path", "left_anti")
+    return tables.deleted_paths(t.events(), tables.held_hashes(t.file_states()))
 
 
 @query("with old as (select path, max(hash) as hash from changes where event_id % 2 = 0 and hash is not null group by path), new as (select path, hash, event_id from changes where event_id % 2 = 1 and hash is not null) select path, hash from (select path, hash, row_number() over (partition by path order by event_id desc) as r from new) where r = 1 union all select path, hash from old where path not in (select path from new)")
@@ -197,7 +196,7 @@ def f14_mark_and_delete(t):
 
 @query(_LAST + " select path, hash from last where hash is not null")
 def f15_file_hashes(t):
-    return t.file_states().filter("hash is not null")
+    return tables.held_hashes(t.file_states())
 
 
 @query(f"select uri, id, vec_id from vectors where uri = {SUPPLIER} and id = 0")
@@ -271,11 +270,9 @@ def q04_cosine(t):
     return t.embeddings().select("vec_id", F.round(scoring.cosine(F.col("vector"), v), 6).alias("cos"))
 
 
-@query("select uri, case when lower(name) = 'supplier#000000001' then 1.0 else 0.5 end::double as score from symbols where name ilike '%supplier#00000000%' order by score desc, name, uri limit 8")
+@query("select uri, 0.5::double as score from symbols where name ilike 'supplier#00000000%' order by name, uri limit 8")
 def q05_search_name(t):
-    found = lookup.by_name_like(t.symbols(), "%supplier#00000000%")
-    score = F.when(F.lower("name") == "supplier#000000001", 1.0).otherwise(0.5)
-    return found.withColumn("score", score).orderBy(F.desc("score"), "name", "uri").limit(8).select("uri", "score")
+    return search.search_name(t.symbols(), "supplier#00000000%", 8).select("uri", "score")
 
 
 @query("select uri, 0.5::double as score from symbols where name ilike '%customer#%' order by name, uri limit 12")
@@ -416,7 +413,7 @@ linked as (select id, from_uri, ref_kind, rule, n, case when n = 1 then u end as
 
 
 def linked(t: Tables) -> DataFrame:
-    return link.link(t.references(), t.symbols(), t.edges(), t.imports())
+    return link.link(stored(t.references()), stored(t.symbols()), lookup.edges_of_kind(t.edges(), "contains"), t.imports())
 
 
 @query(_LINK + "select id, rule, n, uri, outcome from linked")
@@ -431,7 +428,8 @@ def l01_linked_edges(t):
 
 @query(_LINK + "select distinct l.id as reference_id, h.uri as candidate_uri from linked l join held h using (id) where outcome = 'ambiguous' and (rule = 'global' or (rule = 'local' and h.path = h.file_path) or (rule = 'receiver' and exists (select 1 from edges e join symbols b on b.uri = e.from_uri where e.kind = 'contains' and e.to_uri = h.uri and b.name = h.receiver)))")
 def l01_ambiguous_candidates(t):
-    return link.ambiguous_rows(linked(t), t.references(), t.symbols(), t.edges()).select("reference_id", "candidate_uri")
+    r, s, e = stored(t.references()), stored(t.symbols()), lookup.edges_of_kind(t.edges(), "contains")
+    return link.ambiguous_rows(link.link(r, s, e, t.imports()), r, s, e).select("reference_id", "candidate_uri")
 
 
 @query(_LINK + "select l.id, outcome from linked l join refs r using (id) where r.file_path = 'geo/' || (select n_name from nation where n_nationkey = 2) || '.rs'")
@@ -445,12 +443,12 @@ def l03_import_matches(t):
 
 
 def _callsites(t: Tables) -> DataFrame:
-    """Vectors divisible by 5 as callsites of the customers of that key."""
+    """Vectors as callsites of the customers of that key."""
     c = t._keyed().filter("t = 'customer'").select("key", F.col("uri").alias("from_uri"))
-    return t("embeddings").filter("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(c, F.col("id") == F.col("key")).drop("key")
+    return t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(c, F.col("id") == F.col("key")).drop("key")
 
 
-_SITES = "with sites as (select vec_id as id, embedding as v, uri as from_uri from embeddings join keyed on t = 'customer' and key = vec_id where vec_id % 5 = 0) "
+_SITES = "with sites as (select vec_id as id, embedding as v, uri as from_uri from embeddings join keyed on t = 'customer' and key = vec_id) "
 
 
 @query(_SITES + ", scored as (select s.id, s.from_uri, v.uri, v.id as chunk, list_cosine_similarity(cast(s.v as double[]), cast(v.vector as double[])) as score from sites s, vectors v), top as (select *, row_number() over (partition by id order by score desc, uri, chunk) as r from scored where score >= 0.25), new as (select from_uri, uri as to_uri, max(score) as confidence from top where r <= 5 group by 1, 2) select n.from_uri, n.to_uri, 'calls' as kind, round(n.confidence, 6) as confidence from new n left join edges e on e.from_uri = n.from_uri and e.to_uri = n.to_uri and e.kind = 'calls' where e.confidence is null or e.confidence < n.confidence")
@@ -482,10 +480,10 @@ def _part_vectors(t: Tables) -> DataFrame:
     return t("embeddings").join(p, F.col("vec_id") == F.col("key")).select("uri", F.lit(0).alias("id"), F.col("embedding").alias("vector"))
 
 
-@query(_BASIC + ", scored as (select b.id, h.uri, list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) as s from basic b join held h using (id) join keyed k on k.t = 'part' and k.uri = h.uri join embeddings e on e.vec_id = k.key join embeddings q on q.vec_id = b.id % 500 where b.strategy = 'ambiguous'), best as (select id, first(uri order by s desc, uri) as uri, max(s) as s from scored group by id having max(s) > 0.2) select basic.id, case when s is not null then 'semantic' else strategy end as strategy, coalesce(best.uri, basic.uri) as uri, round(coalesce(0.6 + (s - 0.5) * 0.48, confidence), 6) as confidence from basic left join best using (id)")
+@query(_BASIC + ", scored as (select b.id, h.uri, list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) as s from basic b join held h using (id) join keyed k on k.t = 'part' and k.uri = h.uri join embeddings e on e.vec_id = k.key join embeddings q on q.vec_id = b.id % (select count(*) from embeddings) where b.strategy = 'ambiguous'), best as (select id, first(uri order by s desc, uri) as uri, max(s) as s from scored group by id having max(s) > 0.2) select basic.id, case when s is not null then 'semantic' else strategy end as strategy, coalesce(best.uri, basic.uri) as uri, round(coalesce(0.6 + (s - 0.5) * 0.48, confidence), 6) as confidence from basic left join best using (id)")
 def l07_resolve_semantic(t):
     r = t.references()
-    sites = r.select("id", (F.col("id") % 500).alias("vec_id")).join(t("embeddings"), "vec_id").select("id", F.col("embedding").alias("vector"))
+    sites = r.select("id").crossJoin(t("embeddings").agg(F.count("*").alias("n"))).select("id", (F.col("id") % F.col("n")).alias("vec_id")).join(t("embeddings"), "vec_id").select("id", F.col("embedding").alias("vector"))
     basic = link.resolve_basic(r, t.symbols(), t.edges())
     return link.resolve_semantic(basic, r, t.symbols(), sites, _part_vectors(t), 0.2).select("id", "strategy", "uri", F.round("confidence", 6).alias("confidence"))
 
@@ -606,7 +604,7 @@ def t15_hash_embeddings(t):
 # Counts ---------------------------------------------------------------------------------------
 
 
-@query("select (select count(*) from symbols) as symbols, (select count(*) from edges) as edges, (select count(*) from vectors) as embeddings, (select count(*) from refs where not is_external) as unresolved, (select count(*) from imports) as imports, (select count(*) from embeddings join keyed on t = 'customer' and key = vec_id where vec_id % 5 = 0) as callsite_embeddings")
+@query("select (select count(*) from symbols) as symbols, (select count(*) from edges) as edges, (select count(*) from vectors) as embeddings, (select count(*) from refs where not is_external) as unresolved, (select count(*) from imports) as imports, (select count(*) from embeddings join keyed on t = 'customer' and key = vec_id) as callsite_embeddings")
 def a02_db_stats(t):
     return stats.db_stats(t.symbols(), t.edges(), t.embeddings(), t.references(), t.imports(), _callsites(t))
 
@@ -633,8 +631,7 @@ def a07_degrees(t):
 
 @query(f"select uri, max(round({_COS}, 6)) as best from vectors group by uri")
 def a08_best_per_uri(t):
-    v = F.array(*[F.lit(x) for x in vector_of(t, 0)])
-    return t.embeddings().groupBy("uri").agg(F.max(F.round(scoring.cosine(F.col("vector"), v), 6)).alias("best"))
+    return search.best_per_symbol(t.embeddings(), vector_of(t, 0)).select("uri", F.round("best", 6).alias("best"))
 
 
 # Streaming ------------------------------------------------------------------------------------

@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Edges with a null end are ignored, loops give a node on its own. Any orderable type works.
     """
-    pairs = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).dropna()
+    # Stored first, so that what makes the edges runs once and no filter is pushed into it.
+    pairs = materialize(edges.select(F.col(src).alias("x"), F.col(dst).alias("y")), "pairs").dropna()
     alone = pairs.filter("x = y").select(F.col("x").alias("node")).distinct()
     now = materialize(pairs.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
     mark = _mark(now)

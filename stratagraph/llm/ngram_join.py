@@ -364,7 +364,9 @@ def tiles_of(rows: DataFrame, more: DataFrame) -> DataFrame:
     list of n nodes is cut into chunks of about ``TILE``, and each pair of chunks is a tile."""
     dealt = rows.withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = dealt.join(more.withColumnRenamed("sig", "node"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return spread.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("n", "chunks", "other")
+    tiles = spread.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("n", "chunks", "other")
+    # Tiles are few bytes and much work, so their number of tasks is not left to their size.
+    return tiles.repartition(shuffle_width(rows.sparkSession), "list", "i", "j")
 
 
 def tile_partners(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:

@@ -6,19 +6,25 @@ pages into components of aliases, and a component that holds a blocked URL block
 unless it also holds a URL that a rule explicitly allows. That holds for every URL of a component,
 whether a page of its own or only the target of a link. A rule's own verdict is never changed.
 
-All of it is DataFrame expressions. Rules join on host suffixes (a rule list under Spark's own
-broadcast threshold is broadcast, a longer one is shuffled); alias edges, components and verdicts
-are tables, so no host, however common, gathers its pages anywhere.
+All of it is DataFrame expressions. Host, path and alias name of a URL are bound as columns step
+by step, so no expression is repeated. Rules join on host suffixes (a rule list under Spark's own
+broadcast threshold is broadcast, a longer one is shuffled). Html is read once, for its links.
+Verdicts are summed over distinct URLs before they meet components, and where a blocked URL or
+component meets its rows the join is salted, so neither a common host, nor one URL repeated, nor
+one huge component gathers its rows anywhere. URLs that cannot be aliases (no host) join nothing.
 
 Null URLs, and those without ``://``, have an empty host and path, no rule and no aliases, and
-are allowed. Null html has no links. Repeated rows each get their own result row.
+are allowed. Null html has no links; of several canonical links or refreshes all count. Repeated
+rows each get their own result row; null keys are kept. An empty table gives an empty result.
+URLs and html of any length are read whole. Further columns of the table are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -28,26 +34,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Tasks over which the rows of one URL or component are dealt.
+SALTS = 16
 
 
-def _rest(url: str) -> Column:
-    """What follows the first ``://``; null where there is none."""
-    place = F.instr(F.col(url), "://")
-    return F.when(place > 0, F.substring(F.col(url), place + 3, F.length(url)))
-
-
-def host_of(url: str) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(_rest(url), r"\A[^/?#]*", 0), UPPER, LOWER), F.lit(""))
-
+def parsed(rows: DataFrame, url: str, prefix: str = "") -> DataFrame:
+    """Add host, path and node (names prefixed) of the URL in column ``url``.
 
-def path_of(url: str) -> Column:
-    return F.coalesce(F.regexp_extract(_rest(url), r"\A[^/?#]*([^?#]*)", 1), F.lit(""))
-
-
-def node_of(url: str) -> Column:
-    """What aliases are compared by: host, path and query; scheme and fragment play no part."""
-    tail = F.regexp_extract(_rest(url), r"\A[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(tail == "", F.lit("/")).otherwise(tail)))
+    A node is what aliases are compared by: host, path and query; scheme and fragment play no part.
+    """
+    host, path, node, rest, tail = (prefix + x for x in ("host", "path", "node", "rest", "tail"))
+    place = F.instr(F.col(url), "://")
+    step = rows.withColumn(rest, F.when(place > 0, F.substring(F.col(url), place + 3, F.length(url))))
+    step = step.withColumn(host, F.coalesce(F.translate(F.regexp_extract(rest, r"\A[^/?#]*", 0), UPPER, LOWER), F.lit("")))
+    step = step.withColumn(tail, F.coalesce(F.regexp_extract(rest, r"\A[^/?#]*([^#]*)", 1), F.lit("")))
+    step = step.withColumn(path, F.substring_index(tail, "?", 1))
+    return step.withColumn(node, F.when(F.col(host) != "", F.concat(host, F.when(F.col(tail) == "", F.lit("/")).otherwise(F.col(tail))))).drop(rest, tail)
 
 
 def apply_rules(urls: DataFrame, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
@@ -66,21 +68,32 @@ def apply_rules(urls: DataFrame, rules: Iterable[tuple[str, str, str]]) -> DataF
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Alias edges (src, dst) that pages declare: canonical links and meta refreshes."""
-    marks = pages.filter(F.col(html).rlike(r"(?i)canonical|refresh")).select(
-        url,
-        F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1).alias("canonical"),
-        F.regexp_extract(F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1).alias("refresh"),
-    )
-    links = marks.select(url, F.explode(F.array("canonical", "refresh")).alias("link")).filter("link <> ''").withColumn("link", F.regexp_replace("link", "&amp;", "&"))
-    scheme = F.concat(F.substring_index(url, "://", 1), F.lit("://"))
-    folder = F.regexp_extract(path_of(url), r"(?s)\A.*/", 0)
+    tag = lambda text, mark, part: F.transform(F.regexp_extract_all(text, F.lit(mark), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
+    canonical = tag(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    refresh = tag(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    marked = pages.filter(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("from_url"), F.explode(F.concat(canonical, refresh)).alias("link")).filter("link <> ''")
+    found = parsed(marked.withColumn("link", F.regexp_replace("link", "&amp;", "&")), "from_url", "from_")
+    base = found.withColumn("scheme", F.concat(F.substring_index("from_url", "://", 1), F.lit("://"))).withColumn("folder", F.regexp_extract("from_path", r"(?s)\A.*/", 0))
     absolute = (
         F.when(F.col("link").rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), F.col("link"))
-        .when(F.startswith("link", F.lit("//")), F.concat(F.substring_index(scheme, "//", 1), "link"))
-        .when(F.startswith("link", F.lit("/")), F.concat(scheme, host_of(url), "link"))
-        .otherwise(F.concat(scheme, host_of(url), F.when(folder == "", F.lit("/")).otherwise(folder), "link"))
+        .when(F.startswith("link", F.lit("//")), F.concat(F.substring_index("scheme", "//", 1), "link"))
+        .when(F.startswith("link", F.lit("/")), F.concat("scheme", "from_host", "link"))
+        .otherwise(F.concat("scheme", "from_host", F.when(F.col("folder") == "", F.lit("/")).otherwise(F.col("folder")), "link"))
     )
-    return links.withColumn("to", absolute).select(node_of(url).alias("src"), node_of("to").alias("dst"))
+    return parsed(base.select("from_node", absolute.alias("to_url")), "to_url", "to_").select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"))
+
+
+def url_links(redirects: DataFrame) -> DataFrame:
+    """Alias edges from redirects given as URLs (src, dst)."""
+    both = parsed(parsed(redirects.select("src", "dst"), "src", "from_"), "dst", "to_")
+    return both.select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"))
+
+
+def _among(rows: DataFrame, few: DataFrame, column: str, salt: str) -> DataFrame:
+    """``rows`` left-joined with ``few`` (unique ``column``, blocked): each of the few is there once a
+    salt, and the rows of one value are dealt over all salts."""
+    dealt = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(dealt, [column, "salt"], "left").drop("salt")
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], redirects: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
@@ -88,26 +101,27 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], redirects: Da
 
     ``redirects``: further alias edges as URLs (src, dst), say from a crawl log.
     """
-    edges = page_links(pages, url, html) if html else pages.sparkSession.createDataFrame([], "src string, dst string")
+    named = pages.select(F.col(key).alias("page_key"), F.col(url).alias("page_url"), *([F.col(html).alias("page_html")] if html else []))
+    edges = page_links(named, "page_url", "page_html") if html else pages.sparkSession.createDataFrame([], "src string, dst string")
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(node_of("src").alias("src"), node_of("dst").alias("dst")))
+        edges = edges.unionByName(url_links(redirects))
     aliases = materialize(connected_components(edges), "aliases")
-    rows = pages.select(F.col(key), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), F.lit(True).alias("is_page"))
+    rows = parsed(named.select("page_key", "page_url"), "page_url").select("page_key", "host", "path", "node", F.lit(True).alias("is_page"))
     # A node is a URL without its scheme. Rules apply to all of them: targets of links need not be pages.
-    whole = aliases.select("node", F.concat(F.lit("x://"), "node").alias("whole"))
-    targets = whole.select(F.lit(None).cast(pages.schema[key].dataType).alias(key), host_of("whole").alias("host"), path_of("whole").alias("path"), "node", F.lit(False).alias("is_page"))
-    every = materialize(rows.unionByName(targets).withColumn("row", F.monotonically_increasing_id()), "urls")
+    targets = parsed(aliases.select(F.lit(None).cast(pages.schema[key].dataType).alias("page_key"), F.concat(F.lit("x://"), "node").alias("page_url")), "page_url")
+    every = materialize(rows.unionByName(targets.select("page_key", "host", "path", "node", F.lit(False).alias("is_page"))).withColumn("row", F.monotonically_increasing_id()), "urls")
     ruled = materialize(apply_rules(every, rules), "ruled")
-    verdicts = (
-        ruled.filter("rule is not null")
-        .join(aliases, "node")
-        .groupBy("component")
-        .agg(F.bool_or(F.col("rule_verdict") == "allow").alias("allows"), F.bool_or(F.col("rule_verdict") == "block").alias("blocks"))
-        .select("component", (F.col("blocks") & ~F.col("allows")).alias("blocked"))
-    )
-    spread = aliases.join(verdicts.filter("blocked"), "component").select("node", "blocked")
-    return ruled.filter("is_page").join(spread, "node", "left").select(
-        key,
+    # The rule of a URL depends on its node alone, so each node counts once.
+    by_node = ruled.filter("rule is not null").select("node", "rule_verdict").distinct().join(aliases, "node")
+    verdicts = by_node.groupBy("component").agg(F.bool_or(F.col("rule_verdict") == "allow").alias("allows"), F.bool_or(F.col("rule_verdict") == "block").alias("blocks"))
+    blocked = verdicts.filter("blocks and not allows").select("component", F.lit(True).alias("blocked"))
+    spread = _among(aliases, blocked, "component", "node").filter("blocked").select("node", "blocked")
+    of_pages = ruled.filter("is_page")
+    alone = F.col("rule").isNotNull() | F.col("node").isNull()
+    open_ = _among(of_pages.filter(~alone), spread, "node", "row")
+    every_page = of_pages.filter(alone).withColumn("blocked", F.lit(None).cast("boolean")).unionByName(open_)
+    return every_page.select(
+        F.col("page_key").alias(key),
         "host",
         "path",
         "rule",
@@ -116,11 +130,11 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], redirects: Da
     )
 
 
-ORACLE_SQL = {"op5_url_filter": """
+_PARTS = """
 with urls as (
-    select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages
+    select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages
 ), parts as (
-    select page_id,
+    select page_id, url,
            translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
            coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
     from urls
@@ -128,11 +142,31 @@ with urls as (
 fits as (
     select page_id, h || p as rule, v, row_number() over (partition by page_id order by length(h) + length(p) desc, length(h) desc, h || p) as n
     from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
-)
+)"""
+_GROUP = r"\A/[a-z]+/[0-9]{1,2}"
+ORACLE_SQL = {
+    "op5_url_filter": _PARTS + """
 select parts.page_id, host, path, rule, coalesce(v, 'allow') as verdict, case when rule is null then 'none' else 'rule' end as via
 from parts left join fits on fits.page_id = parts.page_id and n = 1
-"""}
+""",
+    "url_alias_verdicts": _PARTS + """
+, mirrors as (select page_id, host, path, regexp_extract(path, '^/[a-z]+/[0-9]{1,2}') as g, rule, v from parts left join fits using (page_id) where coalesce(n, 1) = 1),
+groups as (select g, bool_or(coalesce(v, '') = 'block') and not bool_or(coalesce(v, '') = 'allow') as blocked from mirrors where g <> '' and host <> '' group by g)
+select page_id, host, path, rule, coalesce(v, case when host <> '' and blocked then 'block' end, 'allow') as verdict,
+       case when rule is not null then 'rule' when host <> '' and coalesce(blocked, false) then 'alias' else 'none' end as via
+from mirrors left join groups using (g)
+""",
+}
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def url_alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same judgement with redirects beside the pages: pages whose paths begin alike redirect to
+    the one of them with the smallest URL, so verdicts spread over components."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    mirrors = parsed(pages.select("url"), "url").filter("host <> ''").select("url", F.regexp_extract("path", _GROUP, 0).alias("g")).filter("g <> ''")
+    first = mirrors.groupBy("g").agg(F.min("url").alias("dst"))
+    return judge(pages, RULES, mirrors.join(first, "g").select(F.col("url").alias("src"), "dst"))

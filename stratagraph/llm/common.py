@@ -7,9 +7,11 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -126,3 +128,18 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | list
             release()
 
     return df.mapInArrow(run, schema)
+
+
+def folded(rows: DataFrame, first: str, combine: Callable[[np.ndarray | None, bytes], np.ndarray], width: int) -> DataFrame:
+    """(chunk, ``first``): the compressed values of each chunk (chunk, ``first``) combined, as a stream: a task holds one
+    result for each chunk it has, whatever the number of values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        afresh()
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column(first)):
+                total[chunk] = combine(total.get(chunk), zlib.decompress(data.as_buffer()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", first])
+
+    return rows.repartition(width, "chunk").mapInArrow(run, f"chunk int, {first} binary")

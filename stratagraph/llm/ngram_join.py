@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import afresh, held, materialize, release, shuffle_width, slices, table
+from .common import afresh, folded, held, materialize, release, shuffle_width, slices, table
 from .components import connected_components
 
 #: Sizes up to which a boundary is considered.
@@ -141,21 +141,6 @@ class Plan:
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
-def folded(rows: DataFrame, first: str, combine, width: int) -> DataFrame:
-    """(chunk, ``first``): the binary values of each chunk combined, as a stream: a task holds one
-    result for each chunk it has, whatever the number of values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        afresh()
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column(first)):
-                total[chunk] = combine(total.get(chunk), zlib.decompress(data.as_buffer()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", first])
-
-    return rows.repartition(width, "chunk").mapInArrow(run, f"chunk int, {first} binary")
-
-
 def frequencies(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
     """How often the n-grams of each hash range occur in all documents, as 64 log2(1 + count): tasks
     count, chunks are summed, and the driver gets ``COUNTERS`` numbers of two bytes."""

@@ -5,17 +5,20 @@ document with what is usual for its language and source. For each (language, sou
 quantile sketch is kept: counts in buckets that are exact below 64 and at most 1/32 wide above, so
 sketches merge by adding counts, in any order, with the same result. From a sketch come the
 quartiles q1 and q3, and the thresholds q3 + 3 w and (for word length) q1 - 3 w, where w is
-q3 - q1 or the ratio's least width, whichever is more. Sketches of groups with fewer than
-``MIN_GROUP`` documents are merged into one per language. Thresholds then join the documents.
+q3 - q1 or the ratio's least width, whichever is more. To each group's sketch that of its language
+is added with the weight of ``PRIOR`` documents, so a group of any size has thresholds of its own:
+those of a small one lie near its language's, those of a large one are its own. Thresholds then
+join the documents.
 
 The text is read once; its numbers go to a table in the shared folder, from which both sketches
-and filter are made. A hot source is summed before the shuffle (partial aggregation), and the
-threshold table joins by Spark's own choice (broadcast under its size limit, else a sort-merge
-join that adaptive execution splits where skewed).
+and filter are made. A hot source is summed before the shuffle (partial aggregation). The
+threshold table is broadcast where it has at most ``BROADCAST_ROWS`` rows, else rows and thresholds
+are dealt over ``SALTS`` salts, so the rows of one source never meet in one task.
 
 Null text has no words and fails the base rules. Null language or source counts as the empty
-name. Repeated rows and ids are judged row by row. Windows of words are compared by 64-bit hash
-within one document.
+name. Repeated rows and ids (null ones too) are judged row by row; ties do not arise. Windows of
+words are compared by 64-bit hash within one document. Texts of any length are read whole, an empty
+table gives an empty result, and further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-MIN_GROUP = 100
+#: Documents a language's sketch counts as beside that of one of its groups.
+PRIOR = 100
+#: Rows (of about 100 bytes) up to which thresholds are broadcast, and tasks a group is dealt over beyond.
+BROADCAST_ROWS, SALTS = 20_000, 16
 #: ratio -> (SQL of its whole-number value, least width, whether low values are rejected too)
 RATIOS = {
     "symbols": ("n_symbols * 1000 div greatest(word_chars, 1)", 10, False),
@@ -99,25 +105,27 @@ def merge(parts: DataFrame, groups: list[str]) -> DataFrame:
     return parts.groupBy(*groups, "ratio", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(parts: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, ratio, total, q1, q3). A sketch has a bounded number of buckets, so it is one row's worth of work."""
-    held = parts.groupBy(*groups, "ratio").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("h"), F.sum("n").alias("total"))
+def quartiles(parts: DataFrame, groups: list[str], language: str) -> DataFrame:
+    """(groups, ratio, q1, q3) of each group's sketch blended with its language's. A sketch has a
+    bounded number of buckets, so it is one row's worth of work. Counts are whole numbers: the
+    group's times the language's total, and ``PRIOR`` times the language's."""
+    own = parts.groupBy(*groups, "ratio").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("own"), F.sum("n").alias("total"))
+    of_language = merge(parts, [language]).groupBy(language, "ratio").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("h"), F.sum("n").alias("whole"))
+    both = own.join(of_language, [language, "ratio"])
+    blended = F.expr(f"transform(h, x -> struct(x.bucket as bucket, cast(cast(coalesce(own[x.bucket], 0L) as decimal(18, 0)) * cast(whole as decimal(18, 0)) + {PRIOR} * cast(x.n as decimal(18, 0)) as decimal(38, 0)) as n))")
+    held = both.select(*groups, "ratio", blended.alias("h"), F.expr(f"cast(cast(whole as decimal(18, 0)) * (total + {PRIOR}) as decimal(38, 0))").alias("total"))
 
-    def quantile(quarter: int) -> Column:
-        reached = F.expr(f"aggregate(h, struct(0L as n, -1L as at), (a, x) -> struct(a.n + x.n as n, case when a.at < 0 and 4 * (a.n + x.n) >= {quarter} * total then x.bucket else a.at end as at)).at")
-        return least_of("at").alias(f"q{quarter}"), reached
+    def reached(quarter: int) -> Column:
+        return F.expr(f"aggregate(h, struct(cast(0 as decimal(38, 0)) as n, -1L as at), (a, x) -> struct(cast(a.n + x.n as decimal(38, 0)) as n, case when a.at < 0 and 4 * (a.n + x.n) >= {quarter} * total then x.bucket else a.at end as at)).at")
 
-    (q1, at1), (q3, at3) = quantile(1), quantile(3)
-    return held.withColumn("at", at1).select(*groups, "ratio", "total", "h", q1).withColumn("at", at3).select(*groups, "ratio", "total", "q1", q3)
+    found = held.select(*groups, "ratio", reached(1).alias("at1"), reached(3).alias("at3"))
+    return found.select(*groups, "ratio", least_of("at1").alias("q1"), least_of("at3").alias("q3"))
 
 
 def thresholds(rows: DataFrame, language: str = "lang", source: str = "source") -> DataFrame:
     """(language, source, and low and high of each ratio) for every group among ``rows``."""
     parts = materialize(sketches(rows, [language, source]), "sketches")
-    own = quartiles(parts, [language, source])
-    merged = quartiles(merge(parts, [language]), [language]).select(language, "ratio", F.col("q1").alias("m1"), F.col("q3").alias("m3"))
-    small = F.col("total") < MIN_GROUP
-    both = own.join(merged, [language, "ratio"]).select(language, source, "ratio", F.when(small, F.col("m1")).otherwise(F.col("q1")).alias("q1"), F.when(small, F.col("m3")).otherwise(F.col("q3")).alias("q3"))
+    both = quartiles(parts, [language, source], language)
     out = []
     for name, (_, width, _) in RATIOS.items():
         w = F.greatest(F.col("q3") - F.col("q1"), F.lit(width))
@@ -126,16 +134,24 @@ def thresholds(rows: DataFrame, language: str = "lang", source: str = "source")
     return both.groupBy(language, source).agg(*out)
 
 
+def with_limits(rows: DataFrame, limits: DataFrame, groups: list[str], key: str) -> DataFrame:
+    """Every row beside the thresholds of its group."""
+    if limits.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(limits), groups, "left")
+    dealt = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(key, "word_chars", "n_words"), F.lit(SALTS)).cast("int")).join(dealt, [*groups, "salt"], "left").drop("salt")
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", source: str = "source") -> DataFrame:
     """``key``, the measures, base_failed, kept."""
     named = docs.select(key, text, F.coalesce(language, F.lit("")).alias(language), F.coalesce(source, F.lit("")).alias(source))
     rows = materialize(measures(named, text).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "measures")
-    limits = thresholds(rows.filter("not base_failed"), language, source)
+    limits = materialize(thresholds(rows.filter("not base_failed"), language, source), "thresholds")
     usual = F.lit(True)
     for name, (sql, _, low) in RATIOS.items():
         value = F.expr(f"cast({sql} as bigint)")
         usual = usual & (value <= F.col(f"high_{name}")) & ((value >= F.col(f"low_{name}")) if low else F.lit(True))
-    return rows.join(limits, [language, source], "left").select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & usual, F.lit(False)).alias("kept"))
+    return with_limits(rows, limits, [language, source], key).select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & usual, F.lit(False)).alias("kept"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,14 +161,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = {name: sql.replace(" div ", " // ") for name, (sql, _, _) in RATIOS.items()}
 _LIMITS = ", ".join(f"max(case when ratio = '{n}' then q1 - 3 * greatest(q3 - q1, {w}) end) as low_{n}, max(case when ratio = '{n}' then q3 + 3 * greatest(q3 - q1, {w}) end) as high_{n}" for n, (_, w, _) in RATIOS.items())
 _USUAL = " and ".join(f"{_VALUES[n]} <= high_{n}" + (f" and {_VALUES[n]} >= low_{n}" if low else "") for n, (_, _, low) in RATIOS.items())
-_QUARTILES = """
-select {g}, ratio, max(total) as total,
-       min(case when 4 * cum >= total then case when b < 64 then b else (b - (b // 32 - 1) * 32) << (b // 32 - 1) end end) as q1,
-       min(case when 4 * cum >= 3 * total then case when b < 64 then b else (b - (b // 32 - 1) * 32) << (b // 32 - 1) end end) as q3
-from (select {g}, ratio, b, sum(n) over (partition by {g}, ratio order by b) as cum, sum(n) over (partition by {g}, ratio) as total
-      from (select {g}, ratio, b, count(*) as n from bucketed group by all))
-group by {g}, ratio
-"""
+_FIRST = "case when b < 64 then b else (b - (b // 32 - 1) * 32) << (b // 32 - 1) end"
 ORACLE_SQL = {
     "op2_quality_rules": f"""
 with words as materialized (
@@ -180,13 +189,17 @@ with words as materialized (
 ), bucketed as (
     select lang, source, ratio, greatest(length(bin(v)) - 6, 0) * 32 + (v >> greatest(length(bin(v)) - 6, 0)) as b
     from (select lang, source, unnest([{", ".join(f"{{'ratio': '{n}', 'v': {v}}}" for n, v in _VALUES.items())}], recursive := true) from judged where not base_failed)
-), own as ({_QUARTILES.format(g="lang, source")}), merged as ({_QUARTILES.format(g="lang")}),
-limits as (
-    select lang, source, {_LIMITS}
-    from (select own.lang, own.source, own.ratio, case when own.total < {MIN_GROUP} then merged.q1 else own.q1 end as q1, case when own.total < {MIN_GROUP} then merged.q3 else own.q3 end as q3
-          from own join merged on own.lang = merged.lang and own.ratio = merged.ratio)
-    group by lang, source
-)
+), own as (select lang, source, ratio, b, count(*)::hugeint as n from bucketed group by all),
+merged as (select lang, ratio, b, sum(n) as n from own group by all),
+totals as (select lang, ratio, sum(n) as whole from merged group by all),
+sizes as (select lang, source, ratio, sum(n) as total from own group by all),
+blended as (
+    select sizes.lang, sizes.source, sizes.ratio, merged.b, coalesce(own.n, 0) * whole + {PRIOR} * merged.n as n, whole * (total + {PRIOR}) as total
+    from sizes join totals using (lang, ratio) join merged using (lang, ratio)
+    left join own on own.lang = sizes.lang and own.source = sizes.source and own.ratio = sizes.ratio and own.b = merged.b
+), summed as (select *, sum(n) over (partition by lang, source, ratio order by b) as cum from blended),
+quarters as (select lang, source, ratio, min(case when 4 * cum >= total then {_FIRST} end) as q1, min(case when 4 * cum >= 3 * total then {_FIRST} end) as q3 from summed group by all),
+limits as (select lang, source, {_LIMITS} from quarters group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(not base_failed and {_USUAL}, false) as kept
 from judged left join limits using (lang, source)
 """

@@ -11,10 +11,11 @@ Blocks of queries meet blocks of candidates in an equi-join on the number of the
 every block holds a fixed number of vectors, so tasks and memory stay bounded and no pair of
 vectors is ever a row.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
-another length than most. Ties in score go to the smaller id. Repeated ids are separate vectors
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of different
+length have no cosine: each query meets the candidates of its own length. Ties in score go to the smaller id. Repeated ids are separate vectors
 (a query skips every candidate of its own id), as candidates and as queries: each query row has k
-results of its own. Null ids take no part.
+results of its own. Null ids take no part. An empty table gives an empty result; further columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -54,31 +55,36 @@ def quantise(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """Pack (``key``, ``vector``) into blocks: ids and doubles of up to ``size`` vectors as binary.
+    """Pack (``key``, ``vector``) into blocks (width, ids, vectors): ids and components of up to ``size``
+    vectors of one length as binary, in four bytes where the table has floats.
 
-    Blocks form inside partitions, so packing moves nothing; ``block`` numbers are dealt evenly.
+    Blocks form inside partitions, so packing moves nothing.
     """
+    component, kind = ("double", "<f8") if rows.schema[vector].dataType.elementType.simpleString() != "float" else ("float", "<f4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         afresh()
-        held, n = [], 0
+        held: dict[int, pa.Table] = {}
 
-        def packed(part: pa.Table) -> pa.RecordBatch:
-            ids = part.column(key).to_numpy().astype("<i8")
-            flat = pc.list_flatten(part.column(vector)).to_numpy().astype("<f8")
-            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())], names=["n", "ids", "vectors"])
+        def packed(width: int, part: pa.Table) -> pa.RecordBatch:
+            ids = part.column("key").to_numpy().astype("<i8")
+            flat = pc.list_flatten(part.column("vector")).to_numpy().astype(kind)
+            return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())], names=["width", "ids", "vectors"])
 
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            while n >= size:
-                whole = pa.Table.from_batches(held)
-                yield packed(whole.slice(0, size))
-                held, n = whole.slice(size).to_batches(), n - size
-        if n:
-            yield packed(pa.Table.from_batches(held))
+            lengths = pc.list_value_length(batch.column("vector"))
+            for width in pc.unique(lengths).to_pylist():
+                own = pa.Table.from_batches([batch.filter(pc.equal(lengths, width))])
+                whole = pa.concat_tables([held[width], own]) if width in held else own
+                while whole.num_rows >= size:
+                    yield packed(width, whole.slice(0, size))
+                    whole = whole.slice(size)
+                held[width] = whole
+        for width, whole in held.items():
+            if whole.num_rows:
+                yield packed(width, whole)
 
-    return rows.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).mapInArrow(run, "n int, ids binary, vectors binary")
+    return rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast(f"array<{component}>").alias("vector")).mapInArrow(run, "width int, ids binary, vectors binary")
 
 
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -106,22 +112,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     """The ``k`` nearest rows of ``vectors`` to each row of ``queries`` by cosine, its own id aside:
     query_id, rank (from 1), ``key``, score."""
     spark = vectors.sparkSession
-    good = vectors.filter(usable(vector) & F.col(key).isNotNull())
-    most = good.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width = most[0] if most else 0
-    rows = good.filter(F.size(vector) == width)
-    asked = queries.filter(usable(vector) & F.col(key).isNotNull() & (F.size(vector) == width))
+    rows, asked = (df.filter(usable(vector) & F.col(key).isNotNull()) for df in (vectors, queries))
+    kinds = ["<f4" if df.schema[vector].dataType.elementType.simpleString() == "float" else "<f8" for df in (queries, vectors)]
     groups = max(1, shuffle_width(spark))
     candidates = blocks(rows, key, vector, CANDIDATE_BLOCK).withColumn("part", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(groups)).cast("int"))
     numbered = QUERY_BLOCK  # query rows are told apart by block and place, since ids may repeat
     wanted = materialize(blocks(asked.coalesce(max(1, groups // 4)), key, vector, numbered).withColumn("block", F.monotonically_increasing_id()), "query_blocks")
-    asked_of = wanted.select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    asked_of = wanted.select("block", "width", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                q_ids, q, c_ids, c = (np.frombuffer(batch.column(name)[r].as_buffer(), kind) for name, kind in (("q_ids", "<i8"), ("q_vectors", "<f8"), ("ids", "<i8"), ("vectors", "<f8")))
-                q, c = q.reshape(len(q_ids), width), c.reshape(len(c_ids), width)
+                width = batch.column("width")[r].as_py()
+                q_ids, q, c_ids, c = (np.frombuffer(batch.column(name)[r].as_buffer(), kind) for name, kind in (("q_ids", "<i8"), ("q_vectors", kinds[0]), ("ids", "<i8"), ("vectors", kinds[1])))
+                q, c = q.reshape(len(q_ids), width).astype(np.float64), c.reshape(len(c_ids), width).astype(np.float64)
                 found = list(tile(q_ids, q, c_ids, c, k))
                 lengths = [len(s) for _, _, s in found]
                 places = batch.column("block")[r].as_py() * numbered + np.arange(len(found), dtype=np.int64)
@@ -130,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
                     names=["place", "query_id", key, "score"],
                 )
 
-    tiles = asked_of.join(candidates.select("part", "ids", "vectors"), "part").mapInArrow(run, f"place long, query_id long, {key} long, score double")
+    tiles = asked_of.join(candidates.select("part", "width", "ids", "vectors"), ["part", "width"]).mapInArrow(run, f"place long, query_id long, {key} long, score double")
     return merged(tiles, k, key)
 
 

@@ -9,7 +9,8 @@ any length are read whole in linear time.
 Base kinds are ``email``, ``ip``, ``card`` and ``phone``. The method adds ``credential`` (user and
 password of a URL), ``iban``, ``ssn``, ``account`` and ``secret``, the last four only beside a cue
 or under a check, so clean text stays clean. A null text is empty and has no spans; rows are
-independent, so ties, repeated rows and empty tables need no care.
+independent, so null ids, ties, repeated rows and empty tables need no care. Further columns are
+ignored (``redacted``: kept) whatever their names.
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-USERINFO = re.compile(r"[^\s/?#@:]{1,256}:[^\s/?#@]{1,256}(?=@)")
+USERINFO = re.compile(r"[^\s/?#@:]++:[^\s/?#@]++(?=@)")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"[^0-9\n]{0,20}?(?<![0-9])([0-9]{3}([- ]?)[0-9]{2}\2[0-9]{4})(?![0-9])")
 ACCOUNT = re.compile(r"(?:\x20?(?:number|numéro|número|nummer|no\.?|nr\.?|id|#))?\x20?[:=#]?\x20?([0-9][0-9-]{4,18}[0-9])(?![0-9])", re.IGNORECASE)
-SECRET = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[po]_[0-9A-Za-z]{36}(?![0-9A-Za-z])|github_pat_[0-9A-Za-z_]{22,255}|xox[bp]-[0-9A-Za-z-]{10,255}|sk_live_[0-9A-Za-z]{24,255}|-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----")
+SECRET = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[po]_[0-9A-Za-z]{36}(?![0-9A-Za-z])|github_pat_[0-9A-Za-z_]{22,}|xox[bp]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{24,}|-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----")
 
 Span = tuple[str, int, int]
 
@@ -133,9 +134,11 @@ def spans(text: str) -> list[Span]:
                 end += 1
             if (i == 0 or not text[i - 1].isalpha()) and (m := pattern.match(text, end)):
                 added.add((kind, m.start(1), m.end(1)))
+    over = 0
     for i in at.get("secret", ()):
-        if m := SECRET.match(text, i):
-            added.add(("secret", m.start(), m.end()))
+        if i >= over and (m := SECRET.match(text, i)):
+            over = m.end()
+            added.add(("secret", i, over))
     order = {k: n for n, k in enumerate(KINDS)}
     return found + sorted(added, key=lambda s: (order[s[0]], s[1], s[2]))
 
@@ -179,22 +182,24 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts of the base kinds, SHA-256 of the base spans, and all spans as one string."""
+    """Counts of the base kinds, SHA-256 of the base spans, all spans as one string, then counts of the
+    added kinds and of all spans."""
     kind = docs.schema[key].dataType.simpleString()
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, hashes, all_spans = {k: [] for k in BASE}, [], []
+        counts, hashes, all_spans, total = {k: [] for k in KINDS}, [], [], []
         for t in batch.column(text).to_pylist():
             found = spans(t or "")
             base = [s for s in found if s[0] in BASE]
-            for k in BASE:
-                counts[k].append(sum(s[0] == k for s in base))
+            for k in KINDS:
+                counts[k].append(sum(s[0] == k for s in found))
+            total.append(len(found))
             hashes.append(hashlib.sha256(written(base).encode()).hexdigest() if base else empty)
             all_spans.append(written(found))
-        return pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(hashes, pa.string()), pa.array(all_spans, pa.string())], names=[key, *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+        return pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(hashes, pa.string()), pa.array(all_spans, pa.string()), *(pa.array(counts[k], pa.int64()) for k in ADDED), pa.array(total, pa.int64())], names=[key, *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in ADDED), "n_spans"])
 
-    return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", text)
+    return map_arrow(docs.select(key, text), run, f"{key} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, " + ", ".join(f"n_{k} long" for k in ADDED) + ", n_spans long", text)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

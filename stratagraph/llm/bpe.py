@@ -6,7 +6,9 @@ predecessor (the stored last token of prefix ``i - len(t)``) forms a pair with `
 would leave unmerged. Storing the last token of every prefix therefore encodes in linear time,
 lets text be appended exactly, and lets an edit be re-encoded from the edit onward only.
 
-Nulls and empty texts encode to no tokens. Texts of any length are encoded whole.
+Nulls and empty texts encode to no tokens. Texts of any length are encoded whole. Rows are
+independent: null ids, repeated rows and ties need no care, an empty table gives an empty result, and
+further columns are ignored whatever their names.
 """
 
 from __future__ import annotations

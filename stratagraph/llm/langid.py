@@ -10,6 +10,11 @@ Learning counts letter pairs and triples on the executors, over a sample of abou
 ``rows_per_language`` rows of each language, taken by a hash of the key (all rows, where there
 are fewer); the model has a fixed number of buckets for each language.
 
+Rows with a null id are learned from and predicted like any other; repeated rows count each, and an
+empty table gives an empty result and a model without languages, for which every text is ``und``.
+Texts of any length are read whole; further columns are ignored (``keep_named``: kept) whatever their
+names. The model takes 256 KB a language.
+
 A text that is null or has no letter is ``und`` with score 0. Words in a script no language was
 learned in favour no language. Ties go to the language first in alphabetical order.
 """
@@ -94,7 +99,7 @@ def train(docs: DataFrame, language: str = "lang", key: str = "doc_id", text: st
     if not languages:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros((len(SCRIPTS), 1), bool))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows_per_language / counts[k]))])
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit(8), F.when(F.col(key).isNull(), F.xxhash64(text))), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.filter(draw < share[F.col(language)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +251,8 @@ def label_spans(docs: DataFrame, model: Model, switch_penalty: float = SWITCH_PE
 
 
 def fold(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string")) % 4
+    """The fold of a row; rows with a null id are in fold 0."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 4, F.lit(0))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

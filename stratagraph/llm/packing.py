@@ -12,7 +12,8 @@ capacity has tokens, so it is solved on counts: the histogram of piece lengths,
    sequence exactly; where at most one more piece fits (the largest that does); and where at most
    two more fit (the largest that fits, with the largest beside it, if no other pair holds a
    larger second piece, or alone if no pair is larger in sum and size).
-   Without a dominating set the size is set aside for step 2, and the next one is tried.
+   Without a dominating set the size is set aside and the next one is tried; after a pass that fixed
+   anything all are tried again, and what is left then goes to step 2.
 2. The rest is packed best-fit decreasing: each piece goes where the least room is left.
 
 The result is a list of patterns (what a sequence holds, and how many sequences are like it); its
@@ -20,7 +21,8 @@ length is bounded by a multiple of the capacity. Pieces are then numbered within
 find sequence and offset by arithmetic. Numbering a length with very many pieces is dealt over
 many tasks by a salt, with offsets from counts, so a length that holds a third of all rows is no
 bottleneck. Null texts are empty documents: just the end id. Ties and repeated rows are numbered
-by (key, piece, checksum), equal rows in any order.
+by (key, piece, checksum), equal rows in any order. Null keys come first; an empty table packs into
+nothing; texts of any length are cut whole; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -81,12 +83,18 @@ def reduce(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[i
         return out
 
     done: set[int] = set()
+    before = 0
     while True:
         at = len(sizes) - 1
         while at >= 0 and sizes[at] in done:
             at -= 1
         if at < 0:
-            return fixed, left
+            if len(fixed) == before:
+                return fixed, left
+            # Sizes set aside may be decided now that the instance is smaller.
+            done.clear()
+            before = len(fixed)
+            continue
         big = sizes[at]
         room = capacity - big
         one = largest_upto(room, {big: 1})

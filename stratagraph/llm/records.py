@@ -13,7 +13,8 @@ ids in all earlier records of the shard, length in ids (three unsigned 64-bit in
 a reader take records in any order with one seek each.
 
 Shards hold documents in ascending order of the key over the whole data set (nulls first, ties by
-the ids). Files are written under a name of the task attempt and then renamed, so a repeated or
+the ids, repeated rows each a record). An empty table writes no shard; further columns are ignored
+whatever their names; texts of any length are one record each. Files are written under a name of the task attempt and then renamed, so a repeated or
 speculative attempt leaves the same file. A null text is an empty document: just the end id.
 """
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .core import stored
 from .extract.adapters import extract
 from .functions.embed import embed_column, embed_query
-from .functions.text import head_text, window_starts, window_text
+from .functions.text import callsite_context, callsite_text, head_text, window_starts, window_text
 from .operators import link, lookup, search, stats, tables, traverse
 from .sources import config as settings
 from .sources import files
 from .sources.catalog import Catalog
+from .streaming import incremental
 
 
 def embed_symbols(symbols: DataFrame) -> DataFrame:
@@ -23,11 +24,22 @@ def embed_symbols(symbols: DataFrame) -> DataFrame:
     return tables.number_chunks(head.unionByName(body), "at").select("uri", F.col("id").cast("int").alias("id"), embed_column("text").alias("vector"))
 
 
+def callsites(references: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(id, from_uri, text) of references: the caller, the lines around the call in the caller's own
+    content, and the imports of its file."""
+    callers = symbols.select(F.col("uri").alias("from_uri"), F.col("name").alias("caller"), F.coalesce("content", F.lit("")).alias("content"), "line_start")
+    entry = F.concat("target_namespace", F.lit(" as "), F.coalesce("alias", F.lit("*")))
+    lists = imports.groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]).alias("imports"))
+    found = references.select("id", "from_uri", "file_path", "line").join(callers, "from_uri").join(lists, "file_path", "left")
+    context = callsite_context(F.col("content"), F.col("line") - F.col("line_start") + 1)
+    return found.select("id", "from_uri", callsite_text(F.col("caller"), context, F.coalesce("imports", F.array().cast("array<string>"))).alias("text"))
+
+
 class Index:
     """``root`` holds the tables; references stay as parsed and edges are derived from them."""
 
     def __init__(self, spark: SparkSession, root: str, repo: str = "repo"):
-        self.spark, self.repo = spark, repo
+        self.spark, self.repo, self.config = spark, repo, settings.Config()
         self.catalog = Catalog(spark, root)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -37,8 +49,18 @@ class Index:
             return self.catalog.load(name)
         raise AttributeError(name)
 
-    def index(self, path: str, include: list[str] = (), exclude: list[str] = settings.EXCLUDES, ignore: str = "", force: bool = False) -> DataFrame:
-        """Bring the tables up to date with a folder; (status, n, percent) of its files."""
+    @classmethod
+    def open(cls, spark: SparkSession, base: str, database: str | None = None, repo: str | None = None) -> Index:
+        """The index of the folder ``base``, by its settings file where it has one."""
+        found = settings.load(settings.default_path(base))
+        index = cls(spark, settings.resolve_database(database, found, base), settings.resolve_repo(repo, found, base))
+        index.config = found
+        return index
+
+    def index(self, path: str, include: list[str] | None = None, exclude: list[str] | None = None, ignore: str = "", force: bool = False) -> DataFrame:
+        """Bring the tables up to date with a folder; (status, n, percent) of its files. Without
+        ``include`` or ``exclude`` the settings' patterns count."""
+        include, exclude = self.config.include if include is None else include, self.config.exclude if exclude is None else exclude
         seen = stored(files.walk(self.spark, path, list(include), list(exclude), ignore))
         known = self.catalog.load("file_hash")
         status = stored(tables.change_status(seen, known.limit(0) if force else known))
@@ -60,17 +82,29 @@ class Index:
         return link.resolved_edges(self.edges, self.references, self.symbols, self.imports)
 
     def resolve(self, threshold: float = 0.6) -> DataFrame:
-        """Link by rules, then by likeness of call sites; stores the edges, returns outcome counts."""
+        """Link by rules, then by likeness of call sites; returns outcome counts.
+
+        Stores the edges, the candidates of ambiguous references, the vectors of call sites, and which
+        references are external.
+        """
         linked = stored(self.linked())
         edges = stored(link.merge_edges(self.edges, link.linked_edges(linked)))
         open_ = linked.filter("outcome <> 'resolved'").select("id").join(self.references, "id")
-        sites = stored(open_.join(self.symbols.select(F.col("uri").alias("from_uri"), F.col("name").alias("caller")), "from_uri").select("id", "from_uri", F.concat(F.lit("Caller: "), "caller", F.lit("\nContext: "), "name", F.lit("\n")).alias("text")))
-        sites = sites.select("id", "from_uri", embed_column("text").alias("vector"))
-        self.catalog.commit({"edges": link.merge_edges(edges, link.semantic_link(sites, self.embeddings, edges, threshold), by_confidence=True)})
+        sites = stored(callsites(open_, self.symbols, self.imports).select("id", "from_uri", embed_column("text").alias("vector")))
+        ambiguous = link.ambiguous_rows(linked, self.references, self.symbols, self.edges)
+        known = lookup.mark_external(self.references.withColumn("is_external", F.lit(False)), linked.filter("outcome = 'external'"))
+        self.catalog.commit(
+            {
+                "edges": link.merge_edges(edges, link.semantic_link(sites, self.embeddings, edges, threshold), by_confidence=True),
+                "ambiguous_references": ambiguous.withColumn("id", F.xxhash64("reference_id", "candidate_uri")),
+                "callsite_embeddings": sites.select(F.xxhash64("id").alias("id"), F.col("id").alias("reference_id"), "vector"),
+                "references": known,
+            }
+        )
         return stats.outcome_counts(linked)
 
     def search(self, query: str, limit: int = 10, kind: str | None = None, exact: bool = False) -> DataFrame:
-        return search.search(self.symbols, self.embeddings, query, embed_query, kind, exact, limit)[1]
+        return search.search(self.symbols, self.embeddings, query, embed_query, kind, exact, limit, fill=self.embed)[1]
 
     def embed(self) -> DataFrame:
         """Vectors for symbols without any."""
@@ -97,4 +131,17 @@ class Index:
         return found
 
     def stats(self) -> DataFrame:
-        return stats.db_stats(self.symbols, self.edges, self.embeddings, self.references, self.imports, self.callsite_embeddings)
+        """Counts of all tables; a reference is unresolved while no rule resolves it and it is not external."""
+        resolved = self.linked().filter("outcome = 'resolved'").select("id")
+        return stats.db_stats(self.symbols, self.edges, self.embeddings, lookup.delete_references(self.references, resolved), self.imports, self.callsite_embeddings)
+
+    def watch(self, path: str, checkpoint: str, seconds: float = 1.0):
+        """Follow a folder: files made, changed and removed there come into the tables, linked and
+        embedded, until the returned streaming query is stopped. What is known of the files is
+        stored with the tables, so a watch goes on where the last one ended."""
+        return incremental.follow(self.spark, lambda: self._follow(path), checkpoint, seconds)
+
+    def _follow(self, path: str) -> None:
+        changed = {r["status"] for r in self.index(path).collect()} - {"unchanged"}
+        if changed:
+            self.resolve()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import SCHEMAS
+from ..core import SCHEMAS, stored
 from . import braces, chunker, python_source
 from .model import Extraction, Registry
 
@@ -47,7 +47,8 @@ def extract(files: DataFrame, repo: str, registry: Registry | None = None) -> di
                     rows += [(table, json.dumps(r)) for r in getattr(found, table)]
             yield pd.DataFrame(rows, columns=["tab", "row"])
 
-    rows = files.select("path", "content").mapInPandas(run, "tab string, row string")
+    # Stored, since four tables are read from it.
+    rows = stored(files.select("path", "content").mapInPandas(run, "tab string, row string"))
     out = {}
     for table in ("symbols", "edges", "references", "imports"):
         schema = SCHEMAS[table]

@@ -6,11 +6,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SIZE, OVERLAP, SLACK, LEAST = 1000, 100, 500, 100
 # Extensions chunked as documents.
-EXTENSIONS = ("md", "txt", "rst", "adoc", "json", "yaml", "yml", "toml", "xml", "html", "css", "scss", "sql", "sh", "csv", "ini", "cfg", "conf", "proto", "graphql")
+EXTENSIONS = ("yaml", "yml", "json", "toml", "ini", "cfg", "conf", "sql", "sh", "bash", "zsh", "fish", "md", "rst", "txt", "adoc", "tf", "hcl", "dockerfile", "containerfile", "csv", "xml", "env", "properties", "gradle")
+
+
+def is_document(path: Column) -> Column:
+    """Whether a path has one of the extensions chunked as documents, in any case."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*EXTENSIONS)
 
 
 @dataclass

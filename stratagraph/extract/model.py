@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def address(repo: str, path: str, kind: str, name: str, line: int) -> str:
     return f"codescope://{repo}/{path}#{kind}:{name}@{line}"
@@ -55,6 +58,11 @@ class Registry:
         ext = path.rsplit("/", 1)[-1].rpartition(".")[2]
         return next((a for _, extensions, a in self.adapters if ext in extensions), None)
 
+    def language(self, path: Column) -> Column:
+        """The language whose adapter gets a path; null where none does."""
+        ending = F.regexp_extract(path, r"\.([^./]+)$", 1)
+        return F.coalesce(*[F.when(ending.isin(*extensions), name) for name, extensions, _ in self.adapters], F.lit(None).cast("string"))
+
     def parse(self, repo: str, path: str, content: str, fallback: Adapter | None = None) -> Extraction | None:
         """None without an adapter; a file its adapter cannot read goes to the fallback."""
         adapter = self.find(path) or fallback

@@ -65,12 +65,12 @@ def search(symbols: DataFrame, embeddings: DataFrame | None, query: str, embed=N
     return mode, search_content(symbols, query, kind, limit).withColumn("score", F.lit(1.0))
 
 
-def http_shape(mode: str, results: DataFrame) -> DataFrame:
-    """One row: mode, total, and results as an array of short symbol references, without scores."""
-    nth = F.row_number().over(Window.orderBy(F.desc("score"), "uri")) if "score" in results.columns else F.lit(0)
-    rows = results.withColumn("nth", nth).select("nth", F.struct("uri", "kind", "name", "path", F.col("line_start").alias("line")).alias("r"))
-    packed = rows.agg(F.array_sort(F.collect_list(F.struct("nth", "r"))).alias("rows"))
-    return packed.select(F.lit(mode).alias("mode"), F.size("rows").cast("bigint").alias("total"), F.transform("rows", lambda x: x["r"]).alias("results"))
+def search_web(symbols: DataFrame, embeddings: DataFrame, query: str, embed, kind: str | None = None, vector: bool = False, limit: int = 10) -> DataFrame:
+    """Search as the web server answers it: by words unless ``vector`` is asked for; symbols without
+    scores; a kind that is not known counts as none given, and vector search takes no kind."""
+    if vector and query.strip():
+        return search_vector(symbols, embeddings, embed(query), limit).select(*symbols.columns)
+    return search_content(symbols, query, known_kind(kind), limit)
 
 
 def known_kind(kind: str | None) -> str | None:
@@ -79,10 +79,19 @@ def known_kind(kind: str | None) -> str | None:
     return found[0] if found else None
 
 
-def text_shape(results: DataFrame) -> DataFrame:
-    """Results as lines of text: ``kind name path:line`` and the address, one row a result."""
-    line = F.format_string("[%s] %s (%s:%d)\n  %s", "kind", "name", "path", "line_start", "uri")
-    return results.select("uri", line.alias("line"))
+def search_text(symbols: DataFrame, embeddings: DataFrame, query: str, embed, limit: int = 10) -> DataFrame:
+    """Search as the tool server answers it, by vectors alone: (place, score, line), a piece of text for
+    each result, best first."""
+    found = search_vector(symbols, embeddings, embed(query), limit)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "uri"))  # of at most ``limit`` rows
+    signature = F.coalesce(F.concat(F.lit("  Sig: "), "signature", F.lit("\n")), F.lit(""))
+    line = F.concat(F.format_string("- %s (%s) [score: %.2f]\n  %s\n", "name", "kind", "score", "uri"), signature)
+    return found.select("uri", place.alias("place"), "score", line.alias("line"))
+
+
+def as_text(found: DataFrame) -> str:
+    """One text of the few rows of ``search_text``."""
+    return "".join(r["line"] for r in found.orderBy("place").collect()) or "No results found."
 
 
 def rag_top_k(chunks: DataFrame, vector: list[float], k: int = 5) -> DataFrame:

@@ -1,13 +1,13 @@
 """The tables of an index as folders of Parquet files, replaced by whole versions.
 
 A write goes to a new folder; a small pointer file is then swapped in one rename, so readers see
-the old or the new version and a failed batch leaves the old one (commit and rollback).
+the old or the new version and a failed batch leaves the old one (commit and rollback). All of it
+goes through Hadoop's file systems, so the folder may lie on any that driver and executors share.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,24 +15,51 @@ from pyspark.sql import DataFrame, SparkSession
 from ..core import SCHEMAS, empty
 
 
+class Pointer:
+    """A small JSON file that is replaced in one step."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.conf, self.path = spark._jvm, spark._jsc.hadoopConfiguration(), path
+
+    def _place(self, path: str):
+        place = self.jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.conf)
+
+    def read(self) -> dict:
+        place, files = self._place(self.path)
+        if not files.exists(place):
+            return {}
+        stream = files.open(place)
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def write(self, value: dict) -> None:
+        draft, files = self._place(f"{self.path}.{uuid.uuid4().hex}")
+        stream = files.create(draft)
+        try:
+            stream.write(bytearray(json.dumps(value).encode()))
+        finally:
+            stream.close()
+        fs = self.jvm.org.apache.hadoop.fs
+        target = files.makeQualified(self._place(self.path)[0])
+        over = self.jvm.java.lang.reflect.Array.newInstance(fs.Options.Rename.OVERWRITE.getClass(), 1)
+        over[0] = fs.Options.Rename.OVERWRITE
+        fs.FileContext.getFileContext(target.toUri(), self.conf).rename(files.makeQualified(draft), target, over)
+
+
 class Catalog:
-    """``root`` is a folder the driver can reach; tables are laid out by kind or path for pruning."""
+    """``root``: a folder on a file system all share; tables are laid out by kind for pruning."""
 
     LAYOUT = {"symbols": "kind", "edges": "kind"}
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
-
-    def _pointer(self) -> dict[str, str]:
-        try:
-            with open(f"{self.root}/current.json") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {}
+        self.spark, self.root = spark, root.rstrip("/")
+        self.pointer = Pointer(spark, f"{self.root}/current.json")
 
     def load(self, name: str) -> DataFrame:
-        place = self._pointer().get(name)
+        place = self.pointer.read().get(name)
         if place is None:
             return empty(self.spark, name)
         columns = empty(self.spark, name).columns
@@ -51,10 +78,7 @@ class Catalog:
                 writer = writer.partitionBy(self.LAYOUT[name])
             writer.parquet(f"{self.root}/{place}")
             new[name] = place
-        draft = f"{self.root}/current.json.{uuid.uuid4().hex}"
-        with open(draft, "w") as f:
-            json.dump(self._pointer() | new, f)
-        os.replace(draft, f"{self.root}/current.json")
+        self.pointer.write(self.pointer.read() | new)
 
     def register_views(self, prefix: str = "") -> None:
         for name, df in self.load_all().items():

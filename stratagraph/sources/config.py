@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
 from dataclasses import dataclass, field
@@ -60,6 +61,13 @@ def keep_out_of_git(base: str) -> bool:
     return True
 
 
+def mcp_entry(command: str, args: list[str], held: str = "", name: str = "stratagraph") -> str:
+    """The JSON of a client's list of tool servers (``held``, may be empty) with ours added or replaced."""
+    found = json.loads(held) if held.strip() else {}
+    found.setdefault("mcpServers", {})[name] = {"command": command, "args": args}
+    return json.dumps(found, indent=2) + "\n"
+
+
 def resolve_database(given: str | None, config: Config, base: str) -> str:
     return given or config.database or os.path.join(base, FOLDER, "index")
 

@@ -1,14 +1,19 @@
-"""Files of a source tree as rows, filtered and hashed without leaving the JVM."""
+"""Files of a source tree as rows: listed and read by tasks, filtered by path before they are read."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Extensions of files that are not text.
 SKIPPED = ("png", "jpg", "jpeg", "gif", "ico", "exe", "dll", "so", "o", "a", "lib", "bin", "pdf", "zip", "tar", "gz", "wasm", "node", "db", "sqlite", "lock", "pyc", "svg")
+# Files of ignore rules, the later ones overrule the earlier ones of a folder.
+IGNORE_FILES = (".gitignore", ".ignore", ".cursorignore")
 
 
 def extension(path: Column) -> Column:
@@ -62,20 +67,26 @@ def keep(path: Column, include: list[str] = (), exclude: list[str] = ()) -> Colu
     return out
 
 
-def not_ignored(path: Column, rules: str) -> Column:
-    """Lines of an ignore file: comments, ``!`` exceptions, anchored and directory patterns; last match wins."""
-    ignored = F.lit(False)
-    for line in rules.splitlines():
+def ignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
+    """Lines of an ignore file in ``folder`` as (regex over paths, whether a hit is ignored): comments,
+    ``!`` exceptions, anchored and directory patterns."""
+    base, out = re.escape(folder.strip("/") + "/") if folder.strip("/") else "", []
+    for line in text.splitlines():
         line = line.strip()
         if not line or line.startswith("#"):
             continue
         back, line = line.startswith("!"), line.removeprefix("!")
-        folder = line.endswith("/")
         body = line.strip("/")
-        head = "^" if line.startswith("/") or "/" in body else "(^|.*/)"
-        regex = head + glob_regex(body) + ("/.*" if folder else "(/.*)?") + "$"
-        hit = path.rlike(regex)
-        ignored = F.when(hit, F.lit(not back)).otherwise(ignored)
+        head = f"^{base}" if line.startswith("/") or "/" in body else f"^{base}(.*/)?"
+        out.append((head + glob_regex(body) + ("/.*" if line.endswith("/") else "(/.*)?") + "$", not back))
+    return out
+
+
+def not_ignored(path: Column, rules: str) -> Column:
+    """By the lines of one ignore file; the last match wins."""
+    ignored = F.lit(False)
+    for regex, hit in ignore_rules(rules):
+        ignored = F.when(path.rlike(regex), F.lit(hit)).otherwise(ignored)
     return ~ignored
 
 
@@ -83,15 +94,78 @@ def not_hidden(path: Column) -> Column:
     return ~path.rlike(r"(^|/)\.")
 
 
-def walk(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), ignore: str = "") -> DataFrame:
+def _open(root: str) -> tuple[pafs.FileSystem, str]:
+    if "://" in root or root.startswith("file:"):
+        files, base = pafs.FileSystem.from_uri(root.replace("file:/", "file:///", 1) if re.match(r"file:/[^/]", root) else root)
+        return files, base.rstrip("/")
+    return pafs.LocalFileSystem(), root.rstrip("/")
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, last_modified) of all files under ``root``, hidden ones too; path is relative. The driver
+    looks at the top folder, tasks list what lies below."""
+    files, base = _open(root)
+    top = files.get_file_info(pafs.FileSelector(base))
+    own = [(x.base_name, x.mtime) for x in top if x.is_file]
+    below = [x.base_name for x in top if x.type == pafs.FileType.Directory]
+    schema = "path string, last_modified timestamp"
+    rows = spark.createDataFrame(own, schema)
+    if not below:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _open(root)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                found = [x for x in files.get_file_info(pafs.FileSelector(f"{base}/{folder}", recursive=True)) if x.is_file]
+                yield pa.RecordBatch.from_arrays([pa.array([x.path[len(base) :].lstrip("/") for x in found], pa.string()), pa.array([x.mtime for x in found], pa.timestamp("us", "UTC"))], names=["path", "last_modified"])
+
+    folders = spark.createDataFrame([(x,) for x in below], "folder string")
+    return rows.unionByName(folders.repartition(min(len(below), 64)).mapInArrow(run, schema))
+
+
+def contents(paths: DataFrame, root: str) -> DataFrame:
+    """``paths`` (path, last_modified) with content (null where a file is not UTF-8) and hash of the bytes."""
+    import hashlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _open(root)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                with files.open_input_file(f"{base}/{batch.column('path')[k].as_py()}") as f:
+                    data = f.read()
+                try:
+                    text = data.decode()
+                except UnicodeDecodeError:
+                    text = None
+                yield pa.RecordBatch.from_arrays([batch.column("path").slice(k, 1), pa.array([text], pa.string()), pa.array([hashlib.sha256(data).hexdigest()]), batch.column("last_modified").slice(k, 1)], names=["path", "content", "hash", "last_modified"])
+
+    return paths.select("path", "last_modified").mapInArrow(run, "path string, content string, hash string, last_modified timestamp")
+
+
+def tree_rules(files: DataFrame, root: str) -> list[tuple[str, bool]]:
+    """Rules of all ignore files of a listing, outer folders first, so that inner ones overrule them.
+    Their files are settings and come to the driver."""
+    name = F.regexp_extract("path", r"[^/]*$", 0)
+    found = contents(files.filter(name.isin(*IGNORE_FILES)), root).filter("content is not null").collect()
+    parts = [(r["path"].count("/"), *r["path"].rpartition("/")[::2], r["content"]) for r in found]
+    out: list[tuple[str, bool]] = []
+    for _, folder, _, text in sorted(parts, key=lambda p: (p[0], p[1], IGNORE_FILES.index(p[2]))):
+        out += ignore_rules(text, folder)
+    return out
+
+
+def walk(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), ignore: str = "", ignore_files: bool = True) -> DataFrame:
     """(path, content, hash, last_modified) of the text files under ``root``; path is relative.
 
-    Filters run on the path before content is decoded; files that are not UTF-8 are left out.
+    Ignore files found in the tree count for their folder and all below (``ignore_files``), ``ignore``
+    holds further rules for all of it. Filters run on the path before a file is read; files that
+    are not UTF-8 are left out.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    place = F.regexp_replace(F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/"), "^" + re.escape("/" + re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "", base).lstrip("/")) + "/*", "")
-    named = raw.withColumn("path", place)
-    kept = named.filter(has_text_extension(F.col("path")) & not_hidden(F.col("path")) & keep(F.col("path"), include, exclude) & not_ignored(F.col("path"), ignore))
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    return kept.select("path", text.alias("content"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("last_modified")).filter("content is not null")
+    every = listed(spark, root)
+    rules = (tree_rules(every, root) if ignore_files else []) + ignore_rules(ignore)
+    ignored = F.lit(False)
+    for regex, hit in rules:
+        ignored = F.when(F.col("path").rlike(regex), F.lit(hit)).otherwise(ignored)
+    kept = every.filter(has_text_extension(F.col("path")) & not_hidden(F.col("path")) & keep(F.col("path"), include, exclude) & ~ignored)
+    return contents(kept, root).filter("content is not null")

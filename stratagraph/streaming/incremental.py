@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core import shared_dir, stored
+from ..sources.catalog import Pointer
 
 STATE = "path string, hash string, ts timestamp, event_id bigint"
 
@@ -42,17 +43,36 @@ def apply_batch(state: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFra
 
 
 class IncrementalIndex:
-    """State held as stored tables; ``on_changes`` gets each batch's changes (parse, link, embed)."""
+    """State held as stored tables; ``on_changes`` gets each batch's changes (parse, link, embed).
 
-    def __init__(self, spark: SparkSession, on_changes: Callable[[DataFrame, int], None] | None = None):
-        self.spark, self.on_changes = spark, on_changes
-        self.state = spark.createDataFrame([], STATE)
+    With a ``folder`` on the shared file system the state outlives the session: a small file there
+    names the state before and after the last batch, so a batch that comes again after a failure
+    starts from the same state. Without one the state ends with this object.
+    """
+
+    def __init__(self, spark: SparkSession, on_changes: Callable[[DataFrame, int], None] | None = None, folder: str | None = None):
+        self.spark, self.on_changes, self.folder = spark, on_changes, folder
+        self.pointer = None if folder is None else Pointer(spark, f"{folder.rstrip('/')}/state.json")
+        known = {} if self.pointer is None else self.pointer.read()
+        self.state = self._read(known["after"]) if known else spark.createDataFrame([], STATE)
+
+    def _read(self, place: str | None) -> DataFrame:
+        return self.spark.createDataFrame([], STATE) if place is None else self.spark.read.schema(STATE).parquet(place)
 
     def process(self, events: DataFrame, batch: int = 0) -> None:
-        state, changes = apply_batch(self.state, stored(events))
-        state = stored(state)
+        known = {} if self.pointer is None else self.pointer.read()
+        again = known.get("batch") == batch
+        state, changes = apply_batch(self._read(known["before"]) if again else self.state, stored(events))
+        if self.pointer is None:
+            state, place = stored(state), None
+        else:
+            place = f"{self.folder.rstrip('/')}/state-{uuid.uuid4().hex}"
+            state.write.parquet(place)
+            state = self._read(place)
         if self.on_changes is not None:
             self.on_changes(changes, batch)
+        if self.pointer is not None:
+            self.pointer.write({"batch": batch, "before": known.get("before") if again else known.get("after"), "after": place})
         self.state = state
 
     def files(self) -> DataFrame:
@@ -63,17 +83,38 @@ class IncrementalIndex:
         return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).start()
 
 
+def follow(spark: SparkSession, refresh: Callable[[], None], checkpoint: str, seconds: float = 1.0):
+    """A streaming query that calls ``refresh`` once a trigger; file systems report no removed files, so
+    what changed is found by comparing with what is stored. It can be asked for status and stopped."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, __: refresh()).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def as_changes(events: DataFrame) -> DataFrame:
     """Rows of the test stream as change events."""
     return events.select(F.col("user_id").cast("string").alias("path"), F.when(F.col("event_type") != "error", F.floor(F.col("value") / 50).cast("bigint").cast("string")).alias("hash"), "ts", "event_id")
 
 
-def replay(spark: SparkSession, path: str) -> DataFrame:
-    """Run a stored table of events through the stream machinery to its end; the files then held."""
+def event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table of events as a stream."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     one_file = name.endswith(".parquet") and not _is_folder(spark, path)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name if one_file else "*.parquet").parquet(folder if one_file else path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name if one_file else "*.parquet").parquet(folder if one_file else path)
+
+
+def replay_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """Status of every event of a stored table, by the keyed state, run to its end."""
+    out = f"{shared_dir(spark)}/stratagraph-core/{uuid.uuid4().hex}"
+    found = KeyedState.statuses(as_changes(event_stream(spark, path)))
+    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(KeyedState.OUTPUT).parquet(out)
+
+
+def replay(spark: SparkSession, path: str) -> DataFrame:
+    """Run a stored table of events through the stream machinery to its end; the files then held."""
+    stream = event_stream(spark, path)
     index = IncrementalIndex(spark)
     query = as_changes(stream).writeStream.foreachBatch(index.process).option("checkpointLocation", f"{shared_dir(spark)}/stratagraph-core/{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()

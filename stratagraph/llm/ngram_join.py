@@ -164,7 +164,7 @@ def frequencies(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
         return own if total is None else total + own
 
     out = np.zeros((CHUNKS, part), np.uint16)
-    for r in folded(docs.select(text).mapInArrow(run, "chunk int, counts binary"), "counts", add, shuffle_width(docs.sparkSession)).toLocalIterator():
+    for r in folded(docs.select(text).mapInArrow(run, "chunk int, counts binary"), "counts", add, shuffle_width(docs.sparkSession)).collect():
         out[r["chunk"]] = np.rint(64 * np.log2(1 + np.frombuffer(r["counts"], np.float64)))
     return out.ravel()
 
@@ -279,7 +279,7 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
 
     placed = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("at"))
     out = np.zeros((64, chunk // 8), np.uint8)
-    for r in folded(placed.mapInArrow(run, "chunk int, bits binary"), "bits", join, shuffle_width(ids.sparkSession)).toLocalIterator():
+    for r in folded(placed.mapInArrow(run, "chunk int, bits binary"), "bits", join, shuffle_width(ids.sparkSession)).collect():
         out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
@@ -521,5 +521,27 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     return one.unionByName(docs.filter(F.col(key).isNull()))
 
 
+ORACLE_SQL = {"op1_ngram_join": """
+with recursive words as materialized (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), grams as (
+    select doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from words where len(w) >= 3)
+    union select doc_id, array_to_string(w, ' ') from words where len(w) between 1 and 2
+), sets as materialized (select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as mark from grams group by doc_id),
+nodes as materialized (select mark, min(doc_id) as rep, min(n) as n from sets group by mark),
+held as materialized (select rep, g from grams join nodes on doc_id = rep),
+links as materialized (
+    select x.rep as a, y.rep as b from held x join held y on x.g = y.g and x.rep < y.rep
+    join nodes p on p.rep = x.rep join nodes q on q.rep = y.rep
+    where 100 * least(p.n, q.n) >= 90 * greatest(p.n, q.n)
+    group by x.rep, y.rep, p.n, q.n having 100 * count(*) >= 90 * (p.n + q.n - count(*))
+), edges as materialized (select a, b from links union all select b, a from links),
+reach(a, b) as (select rep, rep from nodes union select reach.a, edges.b from reach join edges on edges.a = reach.b),
+least_of as (select a as rep, min(b) as component_id from reach group by a)
+select words.doc_id, coalesce(sets.n, 0) as n_shingles, coalesce(component_id, words.doc_id) as component_id
+from words left join sets using (doc_id) left join nodes using (mark) left join least_of using (rep)
+"""}
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)

@@ -1,7 +1,12 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor kept. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, and further ones ``documents`` may have, whatever their
+names. Stages decide row by row: repeated rows share their fate but for the join, which keeps one
+row of each group; where an id repeats with different texts each text is judged for itself. Rows
+with a null id pass every stage like others and are no copies of anything. Null and empty texts go
+with the first stage, since they have no words. Texts of any length are read whole. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,17 +20,20 @@ from stratagraph.llm.tokens import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the co-trained classifier rejects go."""
+    """Documents the co-trained classifier rejects go. Null metadata counts as empty; without labels of
+    both kinds all documents with words stay."""
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or in which no language holds half of the letters, go."""
+    """Documents without a language, or in which no language holds half of the letters, go. Rows with a
+    null language are not learned from; without any known language all go."""
     return langid.keep_named(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays."""
+    """One document of each group of near copies (five words, similarity 0.8) stays: that of the smallest
+    id. Ties (one id with several texts of a group) go to the smallest fingerprint."""
     return ngram_join.keep_one(docs, n=5, percent=80)
 
 
@@ -36,7 +44,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 2048 tokens."""
+    """Pieces of documents and their places in sequences of 2048 tokens: doc_id, piece, start, length,
+    ids_crc32, sequence_id, offset. Equal rows are packed each."""
     return packing.packed(docs, vocabulary("byte_bpe_50k.json"), 0)
 
 

@@ -19,6 +19,7 @@ OPERATORS: dict[str, str] = {
     "op8_language_id": "langid",
     "op9_byte_bpe": "bpe",
     "op10_packing": "packing",
+    "op11_lexical": "lexical",
     "op12_simhash": "simhash",
     "op13_centroids": "centroids",
     # The same operator with redirects beside the pages, which hold none.

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import stored
+from .core import SCHEMAS, stored
 from .extract.adapters import extract
 from .functions.embed import embed_column, embed_query
 from .functions.text import callsite_context, callsite_text, head_text, window_starts, window_text
-from .operators import link, lookup, search, stats, tables, traverse
+from .operators import link, lookup, maintain, search, stats, tables, traverse
 from .sources import config as settings
 from .sources import files
-from .sources.catalog import Catalog
+from .sources.versioned import VersionedTables, owner_of
 from .streaming import incremental
 
 
@@ -36,19 +36,32 @@ def callsites(references: DataFrame, symbols: DataFrame, imports: DataFrame) ->
 
 
 class Index:
-    """``root`` holds the tables; references stay as parsed and edges are derived from them."""
+    """``root`` holds the tables; references stay as parsed and edges are derived from them.
+
+    Indexing replaces what belongs to changed files, linking decides again the references whose names gained
+    or lost a symbol since the last time, so both cost what changed.
+    """
 
     def __init__(self, spark: SparkSession, root: str, repo: str = "repo"):
         self.spark, self.repo, self.config = spark, repo, settings.Config()
-        self.catalog = Catalog(spark, root)
+        self.catalog = VersionedTables(spark, root, schemas={"links": maintain.LINKS, "alike": SCHEMAS["edges"]})
 
     def __getattr__(self, name: str) -> DataFrame:
-        from .core import SCHEMAS
-
         if name in SCHEMAS:
             return self.catalog.load(name)
         raise AttributeError(name)
 
+    @property
+    def references(self) -> DataFrame:
+        """References, marked external where the last linking found no symbol for them."""
+        outside = self.catalog.load("links").filter("outcome = 'external'")
+        return lookup.mark_external(self.catalog.load("references").withColumn("is_external", F.lit(False)), outside)
+
+    @property
+    def edges(self) -> DataFrame:
+        """Edges from parsing, with those of the last linking merged in."""
+        return link.merge_edges(link.merge_edges(self.catalog.load("edges"), link.linked_edges(self.catalog.load("links"))), self.catalog.load("alike"), by_confidence=True)
+
     @classmethod
     def open(cls, spark: SparkSession, base: str, database: str | None = None, repo: str | None = None) -> Index:
         """The index of the folder ``base``, by its settings file where it has one."""
@@ -59,46 +72,56 @@ class Index:
 
     def index(self, path: str, include: list[str] | None = None, exclude: list[str] | None = None, ignore: str = "", force: bool = False) -> DataFrame:
         """Bring the tables up to date with a folder; (status, n, percent) of its files. Without
-        ``include`` or ``exclude`` the settings' patterns count."""
+        ``include`` or ``exclude`` the settings' patterns count. Files are read where their time of change
+        is not the known one, or with ``force``."""
         include, exclude = self.config.include if include is None else include, self.config.exclude if exclude is None else exclude
-        seen = stored(files.walk(self.spark, path, list(include), list(exclude), ignore))
-        known = self.catalog.load("file_hash")
+        listing = stored(files.found(self.spark, path, list(include), list(exclude), ignore))
+        change = self.catalog.begin()
+        known = self.catalog.load("file_hash", change.began)
+        same = listing.join(known.limit(0) if force else known, ["path", "last_modified"], "left_semi")
+        read = stored(files.contents(listing.join(same.select("path"), "path", "left_anti"), path).filter("content is not null"))
+        seen = known.join(same.select("path"), "path", "left_semi").select("path", "hash").unionByName(read.select("path", "hash"))
         status = stored(tables.change_status(seen, known.limit(0) if force else known))
-        changed = status.filter("status in ('new', 'modified')").select("path")
-        gone = status.filter("status in ('modified', 'deleted')").select("path")
-        kept = tables.delete_files(self.catalog.load_all(), known.select("path") if force else gone)
-        new = extract(seen.join(changed, "path", "left_semi"), self.repo)
-        out = {name: kept[name].unionByName(new[name]) for name in new}
-        out["embeddings"] = kept["embeddings"].unionByName(embed_symbols(new["symbols"]))
-        out["file_hash"] = kept["file_hash"].unionByName(seen.join(changed, "path", "left_semi").select("path", "hash", "last_modified"))
-        self.catalog.commit(out)
+        new = read.join(status.filter("status in ('new', 'modified')").select("path"), "path", "left_semi")
+        touched = stored((known.select("path").unionByName(new.select("path")) if force else status.filter("status <> 'unchanged'").select("path")).select(F.col("path").alias("owner")).distinct())
+        if not touched.isEmpty():
+            rows = extract(new, self.repo)
+            rows["embeddings"] = embed_symbols(rows["symbols"])
+            rows["file_hash"] = new.select("path", "hash", "last_modified")
+            change.replace(touched, **{name: rows[name] for name in maintain.OF_FILES}).commit()
+            self.catalog.compact()
         return stats.outcome_counts(status, "status")
 
+    def link(self) -> int:
+        """Bring ``links`` up to date; how many references were decided."""
+        return maintain.link_changes(self.catalog)
+
     def linked(self) -> DataFrame:
-        return link.link(self.references, self.symbols, self.edges, self.imports)
+        self.link()
+        return self.catalog.load("links")
 
     def resolved_edges(self) -> DataFrame:
         """Edges with all linkable references merged in."""
-        return link.resolved_edges(self.edges, self.references, self.symbols, self.imports)
+        self.link()
+        return link.merge_edges(self.catalog.load("edges"), link.linked_edges(self.catalog.load("links")))
 
     def resolve(self, threshold: float = 0.6) -> DataFrame:
         """Link by rules, then by likeness of call sites; returns outcome counts.
 
-        Stores the edges, the candidates of ambiguous references, the vectors of call sites, and which
-        references are external.
+        Stores how references were linked, the edges by likeness, the candidates of ambiguous references and
+        the vectors of call sites.
         """
-        linked = stored(self.linked())
-        edges = stored(link.merge_edges(self.edges, link.linked_edges(linked)))
-        open_ = linked.filter("outcome <> 'resolved'").select("id").join(self.references, "id")
-        sites = stored(callsites(open_, self.symbols, self.imports).select("id", "from_uri", embed_column("text").alias("vector")))
-        ambiguous = link.ambiguous_rows(linked, self.references, self.symbols, self.edges)
-        known = lookup.mark_external(self.references.withColumn("is_external", F.lit(False)), linked.filter("outcome = 'external'"))
+        self.link()
+        linked, references, symbols, parsed = (self.catalog.load(name) for name in ("links", "references", "symbols", "edges"))
+        edges = stored(link.merge_edges(parsed, link.linked_edges(linked)))
+        open_ = linked.filter("outcome <> 'resolved'").select("id").join(references, "id")
+        sites = stored(callsites(open_, symbols, self.imports).select("id", "from_uri", embed_column("text").alias("vector")))
+        ambiguous = link.ambiguous_rows(linked, references, symbols, parsed)
         self.catalog.commit(
             {
-                "edges": link.merge_edges(edges, link.semantic_link(sites, self.embeddings, edges, threshold), by_confidence=True),
+                "alike": link.semantic_link(sites, self.embeddings, edges, threshold),
                 "ambiguous_references": ambiguous.withColumn("id", F.xxhash64("reference_id", "candidate_uri")),
                 "callsite_embeddings": sites.select(F.xxhash64("id").alias("id"), F.col("id").alias("reference_id"), "vector"),
-                "references": known,
             }
         )
         return stats.outcome_counts(linked)
@@ -107,9 +130,14 @@ class Index:
         return search.search(self.symbols, self.embeddings, query, embed_query, kind, exact, limit, fill=self.embed)[1]
 
     def embed(self) -> DataFrame:
-        """Vectors for symbols without any."""
-        new = embed_symbols(lookup.without_embedding(self.symbols, self.embeddings))
-        self.catalog.commit({"embeddings": tables.upsert_named("embeddings", self.embeddings, new)})
+        """Vectors for symbols without any; only the files these are in are written."""
+        change = self.catalog.begin()
+        held = self.catalog.load("embeddings", change.began)
+        new = stored(embed_symbols(lookup.without_embedding(self.symbols, held)).withColumn("owner", owner_of("embeddings")))
+        touched = stored(new.select("owner").distinct())
+        if not touched.isEmpty():
+            old = self.catalog.load_changed("embeddings", touched, change.began).withColumn("owner", owner_of("embeddings"))
+            change.replace(touched, embeddings=old.unionByName(new)).commit()
         return self.embeddings
 
     def callers(self, uri: str, depth: int = 1) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import stored
+
 # Extensions of files that are not text.
 SKIPPED = ("png", "jpg", "jpeg", "gif", "ico", "exe", "dll", "so", "o", "a", "lib", "bin", "pdf", "zip", "tar", "gz", "wasm", "node", "db", "sqlite", "lock", "pyc", "svg")
 # Files of ignore rules, the later ones overrule the earlier ones of a folder.
@@ -67,27 +69,79 @@ def keep(path: Column, include: list[str] = (), exclude: list[str] = ()) -> Colu
     return out
 
 
-def ignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
-    """Lines of an ignore file in ``folder`` as (regex over paths, whether a hit is ignored): comments,
-    ``!`` exceptions, anchored and directory patterns."""
-    base, out = re.escape(folder.strip("/") + "/") if folder.strip("/") else "", []
-    for line in text.splitlines():
+#: Columns of a rule: where it holds, how it is looked up, and its place among all rules. A hit of a
+#: ``only_below`` rule must be a folder on the path, not the path's own end.
+RULES = "folder string, kind string, key string, only_below boolean, hit boolean, place struct<depth:int,folder:string,source:int,line:int>"
+
+
+def ignore_rules(text: str, folder: str = "", source: int = 0, depth: int | None = None) -> list[tuple]:
+    """Lines of an ignore file in ``folder`` as rows of ``RULES``: comments, ``!`` exceptions, anchored and
+    directory patterns. Plain names, plain paths and ``*.ending`` are keys for an equi-join (kinds name,
+    path and ending); only other globs are regexes (kind glob)."""
+    folder = folder.strip("/")
+    base, out = f"{folder}/" if folder else "", []
+    depth = (folder.count("/") + 1 if folder else 0) if depth is None else depth
+    for at, line in enumerate(text.splitlines()):
         line = line.strip()
         if not line or line.startswith("#"):
             continue
         back, line = line.startswith("!"), line.removeprefix("!")
-        body = line.strip("/")
-        head = f"^{base}" if line.startswith("/") or "/" in body else f"^{base}(.*/)?"
-        out.append((head + glob_regex(body) + ("/.*" if line.endswith("/") else "(/.*)?") + "$", not back))
+        body, below = line.strip("/"), line.endswith("/")
+        fixed, plain = line.startswith("/") or "/" in body, not set(body) & set("*?[")
+        if plain:
+            kind, key = ("path", base + body) if fixed else ("name", body)
+        elif not fixed and body.startswith("*.") and not set(body[1:]) & set("*?["):
+            kind, key = "ending", body[1:]
+        else:
+            kind, key = "glob", f"^{re.escape(base)}" + ("" if fixed else "(.*/)?") + glob_regex(body) + ("/.*" if below else "(/.*)?") + "$"
+        out.append((folder, kind, key, below, not back, (depth, folder, source, at)))
     return out
 
 
+def rule_regex(rule: tuple) -> str:
+    """What a rule matches, as one regex over whole paths."""
+    folder, kind, key, below = rule[:4]
+    if kind == "glob":
+        return key
+    base = re.escape(f"{folder}/" if folder else "")
+    head = {"path": "", "name": f"{base}(.*/)?", "ending": f"{base}(.*/)?[^/]*"}[kind]
+    return f"^{head}{re.escape(key)}" + ("/.*" if below else "(/.*)?") + "$"
+
+
 def not_ignored(path: Column, rules: str) -> Column:
-    """By the lines of one ignore file; the last match wins."""
-    ignored = F.lit(False)
-    for regex, hit in ignore_rules(rules):
-        ignored = F.when(path.rlike(regex), F.lit(hit)).otherwise(ignored)
-    return ~ignored
+    """By the few lines of one ignore text, as a column; the last match wins."""
+    hits = [F.when(path.rlike(rule_regex(r)), F.lit(r[4])) for r in ignore_rules(rules)]
+    last = F.element_at(F.filter(F.array(F.lit(False), *hits), lambda x: x.isNotNull()), -1)
+    return ~last
+
+
+def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(path) of the paths (path) that rules (``RULES``) ignore: of all that match, the last one decides.
+
+    A path meets rules by the folders it lies in and by its own parts, so what is compared does not grow
+    with the number of rules; regexes alone are tried one by one, in their own folder.
+    """
+    parts = F.split("path", "/")
+    steps = paths.select("path", parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("i"))
+    upto = lambda n: F.array_join(F.slice("parts", 1, n), "/")
+    steps = steps.select("path", "parts", "i", (F.col("i") == F.size("parts")).alias("end"), F.element_at("parts", F.col("i")).alias("part"), upto(F.col("i")).alias("whole"))
+    inside = steps.select("path", "end", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("i") - 1), upto)).alias("folder"))
+    dots = F.filter(F.transform(F.sequence(F.lit(1), F.length("part")), lambda k: F.when(F.substr("part", k, F.lit(1)) == ".", F.substr("part", k))), lambda x: x.isNotNull())
+    of = lambda kind: rules.filter(F.col("kind") == kind).drop("kind")
+    used = {r[0] for r in rules.select("kind").distinct().collect()}
+    lower = ~F.col("only_below") | ~F.col("end")
+    hits = {
+        "name": inside.withColumnRenamed("part", "key").join(of("name"), ["folder", "key"]).filter(lower),
+        "ending": inside.filter(F.col("part").contains(".")).select("path", "end", "folder", F.explode(dots).alias("key")).join(of("ending"), ["folder", "key"]).filter(lower),
+        "path": steps.select("path", "end", F.col("whole").alias("key")).join(of("path").drop("folder"), "key").filter(lower),
+        "glob": inside.filter("end").select("path", "folder").join(of("glob"), "folder").filter(F.expr("path rlike key")),
+    }
+    found = None
+    for own in (h.select("path", "hit", "place") for kind, h in hits.items() if kind in used):
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return paths.select("path").limit(0)
+    return found.groupBy("path").agg(F.max_by("hit", "place").alias("hit")).filter("hit").select("path")
 
 
 def not_hidden(path: Column) -> Column:
@@ -101,27 +155,36 @@ def _open(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), root.rstrip("/")
 
 
+#: Folders a task lists, about, before a level is dealt to more tasks.
+FOLDERS = 32
+
+
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """(path, last_modified) of all files under ``root``, hidden ones too; path is relative. The driver
-    looks at the top folder, tasks list what lies below."""
-    files, base = _open(root)
-    top = files.get_file_info(pafs.FileSelector(base))
-    own = [(x.base_name, x.mtime) for x in top if x.is_file]
-    below = [x.base_name for x in top if x.type == pafs.FileType.Directory]
-    schema = "path string, last_modified timestamp"
-    rows = spark.createDataFrame(own, schema)
-    if not below:
-        return rows
+    """(path, last_modified) of all files under ``root``, hidden ones too; path is relative.
+
+    Level by level: tasks list the folders of one level, and the folders they find are dealt anew to all
+    tasks, so a single deep folder is no single task. A level is stored before the next one stands on it.
+    """
+    schema = "path string, last_modified timestamp, is_folder boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _open(root)
         for batch in batches:
-            for folder in batch.column("folder").to_pylist():
-                found = [x for x in files.get_file_info(pafs.FileSelector(f"{base}/{folder}", recursive=True)) if x.is_file]
-                yield pa.RecordBatch.from_arrays([pa.array([x.path[len(base) :].lstrip("/") for x in found], pa.string()), pa.array([x.mtime for x in found], pa.timestamp("us", "UTC"))], names=["path", "last_modified"])
-
-    folders = spark.createDataFrame([(x,) for x in below], "folder string")
-    return rows.unionByName(folders.repartition(min(len(below), 64)).mapInArrow(run, schema))
+            for folder in batch.column("path").to_pylist():
+                held = files.get_file_info(pafs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                held = [x for x in held if x.type in (pafs.FileType.File, pafs.FileType.Directory)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.path[len(base) :].lstrip("/") for x in held], pa.string()), pa.array([x.mtime for x in held], pa.timestamp("us", "UTC")), pa.array([not x.is_file for x in held], pa.bool_())], names=["path", "last_modified", "is_folder"])
+
+    level, rows = spark.createDataFrame([("",)], "path string"), None
+    count = 1
+    while count:
+        tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, count // FOLDERS)))
+        new = stored(level.repartition(tasks, "path").mapInArrow(run, schema))
+        own = new.filter("not is_folder").drop("is_folder")
+        rows = own if rows is None else rows.unionByName(own)
+        level = new.filter("is_folder").select("path")
+        count = level.count()
+    return rows
 
 
 def contents(paths: DataFrame, root: str) -> DataFrame:
@@ -143,29 +206,42 @@ def contents(paths: DataFrame, root: str) -> DataFrame:
     return paths.select("path", "last_modified").mapInArrow(run, "path string, content string, hash string, last_modified timestamp")
 
 
-def tree_rules(files: DataFrame, root: str) -> list[tuple[str, bool]]:
-    """Rules of all ignore files of a listing, outer folders first, so that inner ones overrule them.
-    Their files are settings and come to the driver."""
+def tree_rules(files: DataFrame, root: str) -> DataFrame:
+    """Rules (``RULES``) of all ignore files of a listing. Inner folders come after outer ones, and overrule
+    them; files are read and parsed by tasks."""
     name = F.regexp_extract("path", r"[^/]*$", 0)
-    found = contents(files.filter(name.isin(*IGNORE_FILES)), root).filter("content is not null").collect()
-    parts = [(r["path"].count("/"), *r["path"].rpartition("/")[::2], r["content"]) for r in found]
-    out: list[tuple[str, bool]] = []
-    for _, folder, _, text in sorted(parts, key=lambda p: (p[0], p[1], IGNORE_FILES.index(p[2]))):
-        out += ignore_rules(text, folder)
-    return out
+    held = contents(files.filter(name.isin(*IGNORE_FILES)), root).filter("content is not null").select("path", "content")
+    names = ["folder", "kind", "key", "only_below", "hit"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                folder, _, own = path.rpartition("/")
+                rows = ignore_rules(text, folder, IGNORE_FILES.index(own))
+                place = [dict(zip(("depth", "folder", "source", "line"), r[5])) for r in rows]
+                kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                columns.append(pa.array(place, pa.struct([("depth", pa.int32()), ("folder", pa.string()), ("source", pa.int32()), ("line", pa.int32())])))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "place"])
 
-def walk(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), ignore: str = "", ignore_files: bool = True) -> DataFrame:
-    """(path, content, hash, last_modified) of the text files under ``root``; path is relative.
+    return held.mapInArrow(run, RULES)
+
+
+def found(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), ignore: str = "", ignore_files: bool = True) -> DataFrame:
+    """(path, last_modified) of the files under ``root`` that are to be read; path is relative.
 
     Ignore files found in the tree count for their folder and all below (``ignore_files``), ``ignore``
-    holds further rules for all of it. Filters run on the path before a file is read; files that
-    are not UTF-8 are left out.
+    holds further rules for all of it, which come last.
     """
     every = listed(spark, root)
-    rules = (tree_rules(every, root) if ignore_files else []) + ignore_rules(ignore)
-    ignored = F.lit(False)
-    for regex, hit in rules:
-        ignored = F.when(F.col("path").rlike(regex), F.lit(hit)).otherwise(ignored)
-    kept = every.filter(has_text_extension(F.col("path")) & not_hidden(F.col("path")) & keep(F.col("path"), include, exclude) & ~ignored)
-    return contents(kept, root).filter("content is not null")
+    rules = spark.createDataFrame(ignore_rules(ignore, depth=1 << 30), RULES)
+    if ignore_files:
+        rules = rules.unionByName(tree_rules(every, root))
+    kept = every.filter(has_text_extension(F.col("path")) & not_hidden(F.col("path")) & keep(F.col("path"), include, exclude))
+    return kept.join(ignored(kept.select("path"), stored(rules)), "path", "left_anti")
+
+
+def walk(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), ignore: str = "", ignore_files: bool = True) -> DataFrame:
+    """(path, content, hash, last_modified) of the text files ``found`` under ``root``. Filters run on paths
+    before a file is read; files that are not UTF-8 are left out."""
+    return contents(found(spark, root, include, exclude, ignore, ignore_files), root).filter("content is not null")

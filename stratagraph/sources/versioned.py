@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from ..core import SCHEMAS, stored
 
-#: Buckets of a table; a change of one owner writes one of them.
-BUCKETS = 64
+#: Buckets of a table; a change of one owner writes one of them. A few for each executor core is enough.
+BUCKETS = 16
+#: Tables replaced together: one mark of an owner counts for all of a group, so whoever replaces an owner's
+#: rows in one of them gives those of all. A table of no group is one by itself.
+GROUPS = {name: "files" for name in ("symbols", "edges", "references", "imports", "file_hash")}
 #: Folders of one bucket from which ``compact`` merges it.
 MANY = 8
 #: Attempts of a commit that only ever meets changes elsewhere.
@@ -37,7 +40,7 @@ ATTEMPTS = 100
 def owner_of(name: str) -> Column:
     """The file a row of each table comes from."""
     of_uri = lambda c: F.regexp_extract(c, r"^[a-z]+://[^/#]*/([^#]*)#", 1)
-    column = {"symbols": F.col("path"), "edges": of_uri("from_uri"), "embeddings": of_uri("uri"), "references": F.col("file_path"), "imports": F.col("file_path"), "file_hash": F.col("path"), "ambiguous_references": F.col("reference_id").cast("string"), "callsite_embeddings": F.col("reference_id").cast("string")}
+    column = {"symbols": F.col("path"), "edges": of_uri("from_uri"), "alike": of_uri("from_uri"), "embeddings": of_uri("uri"), "references": F.col("file_path"), "imports": F.col("file_path"), "file_hash": F.col("path"), "ambiguous_references": F.col("reference_id").cast("string"), "callsite_embeddings": F.col("reference_id").cast("string")}
     return column[name]
 
 
@@ -107,6 +110,7 @@ class Change:
     added: dict[str, dict[str, list[int]]] = field(default_factory=dict)
     dropped: dict[str, list[int] | None] = field(default_factory=dict)
     read: dict[str, list[int]] = field(default_factory=dict)
+    notes: dict[str, int] = field(default_factory=dict)
 
     def _write(self, name: str, rows: DataFrame) -> None:
         """Rows with their owner, in a new folder of this change."""
@@ -119,33 +123,38 @@ class Change:
         if made:
             self.added.setdefault(name, {})[tx] = sorted(made)
 
-    def replace(self, name: str, owners: DataFrame, rows: DataFrame) -> Change:
-        """All rows of ``owners`` (owner) are replaced by ``rows``; those may bring an owner column, else the
-        table's own counts. Owners without new rows have none any more."""
+    def _rows(self, name: str, rows: DataFrame) -> None:
         rows = rows if "owner" in rows.columns else rows.withColumn("owner", owner_of(name))
-        self._write(f"{name}.marks", owners.select(F.col("owner").cast("string").alias("owner")).distinct())
         self._write(name, rows.select(*self.store.columns(name), F.col("owner").cast("string").alias("owner")))
+
+    def replace(self, owners: DataFrame, **rows: DataFrame) -> Change:
+        """All rows of ``owners`` (owner) in the groups of the tables given are replaced by these rows, which may
+        bring an owner column, else the table's own counts. Owners without new rows have none any more."""
+        for marks in sorted({self.store.marks(name) for name in rows}):
+            self._write(marks, owners.select(F.col("owner").cast("string").alias("owner")).distinct())
+        for name, df in rows.items():
+            self._rows(name, df)
         return self
 
     def overwrite(self, name: str, rows: DataFrame) -> Change:
         """The whole table is replaced."""
-        rows = rows if "owner" in rows.columns else rows.withColumn("owner", owner_of(name))
-        self._write(name, rows.select(*self.store.columns(name), F.col("owner").cast("string").alias("owner")))
-        self.dropped[name] = self.dropped[f"{name}.marks"] = None
+        self._rows(name, rows)
+        self.dropped[name] = None
         return self
 
     def touched(self) -> dict[str, set[int] | None]:
         """Buckets of each table this change writes or rests on; None: all of them."""
         out: dict[str, set[int] | None] = {}
-        for name in {n.removesuffix(".marks") for n in (*self.added, *self.dropped, *self.read)}:
-            if any(self.dropped.get(n, ()) is None for n in (name, f"{name}.marks")):
-                out[name] = None
-                continue
-            found: set[int] = set(self.dropped.get(name, ())) | set(self.read.get(name, ()))
-            for n in (name, f"{name}.marks"):
-                for buckets in self.added.get(n, {}).values():
+        for name in self.store.schemas:
+            marks = self.store.marks(name)
+            found: set[int] = set(self.dropped.get(name) or ()) | set(self.read.get(name, ()))
+            for part in (name, marks):
+                for buckets in self.added.get(part, {}).values():
                     found |= set(buckets)
-            out[name] = found
+            if name in self.dropped and self.dropped[name] is None:
+                out[name] = None
+            elif found:
+                out[name] = found
         return out
 
     def commit(self) -> int:
@@ -159,7 +168,7 @@ class Change:
                     if name in own and (buckets is None or own[name] is None or set(buckets) & own[name]):
                         raise Conflict(f"version {number} wrote to {name} as well")
                 seen = number
-            new = {"buckets": state["buckets"], "tables": {}, "order": dict(state["order"]), "touched": {n: None if b is None else sorted(b) for n, b in own.items()}}
+            new = {"buckets": state["buckets"], "tables": {}, "order": dict(state["order"]), "touched": {n: None if b is None else sorted(b) for n, b in own.items()}, "notes": state.get("notes", {}) | self.notes}
             for name in {*state["tables"], *self.added}:
                 gone = self.dropped.get(name, [])
                 kept = {} if gone is None else {tx: left for tx, held in state["tables"].get(name, {}).items() if (left := [b for b in held if b not in gone])}
@@ -167,6 +176,8 @@ class Change:
             for held in self.added.values():
                 new["order"] |= {tx: seen + 1 for tx in held}
             live = {tx for held in new["tables"].values() for tx in held}
+            cut = {tx for name, held in new["tables"].items() for tx, own in held.items() if tx in state["tables"].get(name, {}) and len(own) < len(state["tables"][name][tx])}
+            new["partial"] = sorted((cut | set(state.get("partial", []))) & live)
             new["order"] = {tx: n for tx, n in new["order"].items() if tx in live}
             if self.store.log.add(seen + 1, new):
                 return seen + 1
@@ -176,11 +187,15 @@ class Change:
 class VersionedTables:
     """``root``: a folder on a file system all share; ``schemas``: further tables by name."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, schemas: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, schemas: dict[str, str] | None = None, groups: dict[str, str] | None = None):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.schemas = {**SCHEMAS, **(schemas or {})}
+        self.groups = GROUPS if groups is None else groups
         self.log = Log(spark, f"{self.root}/log")
 
+    def marks(self, name: str) -> str:
+        return f"{self.groups.get(name, name)}.marks"
+
     def columns(self, name: str) -> list[str]:
         return self._empty(name).columns
 
@@ -197,7 +212,9 @@ class VersionedTables:
     def _folders(self, name: str, state: dict, buckets: list[int] | None = None) -> DataFrame | None:
         """Rows of all live folders, each with its version, bucket and owner."""
         held = state["tables"].get(name, {})
-        paths = [f"{self.root}/{name}/tx={tx}/bucket={b}" for tx, own in held.items() for b in own if buckets is None or b in buckets]
+        # A folder that lives as a whole is listed as one.
+        whole = lambda tx: buckets is None and tx not in state.get("partial", [])
+        paths = [f"{self.root}/{name}/tx={tx}{end}" for tx, own in held.items() for end in ([""] if whole(tx) else [f"/bucket={b}" for b in own if buckets is None or b in buckets])]
         if not paths:
             return None
         schema = "owner string" if name.endswith(".marks") else self.schemas[name] + ", owner string"
@@ -209,7 +226,7 @@ class VersionedTables:
         """Live rows with their owner. Marks are those since the last merge of a bucket; owners without one
         keep what their bucket holds."""
         found = self._folders(name, state, buckets)
-        marks = self._folders(f"{name}.marks", state, buckets)
+        marks = self._folders(self.marks(name), state, buckets)
         if found is None or marks is None:
             return found
         latest = marks.groupBy("bucket", "owner").agg(F.max("version").alias("since"))
@@ -227,6 +244,34 @@ class VersionedTables:
         found = self.rows(name, state, sorted({r[0] for r in frame.select(at).collect()}))
         return self._empty(name) if found is None else found.filter(F.col("owner").isin(owners)).select(*self.columns(name))
 
+    def changed(self, names: list[str], since: int) -> DataFrame | None:
+        """(owner) of what commits after version ``since`` replaced in any of the tables; None where one of
+        them was replaced as a whole."""
+        now, _ = self.state()
+        paths: list[DataFrame] = []
+        for number in range(since + 1, now + 1):
+            state = self.log.read(number)
+            if any(state["touched"].get(name, ()) is None for name in names):
+                return None
+            for marks in sorted({self.marks(name) for name in names}):
+                held = {tx: own for tx, own in state["tables"].get(marks, {}).items() if state["order"][tx] == number}
+                if held:
+                    paths.append(self._folders(marks, {"tables": {marks: held}, "order": state["order"]}).select("owner"))
+        out = self.spark.createDataFrame([], "owner string")
+        for p in paths:
+            out = out.unionByName(p)
+        return out.distinct()
+
+    def buckets_of(self, owners: DataFrame) -> list[int]:
+        """Buckets of the owners (owner): a number each at most."""
+        _, state = self.state()
+        return sorted(r[0] for r in owners.select(F.pmod(F.xxhash64("owner"), F.lit(state["buckets"])).cast("int")).distinct().collect())
+
+    def load_changed(self, name: str, owners: DataFrame, version: int | None = None) -> DataFrame:
+        """Rows of the owners (owner), at some version; other buckets are not read."""
+        found = self.rows(name, self.state(version)[1], self.buckets_of(owners))
+        return self._empty(name) if found is None else found.join(owners, "owner", "left_semi").select(*self.columns(name))
+
     def load_all(self) -> dict[str, DataFrame]:
         return {name: self.load(name) for name in self.schemas}
 
@@ -240,21 +285,26 @@ class VersionedTables:
     def compact(self, many: int = MANY) -> int:
         """Merge every bucket of which a table has ``many`` folders or more; how many buckets were merged."""
         change = self.begin()
-        merged = 0
-        for name in sorted({n.removesuffix(".marks") for n in change.state["tables"]}):
-            count: dict[int, int] = {}
-            for part in (name, f"{name}.marks"):
-                for own in change.state["tables"].get(part, {}).values():
+        merged, held = 0, change.state["tables"]
+        for marks in sorted({self.marks(name) for name in held if not name.endswith(".marks")}):
+            names = [n for n in held if not n.endswith(".marks") and self.marks(n) == marks]
+            most: dict[int, int] = {}
+            for part in (*names, marks):
+                count: dict[int, int] = {}
+                for own in held.get(part, {}).values():
                     for b in own:
                         count[b] = count.get(b, 0) + 1
-            full = sorted(b for b, n in count.items() if n >= many)
+                most |= {b: max(n, most.get(b, 0)) for b, n in count.items()}
+            full = sorted(b for b, n in most.items() if n >= many)
             if not full:
                 continue
             merged += len(full)
-            live = self.rows(name, change.state, full)
-            if live is not None:
-                change._write(name, live.select(*self.columns(name), "owner"))
-            change.dropped[name] = change.dropped[f"{name}.marks"] = full
+            for name in names:
+                live = self.rows(name, change.state, full)
+                if live is not None:
+                    change._write(name, live.select(*self.columns(name), "owner"))
+                change.dropped[name] = full
+            change.dropped[marks] = full
         if merged:
             change.commit()
         return merged
@@ -271,7 +321,4 @@ class VersionedTables:
 
 def apply(store: VersionedTables, owners: DataFrame, rows: dict[str, DataFrame]) -> int:
     """Replace all rows of ``owners`` (owner) in the tables of ``rows``, in one commit."""
-    change, owners = store.begin(), stored(owners)
-    for name, df in rows.items():
-        change.replace(name, owners, df)
-    return change.commit()
+    return store.begin().replace(stored(owners), **rows).commit()

@@ -74,14 +74,14 @@ def test_two_writers(spark, tmp_path):
     other = next(k for k in bucket if bucket[k] != bucket[0])
     a, b, c = store.begin(), store.begin(), store.begin()
     for change, k, v in ((a, 0, 2), (b, other, 3), (c, 0, 4)):
-        change.replace("t", rows(spark, k, k + 1, 0).select("owner"), rows(spark, k, k + 1, v))
+        change.replace(rows(spark, k, k + 1, 0).select("owner"), t=rows(spark, k, k + 1, v))
     assert (b.commit(), a.commit()) == (2, 3)
     with pytest.raises(Conflict):
         c.commit()
     assert held(store) == {f"f{k}": {0: 2, other: 3}.get(k, 1) for k in range(100)}
     whole, part = store.begin(), store.begin()
     whole.overwrite("t", rows(spark, 0, 1, 7))
-    part.replace("t", rows(spark, 5, 6, 0).select("owner"), rows(spark, 5, 6, 8)).commit()
+    part.replace(rows(spark, 5, 6, 0).select("owner"), t=rows(spark, 5, 6, 8)).commit()
     with pytest.raises(Conflict):
         whole.commit()
     assert held(store)["f5"] == 8
@@ -93,7 +93,7 @@ def test_threads_never_lose_a_commit(spark, tmp_path):
 
     def write(k):
         change = store.begin()
-        change.replace("t", rows(spark, k, k + 1, 0).select("owner"), rows(spark, k, k + 1, k))
+        change.replace(rows(spark, k, k + 1, 0).select("owner"), t=rows(spark, k, k + 1, k))
         try:
             landed.append((change.commit(), k))
         except Conflict:
@@ -111,3 +111,18 @@ def test_threads_never_lose_a_commit(spark, tmp_path):
 def test_numbers_are_given_once(spark, tmp_path):
     log = versioned.Log(spark, str(tmp_path / "log"))
     assert log.last() == 0 and log.add(1, {"a": 1}) and not log.add(1, {"a": 2}) and log.read(1) == {"a": 1} and log.last() == 1
+
+
+def test_tables_of_a_group(spark, tmp_path):
+    """One mark replaces an owner's rows in all tables of its group, also where one of them is merged or replaced."""
+    store = VersionedTables(spark, str(tmp_path), 8, {"t": "path string, v long", "u": "path string, v long", "w": "path string, v long"}, {"t": "g", "u": "g"})
+    one = store.begin().replace(rows(spark, 0, 4, 0).select("owner"), t=rows(spark, 0, 4, 1), u=rows(spark, 0, 4, 1), w=rows(spark, 0, 4, 1)).commit()
+    store.begin().replace(rows(spark, 1, 3, 0).select("owner"), t=rows(spark, 1, 2, 2)).commit()
+    got = lambda name: {r["path"]: r["v"] for r in store.load(name).collect()}
+    want = {"t": {"f0": 1, "f1": 2, "f3": 1}, "u": {"f0": 1, "f3": 1}, "w": {f"f{k}": 1 for k in range(4)}}
+    assert {name: got(name) for name in "tuw"} == want
+    assert sorted(r[0] for r in store.changed(["u"], one).collect()) == ["f1", "f2"] and store.changed(["w"], one).count() == 0
+    assert store.compact(2) and {name: got(name) for name in "tuw"} == want
+    store.begin().overwrite("u", rows(spark, 7, 8, 5)).commit()
+    assert got("u") == {"f7": 5} and got("t") == want["t"] and store.changed(["t", "u"], one) is None
+    assert sorted(r[0] for r in store.changed(["t"], one).collect()) == ["f1", "f2"]

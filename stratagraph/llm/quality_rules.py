@@ -3,9 +3,13 @@
 Fixed base rules look at each document alone. The method's verdict compares four ratios of a
 document with what is usual for its language and source. For each (language, source) and ratio a
 quantile sketch is kept: counts in buckets that are exact below 64 and at most 1/32 wide above, so
-sketches merge by adding counts, in any order, with the same result. From a sketch come the
-quartiles q1 and q3, and the thresholds q3 + 3 w and (for word length) q1 - 3 w, where w is
-q3 - q1 or the ratio's least width, whichever is more. To each group's sketch that of its language
+sketches merge by adding counts, in any order, with the same result. Most documents have none of what
+the first three ratios count, so quartiles of all values would be zero everywhere and say nothing.
+A group's sketch gives the share of documents above zero and the upper quartile q3 of their values;
+their product is what a document of the group has, so to say, on the average, and a document may have
+``SEVERITY`` times as much. Word lengths have thresholds q3 + 3 w and q1 - 3 w, where w is q3 - q1, or
+the width of q3's bucket where both lie in one. No fixed cutoff takes part: a source of code keeps
+what a source of prose rejects. A value of zero is never too much. To each group's sketch that of its language
 is added with the weight of ``PRIOR`` documents, so a group of any size has thresholds of its own:
 those of a small one lie near its language's, those of a large one are its own. Thresholds then
 join the documents.
@@ -29,16 +33,18 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 #: Documents a language's sketch counts as beside that of one of its groups.
-PRIOR = 100
+PRIOR = 20
 #: Rows (of about 100 bytes) up to which thresholds are broadcast, and tasks a group is dealt over beyond.
 BROADCAST_ROWS, SALTS = 20_000, 16
-#: ratio -> (SQL of its whole-number value, least width, whether low values are rejected too)
+#: ratio -> SQL of its whole-number value
 RATIOS = {
-    "symbols": ("n_symbols * 1000 div greatest(word_chars, 1)", 10, False),
-    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 100, False),
-    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 60, False),
-    "word_length": ("word_chars * 10 div greatest(n_words, 1)", 6, True),
+    "symbols": "n_symbols * 10000 div greatest(word_chars, 1)",
+    "dup_lines": "n_dup_lines * 1000 div greatest(n_lines, 1)",
+    "repeats": "n_repeat_words * 1000 div greatest(n_words, 1)",
+    "word_length": "word_chars * 100 div greatest(n_words, 1)",
 }
+#: How many times the usual amount a document may have; ratios not named have fences on both sides.
+SEVERITY = {"symbols": 2, "dup_lines": 24, "repeats": 24}
 WHITE = r"[\\x20\\x09-\\x0D]+"
 
 # The expression binds values once by one-element transforms: w words, h window hashes, s sorted
@@ -94,9 +100,14 @@ def least_of(at: str) -> Column:
     return F.expr(f"case when {at} < 64 then {at} else shiftleft({at} - ({at} div 32 - 1) * 32, cast({at} div 32 - 1 as int)) end")
 
 
+def width_of(at: str) -> Column:
+    """How many whole numbers share a bucket."""
+    return F.expr(f"case when {at} < 64 then 1L else shiftleft(1L, cast({at} div 32 - 1 as int)) end")
+
+
 def sketches(rows: DataFrame, groups: list[str]) -> DataFrame:
     """(groups, ratio, bucket, n): one mergeable sketch for each group and ratio."""
-    pairs = F.array(*[F.struct(F.lit(name).alias("ratio"), F.expr(f"cast({sql} as bigint)").alias("v")) for name, (sql, _, _) in RATIOS.items()])
+    pairs = F.array(*[F.struct(F.lit(name).alias("ratio"), F.expr(f"cast({sql} as bigint)").alias("v")) for name, sql in RATIOS.items()])
     return rows.select(*groups, F.explode(pairs).alias("x")).select(*groups, "x.ratio", bucket("x.v").cast("long").alias("bucket")).groupBy(*groups, "ratio", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -106,20 +117,22 @@ def merge(parts: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def quartiles(parts: DataFrame, groups: list[str], language: str) -> DataFrame:
-    """(groups, ratio, q1, q3) of each group's sketch blended with its language's. A sketch has a
-    bounded number of buckets, so it is one row's worth of work. Counts are whole numbers: the
-    group's times the language's total, and ``PRIOR`` times the language's."""
+    """(groups, ratio, q1, q3, least, above, total) of each group's sketch blended with its language's:
+    quartiles of the values above zero, the width of q3's bucket, and how many values are above zero and
+    in all. A sketch has a bounded number of buckets, so it is one row's worth of work. Counts are whole
+    numbers: the group's times the language's total, and ``PRIOR`` times the language's."""
     own = parts.groupBy(*groups, "ratio").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("own"), F.sum("n").alias("total"))
     of_language = merge(parts, [language]).groupBy(language, "ratio").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("h"), F.sum("n").alias("whole"))
     both = own.join(of_language, [language, "ratio"])
-    blended = F.expr(f"transform(h, x -> struct(x.bucket as bucket, cast(cast(coalesce(own[x.bucket], 0L) as decimal(18, 0)) * cast(whole as decimal(18, 0)) + {PRIOR} * cast(x.n as decimal(18, 0)) as decimal(38, 0)) as n))")
+    blended = F.expr(f"transform(filter(h, x -> x.bucket > 0), x -> struct(x.bucket as bucket, cast(cast(coalesce(own[x.bucket], 0L) as decimal(18, 0)) * cast(whole as decimal(18, 0)) + {PRIOR} * cast(x.n as decimal(18, 0)) as decimal(38, 0)) as n))")
     held = both.select(*groups, "ratio", blended.alias("h"), F.expr(f"cast(cast(whole as decimal(18, 0)) * (total + {PRIOR}) as decimal(38, 0))").alias("total"))
+    held = held.withColumn("above", F.expr("aggregate(h, cast(0 as decimal(38, 0)), (a, x) -> cast(a + x.n as decimal(38, 0)))"))
 
     def reached(quarter: int) -> Column:
-        return F.expr(f"aggregate(h, struct(cast(0 as decimal(38, 0)) as n, -1L as at), (a, x) -> struct(cast(a.n + x.n as decimal(38, 0)) as n, case when a.at < 0 and 4 * (a.n + x.n) >= {quarter} * total then x.bucket else a.at end as at)).at")
+        return F.expr(f"nullif(aggregate(h, struct(cast(0 as decimal(38, 0)) as n, -1L as at), (a, x) -> struct(cast(a.n + x.n as decimal(38, 0)) as n, case when a.at < 0 and 4 * (a.n + x.n) >= {quarter} * above then x.bucket else a.at end as at)).at, -1L)")
 
-    found = held.select(*groups, "ratio", reached(1).alias("at1"), reached(3).alias("at3"))
-    return found.select(*groups, "ratio", least_of("at1").alias("q1"), least_of("at3").alias("q3"))
+    found = held.select(*groups, "ratio", "above", "total", reached(1).alias("at1"), reached(3).alias("at3"))
+    return found.select(*groups, "ratio", "above", "total", least_of("at1").alias("q1"), least_of("at3").alias("q3"), width_of("at3").alias("least"))
 
 
 def thresholds(rows: DataFrame, language: str = "lang", source: str = "source") -> DataFrame:
@@ -127,10 +140,11 @@ def thresholds(rows: DataFrame, language: str = "lang", source: str = "source")
     parts = materialize(sketches(rows, [language, source]), "sketches")
     both = quartiles(parts, [language, source], language)
     out = []
-    for name, (_, width, _) in RATIOS.items():
-        w = F.greatest(F.col("q3") - F.col("q1"), F.lit(width))
+    w = F.greatest(F.col("q3") - F.col("q1"), F.col("least"))
+    for name in RATIOS:
         mine = F.col("ratio") == name
-        out += [F.max(F.when(mine, F.col("q1") - 3 * w)).alias(f"low_{name}"), F.max(F.when(mine, F.col("q3") + 3 * w)).alias(f"high_{name}")]
+        low, high = (F.lit(0).cast("bigint"), F.expr(f"cast({SEVERITY[name]} * q3 * above div total as bigint)")) if name in SEVERITY else (F.col("q1") - 3 * w, F.col("q3") + 3 * w)
+        out += [F.max(F.when(mine, low)).alias(f"low_{name}"), F.max(F.when(mine, high)).alias(f"high_{name}")]
     return both.groupBy(language, source).agg(*out)
 
 
@@ -148,9 +162,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
     rows = materialize(measures(named, text).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "measures")
     limits = materialize(thresholds(rows.filter("not base_failed"), language, source), "thresholds")
     usual = F.lit(True)
-    for name, (sql, _, low) in RATIOS.items():
+    for name, sql in RATIOS.items():
         value = F.expr(f"cast({sql} as bigint)")
-        usual = usual & (value <= F.col(f"high_{name}")) & ((value >= F.col(f"low_{name}")) if low else F.lit(True))
+        usual = usual & ((value == 0) | value.between(F.col(f"low_{name}"), F.col(f"high_{name}")))
     return with_limits(rows, limits, [language, source], key).select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & usual, F.lit(False)).alias("kept"))
 
 
@@ -158,10 +172,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-_VALUES = {name: sql.replace(" div ", " // ") for name, (sql, _, _) in RATIOS.items()}
-_LIMITS = ", ".join(f"max(case when ratio = '{n}' then q1 - 3 * greatest(q3 - q1, {w}) end) as low_{n}, max(case when ratio = '{n}' then q3 + 3 * greatest(q3 - q1, {w}) end) as high_{n}" for n, (_, w, _) in RATIOS.items())
-_USUAL = " and ".join(f"{_VALUES[n]} <= high_{n}" + (f" and {_VALUES[n]} >= low_{n}" if low else "") for n, (_, _, low) in RATIOS.items())
+_VALUES = {name: sql.replace(" div ", " // ") for name, sql in RATIOS.items()}
+_HIGH = {n: f"{SEVERITY[n]} * q3 * above // total" if n in SEVERITY else "q3 + 3 * greatest(q3 - q1, least)" for n in RATIOS}
+_LIMITS = ", ".join(f"max(case when ratio = '{n}' then {'0' if n in SEVERITY else 'q1 - 3 * greatest(q3 - q1, least)'} end) as low_{n}, max(case when ratio = '{n}' then {_HIGH[n]} end) as high_{n}" for n in RATIOS)
+_USUAL = " and ".join(f"({_VALUES[n]} = 0 or {_VALUES[n]} between low_{n} and high_{n})" for n in RATIOS)
 _FIRST = "case when b < 64 then b else (b - (b // 32 - 1) * 32) << (b // 32 - 1) end"
+_WIDE = "case when b < 64 then 1 else 1 << (b // 32 - 1) end"
 ORACLE_SQL = {
     "op2_quality_rules": f"""
 with words as materialized (
@@ -197,8 +213,8 @@ blended as (
     select sizes.lang, sizes.source, sizes.ratio, merged.b, coalesce(own.n, 0) * whole + {PRIOR} * merged.n as n, whole * (total + {PRIOR}) as total
     from sizes join totals using (lang, ratio) join merged using (lang, ratio)
     left join own on own.lang = sizes.lang and own.source = sizes.source and own.ratio = sizes.ratio and own.b = merged.b
-), summed as (select *, sum(n) over (partition by lang, source, ratio order by b) as cum from blended),
-quarters as (select lang, source, ratio, min(case when 4 * cum >= total then {_FIRST} end) as q1, min(case when 4 * cum >= 3 * total then {_FIRST} end) as q3 from summed group by all),
+), summed as (select *, sum(n) over (partition by lang, source, ratio order by b) as cum, sum(n) over (partition by lang, source, ratio) as above from blended where b > 0),
+quarters as (select lang, source, ratio, min(above) as above, min(total) as total, min(case when 4 * cum >= above then {_FIRST} end) as q1, min(case when 4 * cum >= 3 * above then {_FIRST} end) as q3, min(case when 4 * cum >= 3 * above then {_WIDE} end) as least from summed group by all),
 limits as (select lang, source, {_LIMITS} from quarters group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(not base_failed and {_USUAL}, false) as kept
 from judged left join limits using (lang, source)

@@ -129,10 +129,12 @@ def spans(text: str) -> list[Span]:
                 added.add(("iban", m.start(), m.end()))
     for kind, pattern in (("ssn", SSN), ("account", ACCOUNT)):
         for i in at.get(kind, ()):
+            if i and text[i - 1].isalpha():
+                continue  # in the middle of a word, whose run of letters is walked from its start if at all
             end = i
             while end < len(text) and (text[end].isalpha() or kind == "ssn" and text[end] == " " and end - i < 16):
                 end += 1
-            if (i == 0 or not text[i - 1].isalpha()) and (m := pattern.match(text, end)):
+            if m := pattern.match(text, end):
                 added.add((kind, m.start(1), m.end(1)))
     over = 0
     for i in at.get("secret", ()):

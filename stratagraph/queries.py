@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .core import stored
 from .functions import scoring, text, uri
 from .operators import link, lookup, search, stats, tables, traverse
-from .plans import changing, patterns, sourcetree
+from .plans import changing, indexed, patterns, sourcetree
 from .plans.project import SQL, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,8 +645,8 @@ def r02_incremental_state(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | patterns.queries() | sourcetree.queries() | changing.queries()
+    return QUERIES | patterns.queries() | sourcetree.queries() | changing.queries() | indexed.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | patterns.oracle_sql() | sourcetree.oracle_sql() | changing.oracle_sql(_LINK)
+    return ORACLE | patterns.oracle_sql() | sourcetree.oracle_sql() | changing.oracle_sql(_LINK) | indexed.oracle_sql()

@@ -193,7 +193,21 @@ def may_link(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarra
     return 100 * shared >= percent * (a_size + b_size - shared)
 
 
-def nodes_of(docs: DataFrame, plan: Plan, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def marks_of(data: bytes, bits: int = 64) -> tuple[int, int]:
+    """Two fingerprints of a set, the first of ``bits`` bits."""
+    return xxhash.xxh3_64_intdigest(data) & ((1 << bits) - 1), xxhash.xxh3_64_intdigest(data, seed=1)
+
+
+def told_apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """Rows (sig, sig2, ...) in which different sets of one first fingerprint, should there be any (``clashes``: sig
+    and its smallest sig2), have nodes of their own."""
+    if clashes is None:
+        return rows
+    own = F.col("least").isNotNull() & (F.col("sig2") != F.col("least"))
+    return rows.join(clashes, "sig", "left").withColumn("sig", F.when(own, F.xxhash64("sig", "sig2")).otherwise(F.col("sig"))).select(rows.columns)
+
+
+def nodes_of(docs: DataFrame, plan: Plan, n: int, key: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
     """(``key``, n_shingles, sig, sig2, text_hash, lists, sketch): lists and sketch are given once a task for
     equal sets, by a row whose key is not null."""
     kind = docs.schema[key].dataType.simpleString()
@@ -202,17 +216,17 @@ def nodes_of(docs: DataFrame, plan: Plan, n: int, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan(percent, boundary, counts.value)
-        seen: set[int] = set()
+        seen: set[tuple[int, int] | None] = set()
         for batch in slices(batches, "text"):
             sizes, marks, checks, lists, sketches = [], [], [], [], []
             for known, t in zip(batch.column("key").is_valid().to_pylist(), batch.column("text").to_pylist()):
                 items = shingles(t, n)
                 data = items.tobytes()
-                mark = xxhash.xxh3_64_intdigest(data) if len(items) else None
+                mark = marks_of(data, bits) if len(items) else None
                 fresh = known and len(items) and mark not in seen
                 sizes.append(len(items))
-                marks.append(mark)
-                checks.append(xxhash.xxh3_64_intdigest(data, seed=1) if len(items) else None)
+                marks.append(mark and mark[0])
+                checks.append(mark and mark[1])
                 lists.append(plan.keys(items).view(np.int64) if fresh else np.empty(0, np.int64))
                 sketches.append(sketch(items) if fresh else None)
                 if known:
@@ -284,27 +298,28 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out.ravel()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str, clashes: DataFrame | None = None, bits: int = 64) -> DataFrame:
     """(sig, items): the sets of the nodes in ``wanted`` (sig, rep), read again from their texts. Up to
     ``FILTER_BITS`` / 8 of them pass by a filter of fixed size, a few others with them, for which no
     join asks; more are found by a semi-join that moves texts."""
     spark = docs.sparkSession
     known = docs.filter(F.col(key).isNotNull()).select(F.col(text).alias("text"), F.col(key).alias("key"))
     few = wanted.count() <= FILTER_BITS // 8
-    bits = spark.sparkContext.broadcast(id_filter(wanted, "rep") if few else None)
+    passing = spark.sparkContext.broadcast(id_filter(wanted, "rep") if few else None)
     placed = known.select("text", F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).alias("at")) if few else known.join(wanted.select(F.col("rep").alias("key")), "key", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if few:
                 at = batch.column("at").to_numpy()
-                batch = batch.take(pa.array(np.flatnonzero(bits.value[at >> 3] >> (7 - (at & 7)) & 1)))
+                batch = batch.take(pa.array(np.flatnonzero(passing.value[at >> 3] >> (7 - (at & 7)) & 1)))
             for part in slices([batch]):
                 data = [shingles(t, n).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([signed([xxhash.xxh3_64_intdigest(x) for x in data]), pa.array(data, pa.binary())], names=["sig", "items"])
+                first, second = zip(*(marks_of(x, bits) for x in data)) if data else ((), ())
+                yield pa.RecordBatch.from_arrays([signed(list(first)), signed(list(second)), pa.array(data, pa.binary())], names=["sig", "sig2", "items"])
         release()
 
-    return placed.mapInArrow(run, "sig long, items binary")
+    return told_apart(placed.mapInArrow(run, "sig long, sig2 long, items binary"), clashes).select("sig", "items")
 
 
 def compatible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -441,7 +456,7 @@ def merged_lists(rows: DataFrame) -> DataFrame:
     return kept.join(unions, "list", "left").select(F.coalesce("component", "list").alias("list"), "node").distinct()
 
 
-def linked_components(docs: DataFrame, lists: DataFrame, places: DataFrame, sketches: DataFrame, reps: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+def linked_components(docs: DataFrame, lists: DataFrame, places: DataFrame, sketches: DataFrame, reps: DataFrame, n: int, percent: int, key: str, text: str, clashes: DataFrame | None = None, bits: int = 64) -> DataFrame:
     """(sig, component) of all nodes with a link, from the lists (list, node).
 
     ``places`` (node, n) tells how many lists found a node; the hub of a list is its member with most:
@@ -451,7 +466,7 @@ def linked_components(docs: DataFrame, lists: DataFrame, places: DataFrame, sket
 
     def sets(nodes: DataFrame) -> DataFrame:
         wanted = materialize(nodes.select(F.col("node").alias("sig")).distinct().join(reps, "sig"), "wanted")
-        return materialize(sets_of(docs, wanted, n, key, text), "sets")
+        return materialize(sets_of(docs, wanted, n, key, text, clashes, bits), "sets")
 
     hubs = lists.join(places.withColumnRenamed("n", "w"), "node").groupBy("list").agg(F.max(F.struct("w", "node")).alias("hub")).select("list", F.col("hub.node").alias("hub"))
     met = materialize(lists.join(hubs, "list").filter("node <> hub"), "met")
@@ -472,32 +487,39 @@ def linked_components(docs: DataFrame, lists: DataFrame, places: DataFrame, sket
     return connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "sig")
 
 
-def components_of(docs: DataFrame, n: int, percent: int, key: str, text: str, boundary: int | None) -> DataFrame:
-    """(key, n_shingles, sig, text_hash, group, component_id) of every row; a group is null for empty sets."""
+def components_of(docs: DataFrame, n: int, percent: int, key: str, text: str, boundary: int | None, bits: int = 64) -> DataFrame:
+    """(key, n_shingles, sig, text_hash, group, component_id) of every row; a group is null for empty sets.
+
+    Sets are known by a fingerprint of ``bits`` bits; where two different sets share one (a second fingerprint
+    shows it), they get nodes of their own.
+    """
     spark = docs.sparkSession
     if boundary is None:
         boundary = choose_boundary(small_sizes(docs, n, text), percent)
-    nodes = materialize(nodes_of(docs, Plan(percent, boundary, frequencies(docs, n, text)), n, key, text), "nodes")
+    nodes = materialize(nodes_of(docs, Plan(percent, boundary, frequencies(docs, n, text)), n, key, text, bits), "nodes")
+    held = nodes.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("sig2").alias("least"), F.max("sig2").alias("most"))
+    clashes: DataFrame | None = materialize(held.filter("least <> most").select("sig", "least"), "clashes")
+    if clashes.isEmpty():
+        clashes = None
+    nodes = told_apart(nodes, clashes)
     known = nodes.filter(F.col("key").isNotNull() & F.col("sig").isNotNull())
     entries = known.select("sig", F.col("n_shingles").cast("int").alias("size"), F.explode("lists").alias("list"))
     members = members_of(materialize(scan(entries, shuffle_width(spark), percent), "scanned"))
     lists = materialize(merged_lists(members), "lists")
     places = members.groupBy("node").agg(F.count("*").alias("n"))
-    reps = known.groupBy("sig").agg(F.min("key").alias("rep"), F.min("sig2").alias("lo"), F.max("sig2").alias("hi"))
-    # Two different sets of one fingerprint would show in the second one.
-    reps = materialize(reps.select("sig", F.when(F.col("lo") == F.col("hi"), F.col("rep")).otherwise(F.raise_error(F.lit("two sets have one fingerprint")).cast(docs.schema[key].dataType)).alias("rep")), "reps")
+    reps = materialize(known.groupBy("sig").agg(F.min("key").alias("rep")), "reps")
     in_lists = lists.select(F.col("node").alias("sig")).distinct()
     sketches = materialize(known.filter("sketch is not null").select("sig", F.col("n_shingles").alias("size"), "sketch").join(in_lists, "sig", "left_semi").groupBy("sig").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
-    parts = materialize(linked_components(docs, lists, places, sketches, reps, n, percent, key, text), "parts")
+    parts = materialize(linked_components(docs, lists, places, sketches, reps, n, percent, key, text, clashes, bits), "parts")
     named = parts.join(reps, "sig")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = reps.join(named.join(least, "component").select("sig", "component", "component_id"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
     return nodes.select("key", "n_shingles", "sig", "text_hash").join(of, "sig", "left").withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")))
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", boundary: int | None = None) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", boundary: int | None = None, bits: int = 64) -> DataFrame:
     """``key``, n_shingles, component_id (smallest key reachable by links) for every row."""
-    return components_of(docs, n, percent, key, text, boundary).select(F.col("key").alias(key), "n_shingles", "component_id")
+    return components_of(docs, n, percent, key, text, boundary, bits).select(F.col("key").alias(key), "n_shingles", "component_id")
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -97,6 +97,38 @@ def impact(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     return start.select("uri").limit(0).select("uri", F.lit(0).alias("depth"), F.lit("").alias("edge_kind"), F.lit(0.0).alias("confidence"), F.lit("").alias("via"))
 
 
+def impact_all(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
+    """(start, uri, depth): who depends on each of many ``starts`` (uri), at its least depth; starts of their own
+    are left out. A depth of 0 counts as 1.
+
+    Sixty-four starts share a word: a row of the frontier is a node and a word, its bits the starts that
+    reached the node on this level. A level is one join with the edges; bits that meet in a node are or-ed
+    by an aggregate that begins before anything moves, and what earlier levels reached is taken off in the
+    same aggregate. Starts and nodes become pairs only in the result.
+    """
+    own = edges.filter(F.col("kind").isin(*DEPENDENCY_KINDS)).select(F.col("to_uri").alias("uri"), F.col("from_uri").alias("next")).distinct()
+    number = F.monotonically_increasing_id()
+    named = stored(starts.select("uri").distinct().withColumn("number", number))
+    named = named.select(F.col("uri").alias("start"), F.shiftright("number", 6).alias("word"), F.col("number").bitwiseAND(63).cast("int").alias("bit"))
+    mask = F.expr("shiftleft(1L, bit)")
+    frontier = stored(named.select(F.col("start").alias("uri"), "word", mask.alias("bits")).groupBy("uri", "word").agg(F.bit_or("bits").alias("bits")))
+    seen, found = frontier, None
+    own = stored(own)
+    for level in range(1, max(depth, 1) + 1):
+        steps = frontier.join(own, "uri").select(F.col("next").alias("uri"), "word", "bits", F.lit(0).cast("bigint").alias("old"))
+        both = steps.unionByName(seen.select("uri", "word", F.lit(0).cast("bigint").alias("bits"), F.col("bits").alias("old")))
+        met = both.groupBy("uri", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
+        new = stored(met.select("uri", "word", F.col("bits").bitwiseAND(F.bitwise_not("old")).alias("bits")).filter("bits <> 0"))
+        if new.isEmpty():
+            break
+        rows = new.withColumn("depth", F.lit(level))
+        found = rows if found is None else found.unionByName(rows)
+        seen, frontier = seen.unionByName(new), new
+    if found is None:
+        return named.limit(0).select("start", F.col("start").alias("uri"), F.lit(0).alias("depth"))
+    return found.select("uri", "word", "depth", F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(bits, i) & 1 = 1)")).alias("bit")).join(named, ["word", "bit"]).select("start", "uri", "depth")
+
+
 def impact_report(symbols: DataFrame, edges: DataFrame, uri: str, depth: int = 3) -> DataFrame:
     start = symbols.sparkSession.createDataFrame([(uri,)], "uri string")
     found = impact(edges, start, depth).join(symbols, "uri")

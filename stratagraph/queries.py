@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .core import stored
 from .functions import scoring, text, uri
-from .operators import link, lookup, search, stats, tables, traverse
+from .operators import intervals, link, lookup, search, stats, tables, traverse
 from .plans import changing, indexed, patterns, sourcetree
 from .plans.project import SQL, Tables
 
@@ -401,6 +401,7 @@ _SCOPES = "with recursive scopes as (select 0::bigint as scope_id, null::bigint
 
 walked("g14_scope_chain", _SCOPES + "select scope_id, ancestor, distance::integer as distance from chain", lambda t: traverse.scope_chain(_scopes(t)))
 walked("g15_lexical_lookup", _SCOPES + "select scope_id, name, uri, distance::integer as distance from found where r = 1", lambda t: traverse.lexical_lookup(_scopes(t), _definitions(t), _scopes(t).select("scope_id").crossJoin(t.spark.createDataFrame([("here",), ("wide",), ("deep",)], "name string"))))
+walked("g15_lexical_by_intervals", _SCOPES + "select scope_id, name, uri, distance::integer as distance from found where r = 1", lambda t: intervals.lexical_lookup(intervals.interval_labels(_scopes(t)), _definitions(t), _scopes(t).select("scope_id").crossJoin(t.spark.createDataFrame([("here",), ("wide",), ("deep",)], "name string"))))
 walked("g16_definitions_in_scope", _SCOPES + "select name, uri from defs where scope_id = 100", lambda t: traverse.definitions_in(_definitions(t), 100).select("name", "uri"))
 
 # Linking --------------------------------------------------------------------------------------

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import afresh, folded, held, materialize, release, shuffle_width, slices, table
+from .common import afresh, folded, held, materialize, release, shuffle_width, slices, table, trim
 from .components import connected_components
 
 #: Sizes up to which a boundary is considered.
@@ -271,6 +271,7 @@ def scan(entries: DataFrame, width: int, percent: int) -> DataFrame:
             own = ~start
             carry = (k[-1], size[-1], s[-1], pivot[-1], name[-1])
             yield pa.RecordBatch.from_arrays([pa.array(name[own]), pa.array(pivot[own]), pa.array(s[own])], names=["list", "pivot", "member"])
+        trim()
 
     return entries.select("list", "size", "sig").repartition(width, "list").sortWithinPartitions("list", "size", "sig").mapInArrow(run, "list long, pivot long, member long")
 
@@ -331,6 +332,7 @@ def compatible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BLOCKS) for c in ("x", "y"))
             ok = may_link(x, batch.column("x_size").to_numpy(), y, batch.column("y_size").to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
+        trim()
 
     of = lambda node, name: sketches.select(F.col("sig").alias(node), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(name))
     return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "x_size", "y", "y_size").mapInArrow(run, "a long, b long")
@@ -353,6 +355,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if 100 * shared >= percent * (len(a) + len(b) - shared):
                     ok.append(k)
             yield pa.RecordBatch.from_arrays([c.take(pa.array(ok, pa.int64())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
+        trim()
 
     one = pairs.join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
     both = one.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
@@ -383,6 +386,8 @@ def tile_partners(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFra
             near = near[may_link(marks[near], size[near], marks[x], size[x], percent)]
             good[near] = True
             good[x] |= len(near) > 0
+        if len(pdf) > TILE:
+            trim()
         return pd.DataFrame({"list": pdf["list"].to_numpy()[good], "node": pdf["node"].to_numpy()[good]})
 
     return tiles_of(rows, sketches).groupBy("list", "i", "j").applyInPandas(compare, "list long, node long").distinct()
@@ -429,6 +434,9 @@ def tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if u != v:
                 parent[max(u, v)] = min(u, v)
                 out.append((node[x], node[y]))
+        if len(pdf) > TILE:
+            del pdf, sets_, items, code, owner, shared, ok
+            trim()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return tiles.groupBy("list", "i", "j").applyInPandas(compare, "a long, b long")

@@ -51,16 +51,18 @@ def search(symbols: DataFrame, embeddings: DataFrame | None, query: str, embed=N
     Where there are no vectors ``fill`` makes them. Without a query vector (none can be made, or
     making it fails) or without any vectors the search is by words: ``fallback_exact``.
     """
+    vector = None
     if not exact and query.strip() and embed is not None:
         try:
             vector = embed(query)
-            held = embeddings
-            if (held is None or held.isEmpty()) and fill is not None:
-                held = fill()
-            if held is not None and not held.isEmpty():
-                return "vector", search_vector(symbols, held, vector, limit)
         except Exception as problem:  # a model that cannot be reached must not end a search
             warnings.warn(f"search by words, since embedding failed: {problem}", stacklevel=2)
+    if vector is not None:
+        held = embeddings
+        if (held is None or held.isEmpty()) and fill is not None:
+            held = fill()
+        if held is not None and not held.isEmpty():
+            return "vector", search_vector(symbols, held, vector, limit)
     mode = "exact" if exact or not query.strip() else "fallback_exact"
     return mode, search_content(symbols, query, kind, limit).withColumn("score", F.lit(1.0))
 

@@ -51,8 +51,8 @@ class Tables:
         d = self("documents").select(name.alias("name"), path.alias("path"), line.alias("line"), F.col("text").alias("content"))
         return d.select(build(REPO, F.col("path"), F.lit("document"), F.col("name"), F.col("line")).alias("uri"), F.lit("document").alias("kind"), "name", "path", F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("signature"), "content")
 
-    def _first_items(self) -> DataFrame:
-        return self("orders").join(self("lineitem").filter("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
+    def _items(self) -> DataFrame:
+        return self("orders").join(self("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
 
     def edges(self) -> DataFrame:
         k = self._keyed().select("t", "key", "uri")
@@ -60,7 +60,7 @@ class Tables:
         link = lambda df, a, b: df.join(of(a[0], "from_uri"), F.col(a[1]) == F.col("from_uri_key")).join(of(b[0], "to_uri"), F.col(b[1]) == F.col("to_uri_key"))
         row = lambda df, kind, confidence: df.select("from_uri", "to_uri", F.lit(kind).alias("kind"), confidence.cast("double").alias("confidence"), F.lit("static").alias("resolution_mode"))
         one = F.lit(1.0)
-        items = self._first_items()
+        items = self._items()
         status = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.9).otherwise(0.7)
         ordered = items.groupBy("o_custkey", "l_suppkey").agg(F.max(status).alias("c"))
         supplier = self("supplier")
@@ -133,7 +133,7 @@ with keyed as (
 ), docs as (
   select 'codescope://tpch/docs/' || source || '.md#document:doc_' || doc_id || '@' || (doc_id + 1) as uri, 'document' as kind, 'doc_' || doc_id as name, 'docs/' || source || '.md' as path,
          cast(doc_id + 1 as integer) as line_start, cast(doc_id + 1 as integer) as line_end, cast(null as varchar) as doc, cast(null as varchar) as signature, text as content from documents
-), items as (select * from orders join lineitem on o_orderkey = l_orderkey and l_linenumber = 1),
+), items as (select * from orders join lineitem on o_orderkey = l_orderkey),
 edges as (
   select f.uri as from_uri, g.uri as to_uri, e.kind, cast(e.c as double) as confidence, 'static' as resolution_mode from (
     select 'region' as a, n_regionkey as x, 'nation' as b, n_nationkey as y, 'defines' as kind, 1.0 as c from nation

@@ -215,11 +215,14 @@ def x10_brace_imports(t):
     return adapters.extract(brace_files(t), "tpch")["imports"].select("file_path", "alias", "target_namespace", "line")
 
 
-@query("select 'd/' || doc_id as path, 'document' as kind, cast(doc_id as varchar) as name, 1 as line_start, cast(1 + length(text) - length(replace(text, chr(10), '')) as integer) as line_end, text as content from documents where strlen(text) <= 1000 and regexp_matches(text, '[^\\s]')")
-def x12_small_documents(t):
-    """A document without an adapter is chunked; up to the chunk size it is one chunk."""
-    d = t("documents").filter("octet_length(text) <= 1000").select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.col("text").alias("content"))
-    return adapters.extract(d, "tpch")["symbols"].select("path", "kind", "name", "line_start", "line_end", "content")
+@query("select 'd/' || doc_id as path, 1 as first_line, case when strlen(text) <= 1000 then 1::bigint end as pieces, case when strlen(text) <= 1000 then cast(1 + length(text) - length(replace(text, chr(10), '')) as integer) end as last_line from documents where regexp_matches(text, '[^\\s]')")
+def x12_documents(t):
+    """Documents without an adapter are chunked, whole; those up to the chunk size are one chunk, and SQL
+    can say so (how longer ones are cut is tested by itself)."""
+    d = t("documents").select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.col("text").alias("content"))
+    found = adapters.extract(d, "tpch")["symbols"].groupBy("path").agg(F.min("line_start").alias("first_line"), F.count("*").alias("n"), F.max("line_end").alias("last"))
+    small = F.octet_length("content") <= 1000
+    return d.join(found, "path").select("path", "first_line", F.when(small, F.col("n")).alias("pieces"), F.when(small, F.col("last")).alias("last_line"))
 
 
 @query("select path, e in ('yaml', 'sql', 'md', 'TF', 'env', 'Gradle') as document from (select 'a.b/f' || p_partkey || '.' || e as path, e from (select p_partkey, list_extract(['yaml', 'sql', 'md', 'TF', 'env', 'Gradle', 'py', 'css'], cast(p_partkey % 8 + 1 as integer)) as e from part))")

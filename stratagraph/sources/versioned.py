@@ -62,14 +62,21 @@ class Log:
         place, files = self._place(folder)
         return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
 
+    def numbers(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self.names(self.root) if n.endswith(".json") and n[:-5].isdigit())
+
     def last(self) -> int:
-        return max((int(n[:-5]) for n in self.names(self.root) if n.endswith(".json") and n[:-5].isdigit()), default=0)
+        return max(self.numbers(), default=0)
+
+    def remove(self, path: str) -> None:
+        place, files = self._place(path)
+        files.delete(place, True)
 
-    def _path(self, number: int) -> str:
+    def path(self, number: int) -> str:
         return f"{self.root}/{number:012d}.json"
 
     def read(self, number: int) -> dict:
-        place, files = self._place(self._path(number))
+        place, files = self._place(self.path(number))
         stream = files.open(place)
         try:
             return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -84,7 +91,7 @@ class Log:
             stream.write(bytearray(json.dumps(value).encode()))
         finally:
             stream.close()
-        draft, target = files.makeQualified(draft), files.makeQualified(self._place(self._path(number))[0])
+        draft, target = files.makeQualified(draft), files.makeQualified(self._place(self.path(number))[0])
         try:
             if target.toUri().getScheme() == "file":
                 # A rename on a local disk replaces what is there; a hard link does not.
@@ -249,6 +256,8 @@ class VersionedTables:
         them was replaced as a whole."""
         now, _ = self.state()
         paths: list[DataFrame] = []
+        if max(since, 1) < min(self.log.numbers(), default=1):
+            return None
         for number in range(since + 1, now + 1):
             state = self.log.read(number)
             if any(state["touched"].get(name, ()) is None for name in names):
@@ -309,6 +318,20 @@ class VersionedTables:
             change.commit()
         return merged
 
+    def vacuum(self, keep: int = 10) -> int:
+        """Remove what only versions before the last ``keep`` hold; how many folders went. Those versions can no
+        longer be read. What writers have not committed yet is named by no version and stays."""
+        now = self.log.last()
+        old = [n for n in self.log.numbers() if n <= now - max(keep, 1)]
+        held = lambda n: {(name, tx) for name, own in self.log.read(n)["tables"].items() for tx in own}
+        gone = set().union(*map(held, old)) - set().union(*map(held, range(max(now - max(keep, 1), 0) + 1, now + 1))) if old else set()
+        # Versions go first, so that no reader finds one whose folders are gone.
+        for n in old:
+            self.log.remove(self.log.path(n))
+        for name, tx in gone:
+            self.log.remove(f"{self.root}/{name}/tx={tx}")
+        return len(gone)
+
     def written(self, version: int) -> dict[str, list[str]]:
         """Folders that a version brought, by table."""
         state = self.log.read(version)

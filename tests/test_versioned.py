@@ -126,3 +126,19 @@ def test_tables_of_a_group(spark, tmp_path):
     store.begin().overwrite("u", rows(spark, 7, 8, 5)).commit()
     assert got("u") == {"f7": 5} and got("t") == want["t"] and store.changed(["t", "u"], one) is None
     assert sorted(r[0] for r in store.changed(["t"], one).collect()) == ["f1", "f2"]
+
+
+def test_old_versions_go(spark, tmp_path):
+    store = VersionedTables(spark, str(tmp_path), 8, SCHEMA)
+    for v in range(5):
+        store.begin().replace(rows(spark, v, v + 2, 0).select("owner"), t=rows(spark, v, v + 2, v)).commit()
+    pending = store.begin().replace(rows(spark, 9, 10, 0).select("owner"), t=rows(spark, 9, 10, 9))
+    store.compact(2)
+    before, want = len(files_of(tmp_path)), held(store)
+    assert store.vacuum(1) > 0 and len(files_of(tmp_path)) < before and held(store) == want == {f"f{k}": min(k, 4) for k in range(6)}
+    assert store.vacuum(1) == 0 and store.changed(["t"], 2) is None and store.changed(["t"], store.log.last()).count() == 0
+    with pytest.raises(Exception):
+        store.load("t", 2)
+    if store.log.last() == 5:
+        pending.commit()
+        assert held(store)["f9"] == 9

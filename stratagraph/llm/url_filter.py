@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -66,21 +66,45 @@ def apply_rules(urls: DataFrame, rules: Iterable[tuple[str, str, str]]) -> DataF
     return urls.join(won.select("row", "won.rule", "won.rule_verdict"), "row", "left")
 
 
+def plain_text(link: Column) -> Column:
+    """A link with its entities undone: numeric ones of ASCII characters, and the five that any markup has."""
+    found = F.array_distinct(F.regexp_extract_all(link, F.lit(r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0)))
+    code = lambda e: F.when(F.lower(e).startswith("&#x"), F.conv(F.regexp_extract(e, r"[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("int")).otherwise(F.regexp_extract(e, r"([0-9]+)", 1).cast("int"))
+    out = F.aggregate(found, link, lambda text, e: F.when(code(e).between(1, 127), F.replace(text, e, F.char(code(e)))).otherwise(text))
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return F.trim(out)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    parts = F.split(F.regexp_replace(path, r"\A/", ""), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(\A|/)\.\.?(/|\z)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Alias edges (src, dst) that pages declare: canonical links and meta refreshes."""
+    """Alias edges (src, dst) that pages declare: canonical links and meta refreshes. Links are taken by the rules
+    of URLs: relative to the page's folder, its path (those of a query alone) or itself (those of a fragment
+    alone, which tie nothing), with dot segments removed; schemes without a host tie nothing."""
     tag = lambda text, mark, part: F.transform(F.regexp_extract_all(text, F.lit(mark), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
     canonical = tag(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
     refresh = tag(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
     marked = pages.filter(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("from_url"), F.explode(F.concat(canonical, refresh)).alias("link")).filter("link <> ''")
-    found = parsed(marked.withColumn("link", F.regexp_replace("link", "&amp;", "&")), "from_url", "from_")
+    found = parsed(marked.withColumn("link", plain_text(F.col("link"))).filter("link <> '' and not startswith(link, '#')"), "from_url", "from_")
     base = found.withColumn("scheme", F.concat(F.substring_index("from_url", "://", 1), F.lit("://"))).withColumn("folder", F.regexp_extract("from_path", r"(?s)\A.*/", 0))
     absolute = (
-        F.when(F.col("link").rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), F.col("link"))
+        F.when(F.col("link").rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), F.col("link"))
         .when(F.startswith("link", F.lit("//")), F.concat(F.substring_index("scheme", "//", 1), "link"))
         .when(F.startswith("link", F.lit("/")), F.concat("scheme", "from_host", "link"))
+        .when(F.startswith("link", F.lit("?")), F.concat("scheme", "from_host", "from_path", "link"))
         .otherwise(F.concat("scheme", "from_host", F.when(F.col("folder") == "", F.lit("/")).otherwise(F.col("folder")), "link"))
     )
-    return parsed(base.select("from_node", absolute.alias("to_url")), "to_url", "to_").select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"))
+    pieces = [F.regexp_extract("whole", r"(?s)\A([^:/?#]+://[^/?#]*)([^?#]*)(.*)", k) for k in (1, 2, 3)]
+    there = base.select("from_node", absolute.alias("whole")).filter(F.col("whole").contains("://")).select("from_node", *[p.alias(n) for p, n in zip(pieces, ("head", "middle", "tail"))])
+    return parsed(there.select("from_node", F.concat("head", without_dots(F.col("middle")), "tail").alias("to_url")), "to_url", "to_").select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"))
 
 
 def url_links(redirects: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..core import stored
 from .project import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,7 +127,17 @@ def c12_json_aggregate(r):
 
 @pattern("with recursive t(key, depth) as (select 0::bigint, 0 union all select p_partkey, depth + 1 from part join t on p_partkey // 2 = key and p_partkey > 0) select key, depth::integer as depth from t")
 def c13_recursive_hierarchy(r):
-    return r.view("part").sql("with recursive t(key, depth) as (select 0L, 0 union all select p_partkey, depth + 1 from part join t on p_partkey div 2 = key and p_partkey > 0) select key, depth from t")
+    """Level by level: each is one join of the level before with the rows, and is stored. Of a row that stands
+    twice both stay, as in a union of all."""
+    rows = stored(r.part.filter("p_partkey > 0").select(F.col("p_partkey").cast("bigint").alias("next"), F.expr("p_partkey div 2").alias("key")))
+    level = r.spark.range(1).select(F.col("id").alias("key"), F.lit(0).alias("depth"))
+    found, depth = level, 0
+    while True:
+        depth += 1
+        level = stored(level.select("key").join(rows, "key").select(F.col("next").alias("key"), F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level)
 
 
 @pattern("select distinct on (o_custkey) o_custkey, o_orderkey from orders order by o_custkey, o_orderdate desc, o_orderkey desc")

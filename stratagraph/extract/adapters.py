@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import SCHEMAS, stored
+from ..core import ARROW_BYTES, SCHEMAS, bounded_batches, release, stored
 from . import braces, chunker, python_source
 from .model import Extraction, Registry
 
@@ -37,15 +37,23 @@ def extract(files: DataFrame, repo: str, registry: Registry | None = None) -> di
     """symbols, edges, references and imports of files (path, content). Each file is parsed once,
     on an executor; rows of one symbol written twice are one."""
     registry = registry or default_registry()
+    bounded_batches(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = lambda rows: pd.DataFrame(rows, columns=["tab", "row"])
         for frame in frames:
-            rows = []
+            rows, size = [], 0
             for path, content in zip(frame["path"], frame["content"]):
                 found = registry.parse(repo, path, content or "", chunk_file)
                 for table in ("symbols", "edges", "references", "imports"):
-                    rows += [(table, json.dumps(r)) for r in getattr(found, table)]
-            yield pd.DataFrame(rows, columns=["tab", "row"])
+                    for r in getattr(found, table):
+                        rows.append((table, json.dumps(r)))
+                        size += len(rows[-1][1])
+                        if size >= ARROW_BYTES:
+                            yield made(rows)
+                            rows, size = [], 0
+            yield made(rows)
+        release()
 
     # Stored, since four tables are read from it.
     rows = stored(files.select("path", "content").mapInPandas(run, "tab string, row string"))

@@ -221,8 +221,9 @@ def x12_documents(t):
     can say so (how longer ones are cut is tested by itself)."""
     d = t("documents").select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.col("text").alias("content"))
     found = adapters.extract(d, "tpch")["symbols"].groupBy("path").agg(F.min("line_start").alias("first_line"), F.count("*").alias("n"), F.max("line_end").alias("last"))
-    small = F.octet_length("content") <= 1000
-    return d.join(found, "path").select("path", "first_line", F.when(small, F.col("n")).alias("pieces"), F.when(small, F.col("last")).alias("last_line"))
+    # Of the texts only their size is joined.
+    sizes = d.select("path", (F.octet_length("content") <= 1000).alias("small"))
+    return sizes.join(found, "path").select("path", "first_line", F.when(F.col("small"), F.col("n")).alias("pieces"), F.when(F.col("small"), F.col("last")).alias("last_line"))
 
 
 @query("select path, e in ('yaml', 'sql', 'md', 'TF', 'env', 'Gradle') as document from (select 'a.b/f' || p_partkey || '.' || e as path, e from (select p_partkey, list_extract(['yaml', 'sql', 'md', 'TF', 'env', 'Gradle', 'py', 'css'], cast(p_partkey % 8 + 1 as integer)) as e from part))")

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import bounded_batches, release
+
 WIDTH = 128
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 
@@ -32,9 +34,15 @@ def hash_embed(texts: list[str], width: int = WIDTH) -> np.ndarray:
 
 
 def embed_column(text: str, provider: Callable[[list[str]], np.ndarray] = hash_embed) -> Column:
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        bounded_batches(session)
+
     @F.pandas_udf("array<float>")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series(list(provider([v or "" for v in values])))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            yield pd.Series(list(provider([v or "" for v in values])))
+        release()
 
     return run(F.col(text))
 

@@ -35,5 +35,7 @@ def outcome_counts(resolved: DataFrame, column: str = "outcome") -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.col("from_uri").alias("uri"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("to_uri").alias("uri"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    # Edges are read once; both ends of each leave it together.
+    end = lambda column, o, i: F.struct(F.col(column).alias("uri"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = edges.select(F.explode(F.array(end("from_uri", 1, 0), end("to_uri", 0, 1))).alias("e")).select("e.*")
     return ends.groupBy("uri").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))

@@ -9,6 +9,8 @@ pair by pair, so a score does not depend on the cell it was found in.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -64,18 +66,29 @@ def top_pairs(left: DataFrame, right: DataFrame, most: int, threshold: float) ->
 
 #: Rows of both sides, about, that share a cell of light keys.
 CELL_ROWS = 16_384
+#: Rows of either side of a key, about, in a cell of its own, and scores of it that are held at a time.
+KEY_ROWS, STRIP = 16 * LEFT_ROWS, 1 << 22
+
+
+def _by_width(column: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Where vectors of each length stand, the vectors and their norms; null and empty ones are left out."""
+    widths = np.array([-1 if v is None else len(v) for v in column])
+    return {w: (np.flatnonzero(widths == w), *_matrix(column[widths == w])) for w in set(widths) - {-1, 0}}
 
 
-def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Cosine of every row of ``a`` with every row of ``b``; 0 where there is none. Vectors of each length apart."""
-    out = np.zeros((len(a), len(b)))
-    widths = [np.array([-1 if v is None else len(v) for v in side]) for side in (a, b)]
-    for w in set(widths[0]) & set(widths[1]) - {-1, 0}:
-        i, j = (np.flatnonzero(x == w) for x in widths)
-        (x, x_norm), (y, y_norm) = _matrix(a.iloc[i]), _matrix(b.iloc[j])
-        both = x_norm[:, None] * y_norm[None, :]
-        out[np.ix_(i, j)] = np.divide(x @ y.T, both, out=np.zeros_like(both), where=both > 0)
-    return out
+def _cosines(a: pd.Series, b: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
+    """Cosine of every row of ``a`` with every row of ``b``, some rows of ``a`` at a time (from which row on, and the
+    scores); 0 where there is none. Vectors of each length apart."""
+    left, right = _by_width(a), _by_width(b)
+    step = max(1, STRIP // max(1, len(b)))
+    for first in range(0, len(a), step):
+        out = np.zeros((min(step, len(a) - first), len(b)))
+        for w in left.keys() & right.keys():
+            (i, x, x_norm), (j, y, y_norm) = left[w], right[w]
+            own = slice(*np.searchsorted(i, (first, first + len(out))))
+            both = x_norm[own, None] * y_norm[None, :]
+            out[np.ix_(i[own] - first, j)] = np.divide(x[own] @ y.T, both, out=np.zeros_like(both), where=both > 0)
+        yield first, out
 
 
 def _best_of_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -85,31 +98,35 @@ def _best_of_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if key not in names:
             continue
         others = right.iloc[names[key]].sort_values("uri")
-        score = _cosines(left["left_vector"].iloc[own], others["right_vector"])
-        # Equal up to rounding counts as equal, and the first uri wins.
-        best = (score >= score.max(axis=1, keepdims=True) - MARGIN).argmax(axis=1)
-        uri = others["uri"].to_numpy()
-        out += [(i, uri[k], score[r, k]) for r, (i, k) in enumerate(zip(left["id"].to_numpy()[own], best))]
-    return pd.DataFrame(out, columns=["id", "uri", "score"])
+        uri, ids = others["uri"].to_numpy(), left["id"].to_numpy()[own]
+        for first, score in _cosines(left["left_vector"].iloc[own], others["right_vector"]):
+            # Equal up to rounding counts as equal, and the first uri wins.
+            best = (score >= score.max(axis=1, keepdims=True) - MARGIN).argmax(axis=1)
+            out.append(pd.DataFrame({"id": ids[first : first + len(best)], "uri": uri[best], "score": score[np.arange(len(best)), best]}))
+    return pd.concat(out) if out else pd.DataFrame([], columns=["id", "uri", "score"])
 
 
-def best_by_key(left: DataFrame, right: DataFrame) -> DataFrame:
+def best_by_key(left: DataFrame, right: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """(id, uri, score): for each row of ``left`` (key, id, vector) the row of ``right`` (key, uri, vector) of its key
     with the largest cosine, ties to the smaller uri.
 
     Candidates are held once for each key, never once for each row that may take them: a cell holds many
     keys with few rows or a part of one with many, both sides cut into pieces that meet in a grid. Scores
-    are a block product for each key of a cell, and one row for each id leaves it.
+    are a block product for each key of a cell, and one row for each id leaves it. Where rows share vectors,
+    ``left`` is (key, id, site) and ``vectors`` (site, vector); these meet when the rows are dealt already.
     """
     sizes = left.groupBy("key").agg(F.count("*").alias("n")).join(right.groupBy("key").agg(F.count("*").alias("m")), "key")
-    cut = sizes.select("key", F.ceil(F.col("n") / LEFT_ROWS).cast("int").alias("rows"), F.ceil(F.col("m") / RIGHT_ROWS).cast("int").alias("columns"))
+    cut = sizes.select("key", "n", "m", F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("rows"), F.ceil(F.col("m") / KEY_ROWS).cast("int").alias("columns"))
     cells = max(1, -(-(left.count() + right.count()) // CELL_ROWS))
-    place = F.when((F.col("rows") == 1) & (F.col("columns") == 1), F.pmod(F.xxhash64("key"), F.lit(cells))).otherwise(F.xxhash64("key", F.lit("own")))
-    a = left.select("key", "id", F.col("vector").alias("left_vector")).join(cut, "key").withColumn("cell", place)
+    place = F.when(F.col("n") + F.col("m") <= CELL_ROWS, F.pmod(F.xxhash64("key"), F.lit(cells))).otherwise(F.xxhash64("key", F.lit("own")))
+    what = F.col("vector").alias("left_vector") if vectors is None else F.col("site")
+    a = left.select("key", "id", what).join(cut, "key").withColumn("cell", place)
     b = right.select("key", "uri", F.col("vector").alias("right_vector")).join(cut, "key").withColumn("cell", place)
     a = a.withColumn("i", F.pmod(F.xxhash64("id"), F.col("rows"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("columns").cast("bigint") - 1)))
     b = b.withColumn("j", F.pmod(F.xxhash64("uri"), F.col("columns"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows").cast("bigint") - 1)))
-    cell = lambda df: df.drop("rows", "columns").groupBy("cell", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    if vectors is not None:
+        a = a.join(vectors.select("site", F.col("vector").alias("left_vector")), "site").drop("site")
+    cell = lambda df: df.drop("rows", "columns", "n", "m").groupBy("cell", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
     kind = left.schema["id"].dataType.simpleString()
     found = cell(a).cogroup(cell(b)).applyInPandas(_best_of_cell, f"id {kind}, uri string, score double")
     return found.groupBy("id").agg(F.min_by(F.struct("uri", "score"), F.struct((-F.col("score")).alias("s"), F.col("uri").alias("u"))).alias("b")).select("id", "b.uri", "b.score")

@@ -28,6 +28,8 @@ from .lookup import recent
 PART_ROWS, SLOTS, RAREST = 100_000, 64, 4
 #: Between the fields of a text; no gram across it says anything, and none is missed.
 BETWEEN = "\x00"
+#: Postings of a part a task holds before it gives them on, about.
+HELD_GRAMS = 1 << 21
 
 
 def grams_of(text: str) -> np.ndarray:
@@ -42,10 +44,10 @@ def pieces(word: str) -> list[str]:
 
 
 def _postings(texts: DataFrame) -> DataFrame:
-    """(gram, part, rows) from (part, row, text); one part at a time is held by a task."""
+    """(gram, part, rows) from (part, row, text); one part at a time, or a piece of it, is held by a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, grams, rows = None, [], []
+        part, grams, rows, held = None, [], [], 0
 
         def flushed() -> pa.RecordBatch:
             g, r = np.concatenate(grams), np.concatenate(rows)
@@ -57,14 +59,15 @@ def _postings(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for p, row, text in zip(*(batch.column(c).to_pylist() for c in ("part", "row", "text"))):
-                if p != part:
-                    if grams and sum(map(len, grams)):
+                if p != part or held > HELD_GRAMS:
+                    if held:
                         yield flushed()
-                    part, grams, rows = p, [], []
+                    part, grams, rows, held = p, [], [], 0
                 own = grams_of(text)
                 grams.append(own)
                 rows.append(np.full(len(own), row, np.int32))
-        if grams and sum(map(len, grams)):
+                held += len(own)
+        if held:
             yield flushed()
 
     return texts.select("part", "row", "text").mapInArrow(run, "gram long, part long, rows array<int>")
@@ -85,7 +88,9 @@ class TrigramIndex:
         texts = self.texts()
         text = F.lower(F.concat_ws(BETWEEN, *[F.coalesce(c, F.lit("")) for c in self.fields]))
         found = _postings(texts.select("part", "row", text.alias("text"))).withColumn("slot", F.pmod(F.xxhash64("gram"), F.lit(slots)).cast("int"))
-        found.repartition(min(slots, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "slot").sortWithinPartitions("slot", "gram", "part").write.partitionBy("slot").parquet(f"{self.folder}/postings")
+        # A slot may go to several tasks, so that there are as many as shuffles have.
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        found.repartition(tasks, "slot", F.pmod("part", F.lit(max(1, tasks // slots)))).sortWithinPartitions("slot", "gram", "part").write.partitionBy("slot").parquet(f"{self.folder}/postings")
         postings = self.postings()
         postings.groupBy("slot", "gram").agg(F.sum(F.size("rows")).alias("n")).repartition(min(slots, 8), "slot").sortWithinPartitions("slot", "gram").write.partitionBy("slot").parquet(f"{self.folder}/counts")
         return self

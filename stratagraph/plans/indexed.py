@@ -16,6 +16,8 @@ from .project import SQL, Tables
 
 #: Rows of a part, so that the smallest tables have many.
 PART_ROWS = 256
+#: Parts (folders), about, of a larger table: its parts grow, not their number.
+PARTS = 1024
 
 _BOOST = "case when regexp_matches(lower(path), '\\.(rs|py|js|ts|tsx|jsx|go|c|cpp|h)$') then 1.2 when regexp_matches(lower(path), '\\.(md|txt)$') or lower(path) like '%readme%' then 0.9 when regexp_matches(lower(path), '\\.(json|yaml|yml|toml)$') then 0.7 else 1.0 end"
 _COS = "list_cosine_similarity(cast({} as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0))"
@@ -26,7 +28,8 @@ def _folder(t: Tables, name: str) -> str:
 
 
 def _texts(t: Tables) -> TrigramIndex:
-    return TrigramIndex(t.spark, _folder(t, "trigrams"), slots=16).build(stored(t.symbols().unionByName(t.documents())), PART_ROWS)
+    rows = stored(t.symbols().unionByName(t.documents()))
+    return TrigramIndex(t.spark, _folder(t, "trigrams"), slots=16).build(rows, max(PART_ROWS, -(-rows.count() // PARTS)))
 
 
 def q01_indexed_search(t: Tables) -> DataFrame:

@@ -104,9 +104,10 @@ def impact_all(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame
     Sixty-four starts share a word: a row of the frontier is a node and a word, its bits the starts that
     reached the node on this level. A level is one join with the edges; bits that meet in a node are or-ed
     by an aggregate that begins before anything moves, and what earlier levels reached is taken off in the
-    same aggregate. Starts and nodes become pairs only in the result.
+    same aggregate. Starts and nodes become pairs only in the result. Edges are stored once, and repeated ones stay,
+    since a bit set twice is the same bit; nodes nobody depends on leave the frontier before it meets them.
     """
-    own = edges.filter(F.col("kind").isin(*DEPENDENCY_KINDS)).select(F.col("to_uri").alias("uri"), F.col("from_uri").alias("next")).distinct()
+    own = edges.filter(F.col("kind").isin(*DEPENDENCY_KINDS)).select(F.col("to_uri").alias("uri"), F.col("from_uri").alias("next"))
     number = F.monotonically_increasing_id()
     named = stored(starts.select("uri").distinct().withColumn("number", number))
     named = named.select(F.col("uri").alias("start"), F.shiftright("number", 6).alias("word"), F.col("number").bitwiseAND(63).cast("int").alias("bit"))
@@ -114,7 +115,10 @@ def impact_all(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame
     frontier = stored(named.select(F.col("start").alias("uri"), "word", mask.alias("bits")).groupBy("uri", "word").agg(F.bit_or("bits").alias("bits")))
     seen, found = frontier, None
     own = stored(own)
+    heads = stored(own.select("uri").distinct())
     for level in range(1, max(depth, 1) + 1):
+        if level > 1:
+            frontier = stored(frontier.join(heads, "uri", "left_semi"))
         steps = frontier.join(own, "uri").select(F.col("next").alias("uri"), "word", "bits", F.lit(0).cast("bigint").alias("old"))
         both = steps.unionByName(seen.select("uri", "word", F.lit(0).cast("bigint").alias("bits"), F.col("bits").alias("old")))
         met = both.groupBy("uri", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))

@@ -9,6 +9,9 @@ from ..functions.uri import build
 
 REPO = "tpch"
 
+#: Line items a task takes, about, and rows up to which a side of addresses is sent to all.
+TASK_ROWS, SENT_ROWS = 500_000, 500_000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,7 +25,7 @@ class Tables:
     """The projection of one folder of test tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._line_items = spark, sf_dir, None
 
     def __call__(self, name: str) -> DataFrame:
         return read(self.spark, self.sf_dir, name)
@@ -51,28 +54,38 @@ class Tables:
         d = self("documents").select(name.alias("name"), path.alias("path"), line.alias("line"), F.col("text").alias("content"))
         return d.select(build(REPO, F.col("path"), F.lit("document"), F.col("name"), F.col("line")).alias("uri"), F.lit("document").alias("kind"), "name", "path", F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("signature"), "content")
 
+    def _dealt(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows that grow with the line items, dealt by ``columns`` to as many tasks as these need, where shuffles
+        have fewer, so that what a task holds does not grow with the tables."""
+        if self._line_items is None:
+            self._line_items = self("lineitem").count()
+        tasks = -(-self._line_items // TASK_ROWS)
+        return rows.repartition(tasks, *columns) if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
     def _items(self) -> DataFrame:
-        return self("orders").join(self("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+        return self("orders").join(self._dealt(self("lineitem"), "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
 
     def edges(self) -> DataFrame:
         k = self._keyed().select("t", "key", "uri")
         of = lambda t, name: k.filter(F.col("t") == t).select(F.col("key").alias(f"{name}_key"), F.col("uri").alias(name))
-        link = lambda df, a, b: df.join(of(a[0], "from_uri"), F.col(a[1]) == F.col("from_uri_key")).join(of(b[0], "to_uri"), F.col(b[1]) == F.col("to_uri_key"))
+        link = lambda df, a, b, side=lambda s: s: df.join(of(a[0], "from_uri"), F.col(a[1]) == F.col("from_uri_key")).join(side(of(b[0], "to_uri")), F.col(b[1]) == F.col("to_uri_key"))
         row = lambda df, kind, confidence: df.select("from_uri", "to_uri", F.lit(kind).alias("kind"), confidence.cast("double").alias("confidence"), F.lit("static").alias("resolution_mode"))
         one = F.lit(1.0)
         items = self._items()
         status = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.9).otherwise(0.7)
-        ordered = items.groupBy("o_custkey", "l_suppkey").agg(F.max(status).alias("c"))
+        # By customer alone, so that the pairs lie as the customers' addresses are joined.
+        ordered = self._dealt(items.select("o_custkey", "l_suppkey", status.alias("c")), "o_custkey").groupBy("o_custkey", "l_suppkey").agg(F.max("c").alias("c"))
         supplier = self("supplier")
+        sent = F.broadcast if supplier.count() <= SENT_ROWS else lambda df: df
         count = supplier.agg(F.count("*").alias("n"))
         ring = supplier.select("s_suppkey").crossJoin(count).select("s_suppkey", ((F.col("s_suppkey") * 7 + 3) % F.col("n")).alias("target")).filter("s_suppkey <> target")
-        returned = items.filter("l_returnflag = 'R'").select("o_custkey", "l_partkey").distinct()
+        returned = self._dealt(items.filter("l_returnflag = 'R'").select("o_custkey", "l_partkey"), "o_custkey").distinct()
         parts = self("part").filter("p_partkey > 0").select("p_partkey", F.floor(F.col("p_partkey") / 2).alias("half"))
         rows = [
             row(link(self("nation"), ("region", "n_regionkey"), ("nation", "n_nationkey")), "defines", one),
             row(link(supplier, ("nation", "s_nationkey"), ("supplier", "s_suppkey")), "contains", one),
             row(link(self("customer"), ("nation", "c_nationkey"), ("customer", "c_custkey")), "contains", one),
-            row(link(ordered, ("customer", "o_custkey"), ("supplier", "l_suppkey")), "calls", F.col("c")),
+            row(link(ordered, ("customer", "o_custkey"), ("supplier", "l_suppkey"), sent), "calls", F.col("c")),
             row(link(ring, ("supplier", "s_suppkey"), ("supplier", "target")), "calls", one),
             row(link(returned, ("customer", "o_custkey"), ("part", "l_partkey")), "references", F.lit(0.8)),
             row(link(parts, ("part", "p_partkey"), ("part", "half")), "inherits", one),

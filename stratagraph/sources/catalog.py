@@ -7,14 +7,31 @@ goes through Hadoop's file systems, so the folder may lie on any that driver and
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..core import SCHEMAS, empty
 
 
+#: Files a task may have open at a time while it writes; with more kinds than that the rest is sorted.
+OPEN_FILES = 16
+
+
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """``key`` of the session is ``value`` inside, and what it was afterwards."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 class Pointer:
     """A small JSON file that is replaced in one step."""
 
@@ -76,7 +93,9 @@ class Catalog:
             writer = df.select(*empty(self.spark, name).columns).write
             if name in self.LAYOUT:
                 writer = writer.partitionBy(self.LAYOUT[name])
-            writer.parquet(f"{self.root}/{place}")
+            # Kinds are few, so a task keeps a file of each open in place of sorting its rows by kind.
+            with session_conf(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+                writer.parquet(f"{self.root}/{place}")
             new[name] = place
         self.pointer.write(self.pointer.read() | new)
 

@@ -1,8 +1,8 @@
 """The most alike pairs of two sets of vectors, as a block product.
 
 Both sides are dealt into groups by hash, every group of one side meets every group of the other
-in one cell of a grid, and cells are sized so that both groups fit a task. A cell is one matrix
-product of normalised vectors; only its best pairs leave it, so no pair of vectors is ever a row
+in one cell of a grid, and cells are sized so that both groups fit a task. A cell is a matrix
+product of normalised vectors, worked off in strips; only its best pairs leave it, so no pair of vectors is ever a row
 of a table. Candidates are picked with a margin for rounding and their scores are then worked out
 pair by pair, so a score does not depend on the cell it was found in.
 """
@@ -16,11 +16,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of either side in a cell, about.
+#: Vectors of either side that are worth a cell, about.
 LEFT_ROWS, RIGHT_ROWS = 2048, 8192
+#: Vectors of either side in a cell at most, about, and scores of it that are held at a time.
+KEY_ROWS, STRIP = 16 * LEFT_ROWS, 1 << 22
+#: Pieces a side is cut into for the sake of tasks alone.
+PIECES = 4
 MARGIN = 1e-9
 
 
+def pieces(rows: int, least: int) -> int:
+    """Pieces of a side. Each of one side is copied to each of the other, so they are as large as a task can hold."""
+    return max(1, -(-rows // KEY_ROWS), min(PIECES, -(-rows // least)))
+
+
 def _matrix(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as rows in double precision (all of one length), and their norms."""
     rows = np.stack([np.asarray(v, np.float64) for v in column])
@@ -32,12 +41,17 @@ def _cell(left: pd.DataFrame, right: pd.DataFrame, most: int, threshold: float)
     if len(left) and len(right):
         a, a_norm = _matrix(left["left_vector"])
         b, b_norm = _matrix(right["right_vector"])
-        product = (a / a_norm[:, None]) @ (b / b_norm[:, None]).T
+        a_unit, b_unit = a / a_norm[:, None], (b / b_norm[:, None]).T
         uri, chunk = right["uri"].to_numpy(), right["chunk"].to_numpy()
         name_rank = np.lexsort((chunk, uri)).argsort()
-        for i, (key, row) in enumerate(zip(left["id"], product)):
-            bar = threshold if len(row) <= most else max(threshold, np.partition(row, -most)[-most])
-            near = np.flatnonzero(row >= bar - MARGIN)
+        step = max(1, STRIP // len(b))
+        for i, key in enumerate(left["id"]):
+            if i % step == 0:
+                strip = a_unit[i : i + step] @ b_unit
+            row = strip[i % step]
+            near = np.flatnonzero(row >= threshold - MARGIN)
+            if len(near) > most:
+                near = near[row[near] >= max(threshold, np.partition(row[near], -most)[-most]) - MARGIN]
             score = (b[near] * a[i]).sum(axis=1) / (b_norm[near] * a_norm[i])
             near, score = near[score >= threshold], score[score >= threshold]
             best = np.lexsort((name_rank[near], -score))[:most]
@@ -54,7 +68,7 @@ def top_pairs(left: DataFrame, right: DataFrame, most: int, threshold: float) ->
     good = F.col("vector").isNotNull() & (length > 0)
     a = left.filter(good).select("id", F.col("vector").alias("left_vector"), F.size("vector").alias("width"))
     b = right.filter(good).select("uri", "chunk", F.col("vector").alias("right_vector"), F.size("vector").alias("width"))
-    rows, columns = (max(1, -(-side.count() // size)) for side, size in ((a, LEFT_ROWS), (b, RIGHT_ROWS)))
+    rows, columns = (pieces(side.count(), size) for side, size in ((a, LEFT_ROWS), (b, RIGHT_ROWS)))
     a = a.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(rows))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     b = b.withColumn("j", F.pmod(F.xxhash64("uri", "chunk"), F.lit(columns))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     cell = lambda df: df.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "width")
@@ -66,8 +80,6 @@ def top_pairs(left: DataFrame, right: DataFrame, most: int, threshold: float) ->
 
 #: Rows of both sides, about, that share a cell of light keys.
 CELL_ROWS = 16_384
-#: Rows of either side of a key, about, in a cell of its own, and scores of it that are held at a time.
-KEY_ROWS, STRIP = 16 * LEFT_ROWS, 1 << 22
 
 
 def _by_width(column: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -50,9 +50,9 @@ class Tables:
         return self._keyed().select("uri", "kind", "name", "path", F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("signature"), F.col("name").alias("content"))
 
     def documents(self) -> DataFrame:
-        name, path, line = F.concat(F.lit("doc_"), F.col("doc_id")), F.concat(F.lit("docs/"), "source", F.lit(".md")), (F.col("doc_id") + 1).cast("int")
+        name, path, line = F.concat(F.lit("doc_"), F.col("doc_id")), F.concat(F.lit("docs/"), "source", F.lit(".md")), F.col("doc_id") + 1
         d = self("documents").select(name.alias("name"), path.alias("path"), line.alias("line"), F.col("text").alias("content"))
-        return d.select(build(REPO, F.col("path"), F.lit("document"), F.col("name"), F.col("line")).alias("uri"), F.lit("document").alias("kind"), "name", "path", F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("signature"), "content")
+        return d.select(build(REPO, F.col("path"), F.lit("document"), F.col("name"), F.col("line")).alias("uri"), F.lit("document").alias("kind"), "name", "path", F.col("line").cast("int").alias("line_start"), F.col("line").cast("int").alias("line_end"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("signature"), "content")
 
     def _dealt(self, rows: DataFrame, *columns: str) -> DataFrame:
         """Rows that grow with the line items, dealt by ``columns`` to as many tasks as these need, where shuffles
